@@ -1,0 +1,8 @@
+"""Structured Streaming.
+
+The analysis this library re-expresses never opens a stream: every input is
+a finished table and every question is a batch computation.  No streaming
+operator is provided.  The batch operators are written over mergeable
+sufficient statistics (counts, sums, co-moments), so they can be applied to
+micro-batches through ``foreachBatch`` by a user who needs it.
+"""
