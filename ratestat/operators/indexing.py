@@ -31,6 +31,16 @@ def bucket_bits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_bit
     return min(max_bits, int(math.ceil(math.log2(n_rows / rows_per_bucket))))
 
 
+def bucket_bits_for_session(spark, max_bits: int = 16) -> int:
+    """Bucket bits matched to the session's shuffle parallelism, so a rank
+    never needs more than about one shuffle partition of rows per task."""
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parts = 200
+    return min(max_bits, max(0, int(math.ceil(math.log2(max(parts, 1))))))
+
+
 def hash_rank(df: DataFrame, partition_cols: Sequence[str], key_cols: Sequence[str], seed,
               bucket_bits: int = 0, idx: str = "idx", hash_col: str = "_h") -> DataFrame:
     """Add ``hash_col`` = hash60(seed, keys) and ``idx`` = 0-based rank of

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,16 +12,20 @@ from ratestat.operators.common import col, with_one_row
 
 
 def exact_split(df: DataFrame, key: str, seed, test_fraction: float = 0.2,
-                flag: str = "is_test") -> DataFrame:
+                flag: str = "is_test", bucket_bits: int | None = None) -> DataFrame:
     """Mark exactly ceil(test_fraction * n) rows as test: the rows with the
     smallest hash60(seed, key) (ties by key).  The set does not depend on
-    partitioning; the ranking runs in hash buckets, never in one task."""
-    n = df.count()
-    n_test = int(math.ceil(test_fraction * n))
-    bits = indexing.bucket_bits_for(n)
-    ranked = indexing.hash_rank(df, [], [key], seed, bucket_bits=bits, idx="_rank",
+    partitioning; the ranking runs in hash buckets, never in one task, and
+    n comes from a one-row aggregate in the same plan (no eager action)."""
+    if bucket_bits is None:
+        bucket_bits = indexing.bucket_bits_for_session(df.sparkSession)
+    ranked = indexing.hash_rank(df, [], [key], seed, bucket_bits=bucket_bits, idx="_rank",
                                 hash_col="_split_h")
-    return ranked.withColumn(flag, (F.col("_rank") < n_test).cast("int")).drop("_rank", "_split_h")
+    n_test = df.agg(F.ceil(F.count(F.lit(1)).cast("double") * F.lit(float(test_fraction)))
+                    .alias("_n_test"))
+    out = with_one_row(ranked, n_test)
+    return out.withColumn(flag, (F.col("_rank") < F.col("_n_test")).cast("int")).drop(
+        "_rank", "_split_h", "_n_test")
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], train_filter=None) -> DataFrame:

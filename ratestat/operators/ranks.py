@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratestat.operators.common import col
+from ratestat.session import materialize
 
 DEFAULT_BUCKETS = 64
 
@@ -39,11 +40,15 @@ def collapse_counts(df: DataFrame, group_cols: Sequence[str], value: str,
 
 def prefix_sums(collapsed: DataFrame, group_cols: Sequence[str], order_col: str,
                 sum_cols: Sequence[str], descending: bool = False,
-                n_buckets: int = DEFAULT_BUCKETS, with_next: bool = False) -> DataFrame:
+                n_buckets: int = DEFAULT_BUCKETS, with_next: bool = False,
+                materialize_input: bool = True) -> DataFrame:
     """Add inclusive cumulative sums ``cum_<c>`` along ``order_col`` within
     each group.  ``order_col`` must be unique within a group (collapse
     first).  With ``with_next`` also add ``next_<c>``: the counts of the next
     distinct value in order (null for the last)."""
+    if materialize_input:
+        # read three times below (bounds, running sums, bucket totals)
+        collapsed = materialize(collapsed)
     groups = [col(g) for g in group_cols]
     gnames = list(group_cols)
     ordv = -col(order_col) if descending else col(order_col)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ratestat.operators import clean, derive, describe, hypothesis
 from ratestat.plans import profiles as P
 from ratestat.plans.common import qi, sql_round, tail_sql
+from ratestat.session import materialize
 from ratestat.sources.tables import read_table
 
 NORM = " (Normalized)"
@@ -27,7 +28,9 @@ NATION_WHITELIST = [f"NATION_{i}" for i in range(25) if i not in (3, 7, 11)]
 
 # ------------------------------------------------------------ Spark plans
 def profile(spark: SparkSession, d: str) -> DataFrame:
-    return P.part_profile(spark, d)
+    """The part profile, computed once (one pass over line items) and
+    checkpointed: every statistic below re-reads this table, not lineitem."""
+    return materialize(P.part_profile(spark, d))
 
 
 def cleaned_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
@@ -35,11 +38,15 @@ def cleaned_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
 
 
 def adjusted_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
+    """Cleaned + shrunk + normalised table (the 'adjusted CSV' stage),
+    materialised because tests read it several times (centres, moments,
+    priors, splits)."""
     c = cleaned_profile(spark, d, also_require)
     adj = derive.bayes_adjust(c, [P.RATING, P.DIFFICULTY], P.N,
                               names=["rating_adj", "difficulty_adj"])
     adj = derive.normalize_by(adj, P.TAGS, P.N, suffix=NORM)
-    return derive.tag_totals(adj, P.TAGS, P.N, total="total_tags", per_rating="tags_per_rating")
+    adj = derive.tag_totals(adj, P.TAGS, P.N, total="total_tags", per_rating="tags_per_rating")
+    return materialize(adj)
 
 
 def grouped_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:

@@ -10,6 +10,7 @@ from ratestat.operators import classify, gram, modelprep
 from ratestat.plans import profiles as P
 from ratestat.plans.common import sql_round
 from ratestat.plans.q_clean import adjusted_profile, adjusted_sql
+from ratestat.session import materialize
 from ratestat.sources.tables import read_table
 
 FEATURES = ["difficulty_adj", "again"]
@@ -26,7 +27,9 @@ def reg_frame(spark, d):
 
 
 def scaled_frame(spark, d):
-    return modelprep.standardize(reg_frame(spark, d), FEATURES, F.col("is_test") == 0)
+    """Split + train-scaled model frame, materialised: the Gram pass, the
+    means and the predictions all read it."""
+    return materialize(modelprep.standardize(reg_frame(spark, d), FEATURES, F.col("is_test") == 0))
 
 
 def sweep(spark, d, n_alphas=N_ALPHAS):

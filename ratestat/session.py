@@ -79,8 +79,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of an executor, unlike localCheckpoint)."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint into
+    the shared ``spark.checkpoint.dir`` (survives executor loss, unlike
+    ``localCheckpoint``).  Use it for an intermediate that a plan reads
+    several times, so the expensive upstream (e.g. the line-item
+    aggregation) runs once instead of once per reuse."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+cut_lineage = materialize
