@@ -89,7 +89,8 @@ def histogram_auto(df: DataFrame, grp: str | None, value: str, bins: int,
         "grp", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"), "_n")
     if density:
-        out = out.withColumn("density", F.col("count") / (F.col("_n") * (F.col("hi") - F.col("lo"))))
+        out = out.withColumn("density", F.try_divide(F.col("count"),
+                                                     F.col("_n") * (F.col("hi") - F.col("lo"))))
     return out.drop("_n")
 
 

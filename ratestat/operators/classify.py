@@ -123,7 +123,7 @@ def roc_auc(df: DataFrame, score: str, label: str, n_buckets: int = ranks.DEFAUL
     """Trapezoidal AUC over the exact ROC (ties count one half)."""
     t = roc_table(df, score, label, n_buckets)
     area = F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") * 0.5)
-    return t.agg((F.sum(area) / (F.first("P") * F.first("N"))).alias("auc"))
+    return t.agg(F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("auc"))
 
 
 def youden(points: DataFrame) -> DataFrame:

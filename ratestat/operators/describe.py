@@ -47,6 +47,15 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).filter(col(column).isNotNull()).distinct()
 
 
+def pair_corr(a, b):
+    """Pearson r over the rows where both are non-null; null (not an ANSI
+    divide-by-zero error) when either side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    sa = F.stddev_pop(F.when(both, a))
+    sb = F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), sa * sb)
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlations, pairwise complete, long form ``(row, col, r)``.
 
@@ -57,7 +66,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
-            aggs.append(F.corr(col(a), col(cols[j])).alias(f"_r{i}_{j}"))
+            aggs.append(pair_corr(col(a), col(cols[j])).alias(f"_r{i}_{j}"))
             pairs.append((i, j))
     wide = df.agg(*aggs)
     cells = []

@@ -21,9 +21,9 @@ BROADCAST_ROWS = 5_000_000
 
 
 def _d_columns(n1, m1, v1, n2, m2, v2):
-    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2))
     average = F.sqrt((v1 + v2) / 2)
-    return (m1 - m2) / pooled, (m1 - m2) / average
+    return F.try_divide(m1 - m2, pooled), F.try_divide(m1 - m2, average)
 
 
 def cohens_d(df: DataFrame, grp: str, value: str, first, second) -> DataFrame:

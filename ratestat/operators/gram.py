@@ -198,8 +198,8 @@ def regression_metrics(pred: DataFrame, y: str, y_hat: str, by: str | None = Non
     e = col(y) - col(y_hat)
     s = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("_sse"),
                                F.var_pop(col(y)).alias("_vp"))
-    return s.select(*keys, "n", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
-                    (1 - F.col("_sse") / (F.col("_vp") * F.col("n"))).alias("r2"))
+    return s.select(*keys, "n", F.sqrt(F.try_divide(F.col("_sse"), F.col("n"))).alias("rmse"),
+                    (1 - F.try_divide(F.col("_sse"), F.col("_vp") * F.col("n"))).alias("r2"))
 
 
 VIF_SCHEMA = StructType([StructField("feature", StringType()), StructField("vif", DoubleType())])

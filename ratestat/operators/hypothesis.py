@@ -39,15 +39,16 @@ def pair_moments(moments: DataFrame, first, second) -> DataFrame:
 
 def _student(n1, m1, v1, n2, m2, v2) -> tuple[Column, Column]:
     dfree = n1 + n2 - 2
-    sp2 = ((n1 - 1) * v1 + (n2 - 1) * v2) / dfree
-    t = (m1 - m2) / F.sqrt(sp2 * (1 / n1 + 1 / n2))
+    sp2 = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, dfree)
+    t = F.try_divide(m1 - m2, F.sqrt(sp2 * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))))
     return t, dfree
 
 
 def _welch(n1, m1, v1, n2, m2, v2) -> tuple[Column, Column]:
-    a, b = v1 / n1, v2 / n2
-    t = (m1 - m2) / F.sqrt(a + b)
-    dfree = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
+    a, b = F.try_divide(v1, n1), F.try_divide(v2, n2)
+    t = F.try_divide(m1 - m2, F.sqrt(a + b))
+    dfree = F.try_divide((a + b) * (a + b),
+                         F.try_divide(a * a, n1 - 1) + F.try_divide(b * b, n2 - 1))
     return t, dfree
 
 
@@ -82,7 +83,7 @@ def anova_from_moments(moments: DataFrame) -> DataFrame:
         F.col("n").cast("double").alias("n"), "mean",
         F.when(F.col("n") > 1, F.col("var")).otherwise(F.lit(0.0)).alias("var"))
     totals = w.agg(F.count(F.lit(1)).cast("double").alias("_k"), F.sum("n").alias("_ntot"),
-                   (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
+                   F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_grand"))
     parts = w.crossJoin(F.broadcast(totals)).agg(
         F.first("_k").alias("_k"), F.first("_ntot").alias("_ntot"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) ** 2).alias("ssb"),
@@ -91,7 +92,8 @@ def anova_from_moments(moments: DataFrame) -> DataFrame:
     return parts.select(
         k.cast("long").alias("k"), nt.cast("long").alias("n_total"),
         "ssb", "ssw",
-        ((F.col("ssb") / (k - 1)) / (F.col("ssw") / (nt - k))).alias("f_stat"),
+        F.try_divide(F.try_divide(F.col("ssb"), k - 1),
+                     F.try_divide(F.col("ssw"), nt - k)).alias("f_stat"),
         (k - 1).alias("df_between"), (nt - k).alias("df_within"))
 
 
@@ -169,12 +171,13 @@ def mwu_stats(df: DataFrame, grp: str, value: str, first, second,
         F.sum(t * t * t - t).alias("tie_term"))
     n = F.col("n1") + F.col("n2")
     mu = F.col("n1") * F.col("n2") / 2
-    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12
+                   * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     big_u = F.greatest(F.col("u1"), F.col("n1") * F.col("n2") - F.col("u1"))
     return per.select(
         *[col(b) for b in by], "u1", F.col("n1").cast("long").alias("n1"),
         F.col("n2").cast("long").alias("n2"), "tie_term",
-        ((big_u - mu - 0.5) / sigma).alias("z"))
+        F.try_divide(big_u - mu - 0.5, sigma).alias("z"))
 
 
 def mannwhitney(df: DataFrame, grp: str, value: str, first, second,
