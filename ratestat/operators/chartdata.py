@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratestat.operators import quantiles
 from ratestat.operators.common import col
 
 
@@ -94,16 +95,15 @@ def histogram_auto(df: DataFrame, grp: str | None, value: str, bins: int,
     return out.drop("_n")
 
 
-def box_stats(df: DataFrame, grp: str, value: str, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, grp: str, value: str, whis: float = 1.5,
+              quantile_method: str | None = None) -> DataFrame:
     """Per group: n, mean, q1, median, q3 (linear), whiskers at the furthest
     points within whis * IQR, and the outlier count."""
     x = col(value)
     rows = df.filter(x.isNotNull() & col(grp).isNotNull()).select(col(grp).alias("grp"),
                                                                    x.alias("_x"))
-    q = rows.groupBy("grp").agg(
-        F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select("grp", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = quantiles.group_quantiles(rows, ["grp"], "_x", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                                  quantile_method)
     q = q.withColumn("_lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + whis * (F.col("q3") - F.col("q1")))
     j = rows.join(F.broadcast(q), "grp")  # one row per group

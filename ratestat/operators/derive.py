@@ -8,21 +8,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratestat.operators import quantiles
 from ratestat.operators.common import broadcast_if_small, col, sum_columns, with_one_row
 
 
 def shrinkage_priors(df: DataFrame, value_cols: Sequence[str], n_col: str,
-                     approx_median: bool = False) -> DataFrame:
+                     quantile_method: str | None = None) -> DataFrame:
     """One-row frame: unweighted mean of each value column (``_mu_i``) and the
-    median of ``n`` (``_m``), the prior strength."""
-    median = (F.percentile_approx(col(n_col), 0.5, 100000) if approx_median
-              else F.median(col(n_col)))
-    return df.agg(*[F.avg(col(c)).alias(f"_mu{i}") for i, c in enumerate(value_cols)],
-                  median.cast("double").alias("_m"))
+    exact median of ``n`` (``_m``), the prior strength."""
+    means = df.agg(*[F.avg(col(c)).alias(f"_mu{i}") for i, c in enumerate(value_cols)])
+    med = quantiles.group_quantiles(df, [], n_col, [0.5], ["_m"], quantile_method)
+    return means.crossJoin(med)  # one row x one row
 
 
 def bayes_adjust(df: DataFrame, value_cols: Sequence[str], n_col: str,
-                 names: Sequence[str] | None = None, approx_median: bool = False) -> DataFrame:
+                 names: Sequence[str] | None = None,
+                 quantile_method: str | None = None) -> DataFrame:
     """Shrink each value toward its global mean: ``(m*mu + n*x) / (m + n)``
     with ``mu`` the unweighted row mean and ``m`` the median of ``n``.
 
@@ -30,7 +31,7 @@ def bayes_adjust(df: DataFrame, value_cols: Sequence[str], n_col: str,
     collected to the driver.  Division by zero yields null.
     """
     names = list(names or [f"{c} (Adjusted)" for c in value_cols])
-    priors = shrinkage_priors(df, value_cols, n_col, approx_median)
+    priors = shrinkage_priors(df, value_cols, n_col, quantile_method)
     joined = with_one_row(df, priors)
     n = col(n_col)
     m = F.col("_m")

@@ -8,20 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratestat.operators import quantiles
 from ratestat.operators.common import col
 
 
-def _median(c, approx: bool):
-    return F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)
+def group_describe(df: DataFrame, grp: str, value: str, quantile_method: str | None = None) -> DataFrame:
+    """Per group: n, mean, sample variance (ddof 1) and exact median.
 
-
-def group_describe(df: DataFrame, grp: str, value: str, approx_median: bool = False) -> DataFrame:
-    """Per group: n, mean, sample variance (ddof 1), median (exact by default;
-    ``approx_median`` bounds memory for groups with very many distinct values)."""
+    Moments come from one partial+final aggregation; the median from
+    :func:`ratestat.operators.quantiles.group_quantiles` (distributed exact by
+    default); the two k-row results are joined on the group."""
     v = col(value)
-    return (df.filter(v.isNotNull()).groupBy(col(grp))
-            .agg(F.count(v).alias("n"), F.avg(v).alias("mean"),
-                 F.var_samp(v).alias("var"), _median(v, approx_median).cast("double").alias("median")))
+    rows = df.filter(v.isNotNull() & col(grp).isNotNull())
+    moments = rows.groupBy(col(grp).alias("_g")).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
+    med = quantiles.group_quantiles(rows.select(col(grp).alias("_g"), v.alias("_v")), ["_g"], "_v",
+                                    [0.5], ["median"], quantile_method)
+    return moments.join(med, "_g", "left").withColumnRenamed("_g", grp)
 
 
 def group_mean(df: DataFrame, key: str, value: str, out: str = "mean") -> DataFrame:
@@ -31,12 +34,10 @@ def group_mean(df: DataFrame, key: str, value: str, out: str = "mean") -> DataFr
 
 
 def group_percentiles(df: DataFrame, grp: str | None, value: str,
-                      probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Linear-interpolation percentiles (NumPy default) per group."""
-    arr = F.percentile(col(value), F.array(*[F.lit(float(p)) for p in probs]))
-    keys = [col(grp)] if grp else []
-    agg = df.filter(col(value).isNotNull()).groupBy(*keys).agg(arr.alias("_q"))
-    return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+                      probs: Sequence[float], names: Sequence[str],
+                      quantile_method: str | None = None) -> DataFrame:
+    """Linear-interpolation percentiles (NumPy default) per group, exact."""
+    return quantiles.group_quantiles(df, [grp] if grp else [], value, probs, names, quantile_method)
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratestat.functions.pvalues import log10_p, mwu_p_value, p_value
-from ratestat.operators import ranks
+from ratestat.operators import quantiles, ranks
 from ratestat.operators.common import col
 
 
@@ -109,7 +109,7 @@ def anova(df: DataFrame, grp: str, value: str) -> DataFrame:
 
 
 def levene(df: DataFrame, grp: str, value: str, center: str = "median",
-           approx_center: bool = False) -> DataFrame:
+           quantile_method: str | None = None) -> DataFrame:
     """Levene / Brown-Forsythe test: ANOVA on |x - center_g|.
 
     Pass 1: per-group centre (median by default) -> a k-row frame broadcast
@@ -118,12 +118,11 @@ def levene(df: DataFrame, grp: str, value: str, center: str = "median",
     rows = df.filter(v.isNotNull() & col(grp).isNotNull()).select(
         col(grp).alias("_g"), v.alias("_x"))
     if center == "median":
-        c = (F.percentile_approx("_x", 0.5, 100000) if approx_center else F.median("_x"))
+        centers = quantiles.group_quantiles(rows, ["_g"], "_x", [0.5], ["_c"], quantile_method)
     elif center == "mean":
-        c = F.avg("_x")
+        centers = rows.groupBy("_g").agg(F.avg("_x").alias("_c"))
     else:
         raise ValueError("center must be 'median' or 'mean'")
-    centers = rows.groupBy("_g").agg(c.cast("double").alias("_c"))
     z = rows.join(F.broadcast(centers), "_g").select(
         "_g", F.abs(F.col("_x") - F.col("_c")).alias("_z"))
     stats = anova_from_moments(group_moments(z, "_g", "_z"))

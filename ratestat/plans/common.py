@@ -13,17 +13,34 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ratestat.operators.common import col
 
-DIGITS = 6
+DIGITS = 6          # decimals kept for values below 10^(SIG_DIGITS - DIGITS)
+SIG_DIGITS = 9      # significant digits kept for larger magnitudes
 LOG_DIGITS = 4
 
 
+def _round_value(c):
+    """Round to min(DIGITS decimals, SIG_DIGITS significant digits) using
+    only exact powers of ten, so two engines given values a few ulps apart
+    agree: x*10^d rounded then divided (d >= 0), or x/10^-d rounded then
+    multiplied (d < 0)."""
+    a = F.abs(c)
+    d = F.least(F.lit(DIGITS), F.lit(SIG_DIGITS - 1) - F.floor(F.log10(a)))
+    up = F.pow(F.lit(10.0), d.cast("double"))
+    down = F.pow(F.lit(10.0), (-d).cast("double"))
+    r = F.when(d >= 0, F.round(c * up) / up).otherwise(F.round(c / down) * down)
+    special = c.isNull() | F.isnan(c) | (a == float("inf")) | (c == 0)
+    return F.when(special, c).otherwise(r)
+
+
 def finalize(df: DataFrame) -> DataFrame:
-    """Round every floating column of a query result."""
+    """Round every floating column of a query result (``log10_*`` columns
+    to LOG_DIGITS decimals)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            d = LOG_DIGITS if f.name.startswith("log10_") else DIGITS
-            out.append(F.round(col(f.name).cast("double"), d).alias(f.name))
+            c = col(f.name).cast("double")
+            r = F.round(c, LOG_DIGITS) if f.name.startswith("log10_") else _round_value(c)
+            out.append(r.alias(f.name))
         else:
             out.append(col(f.name))
     return df.select(*out)
@@ -33,6 +50,13 @@ def qi(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def _sql_round_value(x: str) -> str:
+    d = f"least({DIGITS}, {SIG_DIGITS - 1} - floor(log10(abs({x}))))"
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) OR {x} = 0 THEN {x} "
+            f"WHEN {d} >= 0 THEN round({x} * pow(10, {d})) / pow(10, {d}) "
+            f"ELSE round({x} / pow(10, -{d})) * pow(10, -{d}) END")
+
+
 def sql_round(sql: str, doubles: list[str]) -> str:
     """Wrap an oracle query so the listed double columns are rounded like
     :func:`finalize`."""
@@ -40,8 +64,9 @@ def sql_round(sql: str, doubles: list[str]) -> str:
         return sql
     parts = []
     for c in doubles:
-        d = LOG_DIGITS if c.startswith("log10_") else DIGITS
-        parts.append(f"round(CAST({qi(c)} AS DOUBLE), {d}) AS {qi(c)}")
+        x = f"CAST({qi(c)} AS DOUBLE)"
+        expr = f"round({x}, {LOG_DIGITS})" if c.startswith("log10_") else _sql_round_value(x)
+        parts.append(f"{expr} AS {qi(c)}")
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM (\n{sql}\n) _r"
 
 
