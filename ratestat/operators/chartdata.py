@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ratestat.operators import quantiles
 from ratestat.operators.common import col
+from ratestat.operators.common import with_one_row
 
 
 def arange_edges(start: float, stop: float, step: float) -> list[float]:
@@ -143,7 +144,7 @@ def kde_grid(df: DataFrame, grp: str, value: str, gridsize: int = 200, cut: floa
     stats = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
                                     F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     total = rows.agg(F.count(F.lit(1)).alias("_ntot"))
-    stats = stats.crossJoin(F.broadcast(total))
+    stats = with_one_row(stats, total)
     stats = stats.filter((F.col("_n") > 1) & (F.col("_sd") > 0))
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     stats = stats.withColumn("_lo", F.col("_mn") - cut * F.col("_bw")).withColumn(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ratestat.operators import ranks
 from ratestat.operators.common import col, with_one_row
+from ratestat.session import materialize
 
 
 # ------------------------------------------------------------- logistic
@@ -41,7 +42,9 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, C: float =
     xs = [col(f).cast("double") for f in features]
     y = col(label).cast("double")
     w = col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"), w.alias("_w"))
+    # every Newton step re-reads the training rows: materialise them once
+    rows = materialize(df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"),
+                                 w.alias("_w")))
     xcols = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(p)]
     beta = np.zeros(p + 1)
     converged, it = False, 0

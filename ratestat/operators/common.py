@@ -31,11 +31,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row (aggregate) frame to every row.
-
-    A global aggregate without grouping keys has exactly one row, so the
-    broadcast is size-bounded by construction."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row frame (a global aggregate) to every
+    row as ONE scalar subquery: the value is computed once, before the main
+    stage, and inlined -- no join, no shuffle, nothing pairwise."""
+    names = one_row.columns
+    packed = one_row.select(F.struct(*[col(c) for c in names]).alias("_one")).scalar()
+    return df.select("*", packed.alias("_one")).select(
+        *[col(c) for c in df.columns], *[F.col("_one").getField(c).alias(c) for c in names])
 
 
 def sum_columns(cols: list[Column]) -> Column:

@@ -18,7 +18,7 @@ def shrinkage_priors(df: DataFrame, value_cols: Sequence[str], n_col: str,
     exact median of ``n`` (``_m``), the prior strength."""
     means = df.agg(*[F.avg(col(c)).alias(f"_mu{i}") for i, c in enumerate(value_cols)])
     med = quantiles.group_quantiles(df, [], n_col, [0.5], ["_m"], quantile_method)
-    return means.crossJoin(med)  # one row x one row
+    return with_one_row(means, med)
 
 
 def bayes_adjust(df: DataFrame, value_cols: Sequence[str], n_col: str,

@@ -154,8 +154,8 @@ def ridge_sweep(df: DataFrame, features: Sequence[str], target: str, split_col:
     shift = train.agg(F.avg(col(target)).alias("y_shift"),
                       F.array(*[F.avg(col(c)) for c in features]).alias("x_shift"))
     # intercepts are reported on the original target scale
-    packed = packed.crossJoin(F.broadcast(shift))
-    grid = alphas.crossJoin(F.broadcast(packed))  # packed is a single row
+    packed = with_one_row(packed, shift)
+    grid = with_one_row(alphas, packed)  # the Gram sums ride along as one scalar
     return grid.mapInPandas(_sweep_fn(p), SWEEP_SCHEMA)
 
 
@@ -217,7 +217,7 @@ def vif(df: DataFrame, features: Sequence[str], intercept_name: str = "Intercept
     xs = [F.col(f"_f{i}") - F.col(f"_m{i}") for i in range(p)]
     sums = cen.agg(F.count(F.lit(1)).cast("double").alias("n"),
                    *[F.sum(xs[i] * xs[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)])
-    packed = sums.crossJoin(F.broadcast(means)).select(
+    packed = with_one_row(sums, means).select(
         F.array(*[F.col(c) for c in sums.columns]).alias("c"),
         F.array(*[F.col(f"_m{i}") for i in range(p)]).alias("mu"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ratestat.functions.pvalues import log10_p, mwu_p_value, p_value
 from ratestat.operators import quantiles, ranks
 from ratestat.operators.common import col
+from ratestat.operators.common import with_one_row
 
 
 # ---------------------------------------------------------------- moments
@@ -84,7 +85,7 @@ def anova_from_moments(moments: DataFrame) -> DataFrame:
         F.when(F.col("n") > 1, F.col("var")).otherwise(F.lit(0.0)).alias("var"))
     totals = w.agg(F.count(F.lit(1)).cast("double").alias("_k"), F.sum("n").alias("_ntot"),
                    F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_grand"))
-    parts = w.crossJoin(F.broadcast(totals)).agg(
+    parts = with_one_row(w, totals).agg(
         F.first("_k").alias("_k"), F.first("_ntot").alias("_ntot"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) ** 2).alias("ssb"),
         F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
@@ -138,7 +139,7 @@ def ttest_gated(df: DataFrame, grp: str, value: str, first, second, alpha: float
     pm = pair_moments(group_moments(df, grp, value), first, second)
     ts, dfs = _student(*_cols())
     tw, dfw = _welch(*_cols())
-    both = pm.crossJoin(lev)
+    both = with_one_row(pm, lev)
     pooled = F.col("levene_p") > alpha
     out = both.select(
         "levene_w", "levene_p",

@@ -13,7 +13,9 @@ method instead:
 
 No task holds more than one bucket of one group.  ``method="aggregate"``
 uses Spark's ``percentile`` (exact, memory grows with distinct values);
-``method="approx"`` uses ``percentile_approx``.
+``method="approx"`` uses ``percentile_approx``.  ``method="auto"`` (default)
+collapses first and, when the collapsed table is small enough for one
+aggregation buffer, runs the exact ``percentile`` over (value, count) pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +27,14 @@ from pyspark.sql import functions as F
 
 from ratestat.operators import ranks
 from ratestat.operators.common import col
+from ratestat.session import materialize
 
-DEFAULT_METHOD = "distributed"
+DEFAULT_METHOD = "auto"
 APPROX_ACCURACY = 100000
+# 'auto': exact percentile over the collapsed (value, count) table when it
+# has at most this many rows (its aggregation buffer is bounded by it),
+# otherwise the distributed prefix-sum method.
+AGG_DISTINCT_LIMIT = 1_000_000
 
 
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value: str,
@@ -45,12 +52,20 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value: str,
                else F.percentile_approx(x.cast("double"), arr, APPROX_ACCURACY))
         out = rows.groupBy(*gcols).agg(agg.alias("_q"))
         return out.select(*gcols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    if method != "distributed":
+    if method not in ("distributed", "auto"):
         raise ValueError(f"unknown quantile method {method!r}")
 
     gnames = list(group_cols)
-    counts = ranks.collapse_counts(rows, gnames, value, {"c": F.count(F.lit(1))})
-    cum = ranks.prefix_sums(counts, gnames, "value", ["c"])
+    counts = materialize(ranks.collapse_counts(rows, gnames, value, {"c": F.count(F.lit(1))}))
+    n_distinct = counts.count()  # one row per distinct (group, value); cheap on the checkpoint
+    if method == "auto" and n_distinct <= AGG_DISTINCT_LIMIT:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        out = counts.groupBy(*[F.col(g) for g in gnames]).agg(
+            F.percentile(F.col("value").cast("double"), arr, F.col("c")).alias("_q"))
+        return out.select(*[F.col(g) for g in gnames],
+                          *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    cum = ranks.prefix_sums(counts, gnames, "value", ["c"], materialize_input=False,
+                            n_rows=n_distinct)
     totals = cum.groupBy(*[F.col(g) for g in gnames]).agg(F.sum("c").alias("_n"))
     pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     targets = totals.select(*[F.col(g) for g in gnames], "_n", F.explode(F.array(*[

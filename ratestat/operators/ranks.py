@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from ratestat.operators.common import col
 from ratestat.session import materialize
+from ratestat.operators.common import with_one_row
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = None      # None: sized from the distinct-value count
+ROWS_PER_BUCKET = 1_000_000  # target rows per (group, bucket) window task
+FANOUT = 64                  # quantile bounds per level of bucketing
 
 
 def collapse_counts(df: DataFrame, group_cols: Sequence[str], value: str,
@@ -38,34 +41,57 @@ def collapse_counts(df: DataFrame, group_cols: Sequence[str], value: str,
             .agg(*[e.alias(name) for name, e in count_exprs.items()]))
 
 
+def bucket_count(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    return max(1, -(-int(n_rows) // rows_per_bucket))
+
+
+def _assign_buckets(base: DataFrame, groups, gnames, n_buckets: int) -> DataFrame:
+    """Add ``_bucket``: contiguous ranges of ``_ord`` per group.  Levels of
+    FANOUT quantile bounds nest (64, 4096, ... buckets), each level computed
+    per (group, parent bucket) with ``percentile_approx`` and broadcast
+    (groups x parents rows of FANOUT - 1 bounds)."""
+    base = base.withColumn("_bucket", F.lit(0).cast("long"))
+    if n_buckets <= 1:
+        return base
+    levels, cap = 1, FANOUT
+    while cap < n_buckets:
+        levels += 1
+        cap *= FANOUT
+    for level in range(levels):
+        fan = FANOUT if level < levels - 1 else max(2, -(-n_buckets // (cap // FANOUT)))
+        probs = [i / fan for i in range(1, fan)]
+        keys = [*gnames, "_bucket"]
+        bounds = base.groupBy(*groups, "_bucket").agg(
+            F.percentile_approx("_ord", F.array(*[F.lit(p) for p in probs]), 10000).alias("_bounds"))
+        # bounds: groups x parent buckets rows -- bounded, broadcast
+        base = base.join(F.broadcast(bounds), keys, "inner")
+        sub = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_ord")))
+        base = base.withColumn("_bucket", F.col("_bucket") * fan + sub).drop("_bounds")
+    return base
+
+
 def prefix_sums(collapsed: DataFrame, group_cols: Sequence[str], order_col: str,
                 sum_cols: Sequence[str], descending: bool = False,
-                n_buckets: int = DEFAULT_BUCKETS, with_next: bool = False,
-                materialize_input: bool = True) -> DataFrame:
+                n_buckets: int | None = DEFAULT_BUCKETS, with_next: bool = False,
+                materialize_input: bool = True, n_rows: int | None = None) -> DataFrame:
     """Add inclusive cumulative sums ``cum_<c>`` along ``order_col`` within
     each group.  ``order_col`` must be unique within a group (collapse
     first).  With ``with_next`` also add ``next_<c>``: the counts of the next
-    distinct value in order (null for the last)."""
+    distinct value in order (null for the last).
+
+    ``n_buckets=None`` sizes the buckets from the row count of the
+    (materialised) collapsed table: about ROWS_PER_BUCKET distinct values
+    per window task; a table that fits one bucket skips the bounds pass."""
     if materialize_input:
-        # read three times below (bounds, running sums, bucket totals)
+        # read several times below (bounds, running sums, bucket totals)
         collapsed = materialize(collapsed)
+    if n_buckets is None:
+        n_buckets = bucket_count(n_rows if n_rows is not None else collapsed.count())
     groups = [col(g) for g in group_cols]
     gnames = list(group_cols)
     ordv = -col(order_col) if descending else col(order_col)
     base = collapsed.withColumn("_ord", ordv.cast("double"))
-
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = base.groupBy(*groups).agg(
-            F.percentile_approx("_ord", F.array(*[F.lit(p) for p in probs]), 10000).alias("_bounds"))
-        base = (base.join(F.broadcast(bounds), gnames, "inner") if gnames
-                else base.crossJoin(F.broadcast(bounds)))
-        base = base.withColumn(
-            "_bucket", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_ord"))))
-        base = base.drop("_bounds")
-    else:
-        base = base.withColumn("_bucket", F.lit(0))
-
+    base = _assign_buckets(base, groups, gnames, n_buckets)
     part = [*groups, F.col("_bucket")]
     w_run = Window.partitionBy(*part).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
     running = base.select("*", *[F.sum(col(c)).over(w_run).alias(f"_run_{c}") for c in sum_cols])

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ratestat.operators import clean, derive, describe, hypothesis
 from ratestat.plans import profiles as P
 from ratestat.plans.common import qi, sql_round, tail_sql
-from ratestat.session import materialize
+from ratestat.session import shared_table
 from ratestat.sources.tables import read_table
+from ratestat.operators.common import with_one_row
 
 NORM = " (Normalized)"
 NORM_TAGS = [f"{t}{NORM}" for t in P.TAGS]
@@ -28,9 +29,9 @@ NATION_WHITELIST = [f"NATION_{i}" for i in range(25) if i not in (3, 7, 11)]
 
 # ------------------------------------------------------------ Spark plans
 def profile(spark: SparkSession, d: str) -> DataFrame:
-    """The part profile, computed once (one pass over line items) and
-    checkpointed: every statistic below re-reads this table, not lineitem."""
-    return materialize(P.part_profile(spark, d))
+    """The part profile, computed once per dataset (one pass over line
+    items) and checkpointed: every statistic re-reads this table."""
+    return shared_table(spark, ("part_profile", d), lambda: P.part_profile(spark, d))
 
 
 def cleaned_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
@@ -41,12 +42,14 @@ def adjusted_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
     """Cleaned + shrunk + normalised table (the 'adjusted CSV' stage),
     materialised because tests read it several times (centres, moments,
     priors, splits)."""
-    c = cleaned_profile(spark, d, also_require)
-    adj = derive.bayes_adjust(c, [P.RATING, P.DIFFICULTY], P.N,
-                              names=["rating_adj", "difficulty_adj"])
-    adj = derive.normalize_by(adj, P.TAGS, P.N, suffix=NORM)
-    adj = derive.tag_totals(adj, P.TAGS, P.N, total="total_tags", per_rating="tags_per_rating")
-    return materialize(adj)
+    def build():
+        c = cleaned_profile(spark, d, also_require)
+        adj = derive.bayes_adjust(c, [P.RATING, P.DIFFICULTY], P.N,
+                                  names=["rating_adj", "difficulty_adj"])
+        adj = derive.normalize_by(adj, P.TAGS, P.N, suffix=NORM)
+        return derive.tag_totals(adj, P.TAGS, P.N, total="total_tags",
+                                 per_rating="tags_per_rating")
+    return shared_table(spark, ("adjusted_profile", d, tuple(also_require)), build)
 
 
 def grouped_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
@@ -177,7 +180,7 @@ def q_anova_region(spark, d):
 def q_choropleth_table(spark, d):
     merged = q_left_join_mean(spark, d)
     bounds = merged.agg(F.min("mean").alias("vmin"), F.max("mean").alias("vmax"))
-    out = merged.crossJoin(F.broadcast(bounds))
+    out = with_one_row(merged, bounds)
     return out.select("n_nationkey", "n_name", "mean",
                       F.try_divide(F.col("mean") - F.col("vmin"),
                                    F.col("vmax") - F.col("vmin")).alias("scaled"))

@@ -10,8 +10,9 @@ from ratestat.operators import classify, gram, modelprep
 from ratestat.plans import profiles as P
 from ratestat.plans.common import sql_round
 from ratestat.plans.q_clean import adjusted_profile, adjusted_sql
-from ratestat.session import materialize
+from ratestat.session import shared_table
 from ratestat.sources.tables import read_table
+from ratestat.operators.common import with_one_row
 
 FEATURES = ["difficulty_adj", "again"]
 TARGET = "rating_adj"
@@ -29,7 +30,8 @@ def reg_frame(spark, d):
 def scaled_frame(spark, d):
     """Split + train-scaled model frame, materialised: the Gram pass, the
     means and the predictions all read it."""
-    return materialize(modelprep.standardize(reg_frame(spark, d), FEATURES, F.col("is_test") == 0))
+    return shared_table(spark, ("model_frame", d), lambda: modelprep.standardize(
+        reg_frame(spark, d), FEATURES, F.col("is_test") == 0))
 
 
 def sweep(spark, d, n_alphas=N_ALPHAS):
@@ -122,7 +124,7 @@ def _confusion(spark, d):
     s = _scored(spark, d)
     best = classify.youden(classify.roc_points(s, "score", "label")).select(
         F.coalesce(F.col("threshold"), F.lit(float("inf"))).alias("_t"))
-    labelled = s.crossJoin(F.broadcast(best))  # one-row threshold
+    labelled = with_one_row(s, best)
     return classify.confusion(labelled, "label", (F.col("score") > F.col("_t")).cast("int"))
 
 

@@ -14,6 +14,7 @@ from ratestat.plans.q_clean import (NORM, NORM_TAGS, STUDENT_DF, STUDENT_T, WELC
                                     _t_p, grouped_profile, grouped_sql, levene_sql,
                                     moments_pair_sql, qi_spark)
 from ratestat.sources.tables import read_table
+from ratestat.operators.common import with_one_row
 
 BOOT_B = 200          # replicates in the registered queries (operator default 5000)
 BOOT_M = 10000        # draws per group for the m-out-of-n bootstrap
@@ -64,7 +65,7 @@ def q_mwu_tags(spark, d):
 def q_top_bottom_k(spark, d, k: int = 3):
     res = mwu_tags_frame(spark, d)
     total = res.agg(F.count(F.lit(1)).alias("_n"))
-    both = res.crossJoin(F.broadcast(total))
+    both = with_one_row(res, total)
     return both.filter((F.col("p_rank") <= k) | (F.col("p_rank") > F.col("_n") - k)).select(
         F.when(F.col("p_rank") <= k, F.lit("most")).otherwise(F.lit("least")).alias("side"),
         "p_rank", "tag", "p_value", "log10_p")

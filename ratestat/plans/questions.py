@@ -19,6 +19,7 @@ from ratestat.operators import (chartdata, classify, clean, derive, describe, ef
                                 hypothesis, modelprep)
 from ratestat.operators.common import col
 from ratestat.session import materialize
+from ratestat.operators.common import with_one_row
 
 ADJ_RATING = K.adjusted(K.RATING)
 ADJ_DIFFICULTY = K.adjusted(K.DIFFICULTY)
@@ -184,7 +185,7 @@ def q10_pepper(adj_b: DataFrame, seed=K.SEED, key: str | None = None, threshold:
     points = classify.roc_points(scored, "proba", K.PEPPER)
     best = classify.youden(points)
     t = best.select(F.coalesce(F.col("threshold"), F.lit(float("inf"))).alias("_t"))
-    labelled = scored.crossJoin(F.broadcast(t))  # one-row threshold
+    labelled = with_one_row(scored, t)
     pred = ((F.col("proba") >= F.col("_t")) if inclusive else (F.col("proba") > F.col("_t")))
     conf = classify.confusion(labelled, K.PEPPER, pred.cast("int"))
     fixed = classify.confusion(scored, K.PEPPER, derive.threshold_labels("proba", threshold, inclusive))
@@ -205,7 +206,7 @@ def extra_states(adj: DataFrame, geo: DataFrame, region_map: DataFrame,
     kept = materialize(clean.whitelist_filter(means, "State", list(whitelist)))
     merged = geo.join(F.broadcast(kept), "State", "left")  # <= 50 rows, whitelist-bounded
     bounds = merged.agg(F.min(col(ADJ_RATING)).alias("vmin"), F.max(col(ADJ_RATING)).alias("vmax"))
-    choro = merged.crossJoin(F.broadcast(bounds)).select(
+    choro = with_one_row(merged, bounds).select(
         "State", "name", col(ADJ_RATING),
         F.try_divide(col(ADJ_RATING) - F.col("vmin"), F.col("vmax") - F.col("vmin")).alias("scaled"))
     with_region = derive.lookup(kept, "State", region_map, region_map.columns[0],

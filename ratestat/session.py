@@ -90,3 +90,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 cut_lineage = materialize
+
+_SHARED: dict = {}
+
+
+def shared_table(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Materialise ``build()`` once per Spark application and ``key`` and
+    hand the same checkpointed DataFrame to every later caller -- the
+    analysis' "write the adjusted table once, let every question read it"
+    stage.  Checkpoint files live in the shared checkpoint folder, so a lost
+    executor does not lose them."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _SHARED:
+        _SHARED[full] = materialize(build())
+    return _SHARED[full]

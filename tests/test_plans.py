@@ -76,3 +76,20 @@ def test_scan_pruning_and_pushdown(spark, tmp_path):
     plan = _plan(df)
     assert "GreaterThan(a,10)" in plan.split("PushedFilters:")[1].split("]")[0]
     assert "ReadSchema: struct<id:bigint,a:bigint>" in plan
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 5, 100, 300])
+def test_prefix_sums_bucket_levels(spark, buckets):
+    raw = spark.range(20000).select(((F.col("id") * 7919) % 4001).cast("double").alias("v"),
+                                    (F.col("id") % 2).alias("g"))
+    coll = ranks.collapse_counts(raw, ["g"], "v", {"n": F.count(F.lit(1))})
+    out = ranks.prefix_sums(coll, ["g"], "value", ["n"], n_buckets=buckets, descending=True,
+                            with_next=True)
+    for g in (0, 1):
+        rows = sorted((r for r in out.collect() if r["g"] == g), key=lambda r: -r["value"])
+        running = 0
+        for i, r in enumerate(rows):
+            running += r["n"]
+            assert r["cum_n"] == running
+            nxt = rows[i + 1]["n"] if i + 1 < len(rows) else None
+            assert r["next_n"] == nxt
