@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratestat.functions.hashing import HASH_BITS, hash60
 from ratestat.operators import indexing
 from ratestat.operators.common import col, with_one_row
 
@@ -15,17 +16,35 @@ def exact_split(df: DataFrame, key: str, seed, test_fraction: float = 0.2,
                 flag: str = "is_test", bucket_bits: int | None = None) -> DataFrame:
     """Mark exactly ceil(test_fraction * n) rows as test: the rows with the
     smallest hash60(seed, key) (ties by key).  The set does not depend on
-    partitioning; the ranking runs in hash buckets, never in one task, and
-    n comes from a one-row aggregate in the same plan (no eager action)."""
+    partitioning.
+
+    Only one hash bucket is ever ranked: bucket counts (2**bits rows) locate
+    the bucket where the cut falls; rows of lower buckets are test, of
+    higher buckets train (a narrow projection), and just the cut bucket's
+    rows (about n / 2**bits) go through a ranked window."""
     if bucket_bits is None:
-        bucket_bits = indexing.bucket_bits_for_session(df.sparkSession)
-    ranked = indexing.hash_rank(df, [], [key], seed, bucket_bits=bucket_bits, idx="_rank",
-                                hash_col="_split_h")
-    n_test = df.agg(F.ceil(F.count(F.lit(1)).cast("double") * F.lit(float(test_fraction)))
-                    .alias("_n_test"))
-    out = with_one_row(ranked, n_test)
-    return out.withColumn(flag, (F.col("_rank") < F.col("_n_test")).cast("int")).drop(
-        "_rank", "_split_h", "_n_test")
+        bucket_bits = max(1, indexing.bucket_bits_for_session(df.sparkSession))
+    keyed = df.withColumn("_split_h", hash60(F.lit(str(seed)), col(key)))
+    keyed = keyed.withColumn("_bkt", F.shiftright(F.col("_split_h"), HASH_BITS - bucket_bits))
+    counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    # counts has at most 2**bucket_bits rows: the unpartitioned window is bounded
+    cum = counts.select("_bkt", "_c", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
+    total = counts.agg(F.sum("_c").alias("_n"))
+    cum = with_one_row(cum, total).withColumn(
+        "_n_test", F.ceil(F.col("_n").cast("double") * F.lit(float(test_fraction))))
+    cut = cum.filter((F.col("_before") < F.col("_n_test"))
+                     & (F.col("_before") + F.col("_c") >= F.col("_n_test")))
+    cut = cut.agg(F.coalesce(F.max("_bkt"), F.lit(-1)).alias("_cut_bkt"),
+                  F.coalesce(F.max(F.col("_n_test") - F.col("_before")), F.lit(0)).alias("_need"))
+    marked = with_one_row(keyed, cut)
+    outside = marked.filter(F.col("_bkt") != F.col("_cut_bkt")).withColumn(
+        flag, (F.col("_bkt") < F.col("_cut_bkt")).cast("int"))
+    inside = marked.filter(F.col("_bkt") == F.col("_cut_bkt"))
+    rank = F.row_number().over(Window.partitionBy("_bkt").orderBy("_split_h", col(key)))
+    inside = inside.withColumn(flag, (rank <= F.col("_need")).cast("int"))
+    out = outside.unionByName(inside)
+    return out.select(*[col(c) for c in df.columns], F.col(flag))
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], train_filter=None) -> DataFrame:
