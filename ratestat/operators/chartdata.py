@@ -116,14 +116,18 @@ def box_stats(df: DataFrame, grp: str, value: str, whis: float = 1.5,
         F.count_if(~inside).alias("n_outliers"))
 
 
-def box_outliers(df: DataFrame, grp: str, value: str, whis: float = 1.5) -> DataFrame:
-    """The rows drawn as outlier points (beyond the whisker limits)."""
-    stats = box_stats(df, grp, value, whis).select(
-        "grp", (F.col("q1") - whis * (F.col("q3") - F.col("q1"))).alias("_lo"),
-        (F.col("q3") + whis * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    j = df.join(F.broadcast(stats), col(grp) == F.col("grp"))
-    return j.filter((col(value) < F.col("_lo")) | (col(value) > F.col("_hi"))).drop(
-        "grp", "_lo", "_hi")
+def box_outliers(df: DataFrame, grp: str, value: str, whis: float = 1.5,
+                 quantile_method: str | None = None) -> DataFrame:
+    """The rows drawn as outlier points (beyond q1 - whis*IQR, q3 + whis*IQR);
+    the k-row quartile table is broadcast back to the rows."""
+    rows = df.filter(col(value).isNotNull() & col(grp).isNotNull())
+    q = quantiles.group_quantiles(rows.select(col(grp).alias("_g"), col(value).alias("_x")),
+                                  ["_g"], "_x", [0.25, 0.75], ["_q1", "_q3"], quantile_method)
+    limits = q.select("_g", (F.col("_q1") - whis * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
+                      (F.col("_q3") + whis * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
+    j = rows.join(F.broadcast(limits), col(grp) == F.col("_g"))  # one row per group
+    out = j.filter((col(value) < F.col("_lo")) | (col(value) > F.col("_hi")))
+    return out.select(*[col(c) for c in df.columns])
 
 
 KDE_REACH = 12.0  # kernel terms beyond 12 bandwidths are < exp(-72) ~ 5e-32

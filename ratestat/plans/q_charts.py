@@ -32,6 +32,11 @@ def q_box_stats(spark, d):
     return chartdata.box_stats(li, "l_returnflag", "l_extendedprice")
 
 
+def q_box_outliers(spark, d):
+    ev = read_table(spark, d, "events", "event_id", "event_type", "value")
+    return chartdata.box_outliers(ev, "event_type", "value")
+
+
 def q_kde_grid(spark, d):
     return chartdata.kde_grid(grouped_profile(spark, d), "grp", "difficulty_adj")
 
@@ -46,6 +51,7 @@ QUERIES = {
     "hist_fixed": q_hist_fixed,
     "hist_auto": q_hist_auto,
     "box_stats": q_box_stats,
+    "box_outliers": q_box_outliers,
     "kde_grid": q_kde_grid,
     "positional_bind": q_positional_bind,
 }
@@ -116,6 +122,11 @@ ON a.row_idx = b.row_idx"""
 SQL = {
     "hist_fixed": sql_round(HIST_FIXED_SQL, ["lo", "hi"]),
     "hist_auto": sql_round(HIST_AUTO_SQL, ["lo", "hi", "density"]),
+    "box_outliers": sql_round("""WITH q AS (SELECT event_type AS g,
+    quantile_cont(value, CAST(0.25 AS DOUBLE)) AS q1, quantile_cont(value, CAST(0.75 AS DOUBLE)) AS q3
+  FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type)
+SELECT e.event_id, e.event_type, e.value FROM events e JOIN q ON e.event_type = q.g
+WHERE e.value < q.q1 - 1.5 * (q.q3 - q.q1) OR e.value > q.q3 + 1.5 * (q.q3 - q.q1)""", ["value"]),
     "box_stats": sql_round(BOX_SQL, ["q1", "median", "q3", "mean", "whisker_lo", "whisker_hi"]),
     "kde_grid": sql_round(KDE_SQL, ["x", "density"]),
     "positional_bind": POS_SQL,

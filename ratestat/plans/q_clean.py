@@ -172,6 +172,10 @@ def q_region_lookup(spark, d):
                          "n_name", "region")
 
 
+def q_distinct_regions(spark, d):
+    return describe.distinct_values(q_region_lookup(spark, d), "region")
+
+
 def q_anova_region(spark, d):
     with_region = q_region_lookup(spark, d).filter(F.col("region").isNotNull())
     return hypothesis.anova(with_region, "region", "mean")
@@ -227,6 +231,7 @@ QUERIES = {
     "whitelist_filter": q_whitelist_filter,
     "left_join_mean": q_left_join_mean,
     "region_lookup": q_region_lookup,
+    "distinct_regions": q_distinct_regions,
     "anova_region": q_anova_region,
     "choropleth_table": q_choropleth_table,
     "class_balance": q_class_balance,
@@ -408,6 +413,7 @@ WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey""", ["mean"]),
     "whitelist_filter": sql_round(f"SELECT * FROM {kept_means_sql()} _k", ["mean"]),
     "left_join_mean": sql_round(f"SELECT * FROM {left_join_mean_sql()} _l", ["mean"]),
     "region_lookup": sql_round(f"SELECT * FROM {region_lookup_sql()} _r", ["mean"]),
+    "distinct_regions": f"SELECT DISTINCT region FROM {region_lookup_sql()} _r WHERE region IS NOT NULL",
     "anova_region": sql_round(anova_sql(f"(SELECT * FROM {region_lookup_sql()} _x WHERE region IS NOT NULL)",
                                         "region", "mean"),
                               ["ssb", "ssw", "f_stat", "df_between", "df_within", "p_value", "log10_p"]),

@@ -91,14 +91,33 @@ def _scored(spark, d):
                      (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 
-def q_logit_1f(spark, d):
+def _logit_fit(spark, d):
     li = read_table(spark, d, "lineitem", "l_quantity", "l_returnflag")
     z = modelprep.standardize(li, ["l_quantity"])
+    # identical (x, y) rows collapse to one weighted row before the Newton loop
     collapsed = z.groupBy(F.col("l_quantity").alias("x"),
                           (F.col("l_returnflag") == "R").cast("int").alias("y")).agg(
         F.count(F.lit(1)).alias("w"))
-    fit = classify.logistic_fit(collapsed, ["x"], "y", C=1.0, weight="w")
-    return fit.select(F.col("intercept"), F.col("coefs")[0].alias("coef_x"))
+    return classify.logistic_fit(collapsed, ["x"], "y", C=1.0, weight="w")
+
+
+def q_logit_1f(spark, d):
+    return _logit_fit(spark, d).select(F.col("intercept"), F.col("coefs")[0].alias("coef_x"))
+
+
+def q_logit_predict(spark, d):
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    z = modelprep.standardize(li, ["l_quantity"]).withColumnRenamed("l_quantity", "x")
+    scored = classify.logistic_proba(z, _logit_fit(spark, d), ["x"])
+    from ratestat.operators.derive import threshold_labels
+    return scored.select("l_orderkey", "l_linenumber", "proba",
+                         threshold_labels(F.col("proba"), 0.5).alias("pred"))
+
+
+def q_ridge_sweep_log(spark, d):
+    grid = gram.alpha_grid(spark, "logspace", 200, 0.0, 3.0)
+    sw = gram.ridge_sweep(scaled_frame(spark, d), FEATURES, TARGET, "is_test", grid)
+    return sw.select("alpha", "train_rmse", "val_rmse", "train_r2", "val_r2")
 
 
 def q_threshold_labels(spark, d):
@@ -147,6 +166,8 @@ QUERIES = {
     "ridge_predict": q_ridge_predict,
     "reg_metrics": q_reg_metrics,
     "logit_1f": q_logit_1f,
+    "logit_predict": q_logit_predict,
+    "ridge_sweep_log": q_ridge_sweep_log,
     "threshold_labels": q_threshold_labels,
     "roc_points": q_roc_points,
     "roc_auc": q_roc_auc,
@@ -213,7 +234,11 @@ UNION ALL SELECT 'difficulty_adj', c22 / det * c11 FROM v
 UNION ALL SELECT 'again', c11 / det * c22 FROM v"""
 
 
-def logit_sql() -> str:
+LOG_ALPHAS = ("SELECT i AS alpha_idx, CASE WHEN i = 199 THEN pow(10, CAST(3 AS DOUBLE)) "
+              f"ELSE pow(10, i * {3.0 / 199!r} + CAST(0 AS DOUBLE)) END AS alpha FROM range(200) r(i)")
+
+
+def logit_sql(final: str | None = None) -> str:
     steps = ["s0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b)"]
     for k in range(1, LOGIT_STEPS + 1):
         prev = f"s{k - 1}"
@@ -231,7 +256,7 @@ def logit_sql() -> str:
          CAST(l_returnflag = 'R' AS INTEGER) AS y, CAST(count(*) AS DOUBLE) AS w
        FROM lineitem, st GROUP BY 1, 2),
  {", ".join(steps)}
-SELECT a AS intercept, b AS coef_x FROM s{LOGIT_STEPS}"""
+{final or f"SELECT a AS intercept, b AS coef_x FROM s{LOGIT_STEPS}"}"""
 
 
 SCORED = """(SELECT l_orderkey, l_linenumber, l_quantity / 50 AS score,
@@ -306,6 +331,12 @@ SELECT CASE WHEN z.is_test = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS
       / (var_pop(z.y) * count(*)) AS r2
 FROM z, fit GROUP BY z.is_test""", ["rmse", "r2"]),
     "logit_1f": sql_round(logit_sql(), ["intercept", "coef_x"]),
+    "logit_predict": sql_round(logit_sql(f"""SELECT l.l_orderkey, l.l_linenumber,
+  1 / (1 + exp(-(s.a + s.b * ((l.l_quantity - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END)))) AS proba,
+  CAST(1 / (1 + exp(-(s.a + s.b * ((l.l_quantity - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END)))) > 0.5 AS INTEGER) AS pred
+FROM lineitem l, st, s{LOGIT_STEPS} s"""), ["proba"]),
+    "ridge_sweep_log": sql_round(
+        f"WITH {REG_CTE}, {fit_cte(LOG_ALPHAS)}, {METRICS_CTE} SELECT {', '.join(_SW)} FROM sw", _SW),
     "threshold_labels": sql_round(f"SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM {SCORED} _s", ["score"]),
     "roc_points": sql_round(f"WITH {ROC_CTE} SELECT * FROM pts", ["threshold", "fpr", "tpr"]),
     "roc_auc": sql_round(f"""WITH {ROC_CTE}
