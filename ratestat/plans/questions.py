@@ -38,6 +38,14 @@ def adjusted_table(raw: DataFrame, also_require=(), checkpoint: bool = True) ->
     return materialize(adj) if checkpoint else adj
 
 
+def row_key(df: DataFrame) -> DataFrame:
+    """Add ``_key``: two independent hashes of the whole (deduplicated) row,
+    about 96 bits, used when the table has no id column."""
+    cols = [col(c) for c in df.columns]
+    return df.withColumn("_key", F.concat_ws(":", F.xxhash64(*cols).cast("string"),
+                                             F.hash(*cols).cast("string")))
+
+
 def gender_groups(adj: DataFrame) -> DataFrame:
     return clean.exclusive_groups(adj, K.MALE, K.FEMALE, labels=("male", "female"))
 
@@ -71,10 +79,8 @@ def q2_spread(adj: DataFrame, alpha: float = K.ALPHA) -> dict[str, DataFrame]:
 
 def q3_effects(adj: DataFrame, replicates: int = K.BOOT_REPLICATES, draws: int = K.BOOT_DRAWS,
                seed=K.SEED, key: str | None = None) -> dict[str, DataFrame]:
-    g = gender_groups(adj)
-    if key is None:
-        g = g.withColumn("_key", F.xxhash64(*[col(c) for c in adj.columns]))
-        key = "_key"
+    g = gender_groups(adj if key else row_key(adj))
+    key = key or "_key"
     reps = materialize(effects.bootstrap_effects(effects.bootstrap_replicates(
         g, "grp", ADJ_RATING, key, ["male", "female"], replicates, draws, seed)))
     return {"replicates": reps,
@@ -113,10 +119,8 @@ def q5_difficulty(adj: DataFrame, alpha: float = K.ALPHA) -> dict[str, DataFrame
 
 def q6_effect(adj: DataFrame, replicates: int = K.BOOT_REPLICATES, seed=K.SEED,
               key: str | None = None) -> dict[str, DataFrame]:
-    g = gender_groups(adj)
-    if key is None:
-        g = g.withColumn("_key", F.xxhash64(*[col(c) for c in adj.columns]))
-        key = "_key"
+    g = gender_groups(adj if key else row_key(adj))
+    key = key or "_key"
     reps = materialize(effects.bootstrap_effects(effects.bootstrap_replicates(
         g, "grp", ADJ_DIFFICULTY, key, ["male", "female"], replicates, None, seed)))
     return {"cohens_d": effects.cohens_d(g, "grp", ADJ_DIFFICULTY, "male", "female"),
@@ -151,7 +155,7 @@ def ridge_question(adj_b: DataFrame, features, target, scale, alphas: DataFrame,
 def _keyed(adj_b: DataFrame, key: str | None):
     if key:
         return adj_b, key
-    return adj_b.withColumn("_key", F.xxhash64(*[col(c) for c in adj_b.columns])), "_key"
+    return row_key(adj_b), "_key"
 
 
 def q7_numeric(adj_b: DataFrame, seed=K.SEED, key: str | None = None):

@@ -77,6 +77,19 @@ def test_cleaning_counts(raw, adj):
     assert a["duplicates"].first()[0] == 1
 
 
+def test_adjusted_csv_round_trip(spark, adj, tmp_path):
+    out = str(tmp_path / "adjusted")
+    survey.write_csv(adj, out)
+    back = survey.read_adjusted(spark, out)
+    assert back.columns == adj.columns
+    assert back.count() == adj.count()
+    a = adj.agg(*[__import__("pyspark.sql.functions", fromlist=["sum"]).sum(f"`{c}`")
+                  for c in (Q.ADJ_RATING, K.TOTAL_TAGS)]).first()
+    b = back.agg(*[__import__("pyspark.sql.functions", fromlist=["sum"]).sum(f"`{c}`")
+                   for c in (Q.ADJ_RATING, K.TOTAL_TAGS)]).first()
+    assert list(a) == pytest.approx(list(b), rel=1e-12)
+
+
 def test_q1_q2(adj):
     r1 = Q.q1_rating(adj)
     t = r1["test"].first()
