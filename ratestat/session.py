@@ -40,13 +40,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return tune_session(spark)
 
 
-# Runtime SQL settings the operators rely on.  Constraint propagation is
-# switched off because the statistical plans re-use one wide profile several
-# times (priors, centres, moments) and the inferred-constraint sets grow
-# combinatorially with the aliased columns; the filters we need are explicit.
+# Runtime SQL settings the operators rely on (set on the caller's session
+# too, since the driver builds its own).  Plans stay small because shared
+# intermediates are checkpointed (see ``materialize``); without that, the
+# repeated wide profile subtrees made constraint propagation explode during
+# planning.
 RUNTIME_CONF = {
-    "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
 
