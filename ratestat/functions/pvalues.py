@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ratestat.functions import tails
+from ratestat.session import ship_package
 
 
 @pandas_udf(DoubleType())
@@ -42,6 +43,7 @@ def p_value(kind: str | Column, stat: Column | str, df1: Column | str | float |
         if isinstance(c, str):
             return F.col(c).cast("double")
         return F.lit(float(c))
+    ship_package()
     kind_col = kind if isinstance(kind, Column) else F.lit(kind)
     return _p_value_udf(kind_col, as_col(stat), as_col(df1), as_col(df2))
 
@@ -68,5 +70,6 @@ def _mwu_udf(u1: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd
 
 def mwu_p_value(u1, n1, n2, tie_term) -> Column:
     """struct(p_value, method) for a two-sided Mann-Whitney test."""
+    ship_package()
     return _mwu_udf(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
                       for c in (u1, n1, n2, tie_term)])

@@ -20,6 +20,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, Stru
                                StructType)
 
 from ratestat.operators.common import col, with_one_row
+from ratestat.session import ship_package
 
 
 def _sum_exprs(xs, y):
@@ -156,6 +157,7 @@ def ridge_sweep(df: DataFrame, features: Sequence[str], target: str, split_col:
     # intercepts are reported on the original target scale
     packed = with_one_row(packed, shift)
     grid = with_one_row(alphas, packed)  # the Gram sums ride along as one scalar
+    ship_package(df.sparkSession)
     return grid.mapInPandas(_sweep_fn(p), SWEEP_SCHEMA)
 
 
@@ -243,4 +245,5 @@ def vif(df: DataFrame, features: Sequence[str], intercept_name: str = "Intercept
                 out.append((intercept_name, v0))
                 out += [(f, vi[i]) for i, f in enumerate(feats)]
             yield pd.DataFrame(out, columns=["feature", "vif"])
+    ship_package(df.sparkSession)
     return packed.mapInPandas(run, VIF_SCHEMA)
