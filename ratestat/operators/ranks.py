@@ -92,6 +92,11 @@ def prefix_sums(collapsed: DataFrame, group_cols: Sequence[str], order_col: str,
     ordv = -col(order_col) if descending else col(order_col)
     base = collapsed.withColumn("_ord", ordv.cast("double"))
     base = _assign_buckets(base, groups, gnames, n_buckets)
+    if n_buckets > 1:
+        # percentile_approx bounds may differ between two evaluations (merge
+        # order); the running sums and the bucket totals below must see the
+        # SAME bucket of every value, also after a task retry: fix it once.
+        base = materialize(base)
     part = [*groups, F.col("_bucket")]
     w_run = Window.partitionBy(*part).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
     running = base.select("*", *[F.sum(col(c)).over(w_run).alias(f"_run_{c}") for c in sum_cols])
