@@ -59,3 +59,19 @@ def test_mwu_asymptotic_hand_value():
     p, method = tails.mwu_p_two_sided(7.0, 5, 6, 30.0)
     assert method == "asymptotic"
     assert p == pytest.approx(0.1660105644, abs=1e-9)
+
+
+@pytest.mark.parametrize("df", [1e9, 1e11])
+@pytest.mark.parametrize("t", [0.5, 2.0, 8.0, 20.0])
+def test_t_tail_huge_df_is_normal(df, t):
+    # the t law is normal to O(1/df): relative agreement must be ~1e-8 or better
+    assert tails.t_sf(t, df) == pytest.approx(tails.norm_sf(t), rel=1e-7)
+    assert tails.f_sf(t * t, 1, df) == pytest.approx(2 * tails.norm_sf(t), rel=1e-7)
+
+
+def test_log_beta_branches_agree():
+    for a, b in [(10.0, 0.5), (2e5, 0.5), (5e5, 3.0)]:
+        assert tails.log_beta(a, b) == pytest.approx(
+            math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b), abs=1e-9)
+    z = 3e6
+    assert tails._lgamma_shift(z, 0.5) == pytest.approx(math.lgamma(z + 0.5) - math.lgamma(z), abs=1e-6)
