@@ -51,12 +51,16 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, C: float =
     for it in range(1, max_iter + 1):
         eta = _linear(beta, xcols[1:])
         prob = 1 / (1 + F.exp(-eta))
-        r = F.col("_w") * (prob - F.col("_y"))
-        h = F.col("_w") * prob * (1 - prob)
+        # residual and IRLS weight computed once per row in a projection, so
+        # the (p+1)(p+2)/2 sums below are plain products of columns
+        step_rows = rows.select(*[F.col(f"_x{i}") for i in range(p)],
+                                (F.col("_w") * (prob - F.col("_y"))).alias("_r"),
+                                (F.col("_w") * prob * (1 - prob)).alias("_h"))
+        r, h = F.col("_r"), F.col("_h")
         aggs = [F.sum(r * xcols[i]).alias(f"g{i}") for i in range(p + 1)]
         aggs += [F.sum(h * xcols[i] * xcols[j]).alias(f"h{i}_{j}")
                  for i in range(p + 1) for j in range(i, p + 1)]
-        s = rows.agg(*aggs).first()
+        s = step_rows.agg(*aggs).first()
         grad = C * np.array([s[f"g{i}"] for i in range(p + 1)], dtype=float)
         hess = np.zeros((p + 1, p + 1))
         for i in range(p + 1):

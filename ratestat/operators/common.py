@@ -3,7 +3,7 @@ frames."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # Largest row count we hint as a broadcast side without further checks.
@@ -30,14 +30,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def _literal(value, dtype) -> Column:
+    if isinstance(value, Row):
+        fields = dtype.fields
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in fields])
+    return F.lit(value).cast(dtype)
+
+
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame (a global aggregate) to every
-    row as ONE scalar subquery: the value is computed once, before the main
-    stage, and inlined -- no join, no shuffle, nothing pairwise."""
-    names = one_row.columns
-    packed = one_row.select(F.struct(*[col(c) for c in names]).alias("_one")).scalar()
-    return df.select("*", packed.alias("_one")).select(
-        *[col(c) for c in df.columns], *[F.col("_one").getField(c).alias(c) for c in names])
+    """Attach the columns of a one-row frame (a global aggregate: a few
+    numbers) to every row as typed literals.
+
+    The row is fetched once -- a fixed-size result -- so the main plan has
+    no join and no subquery, and the values compile into the generated code.
+    (A scalar subquery referenced by hundreds of expressions made planning
+    slow; a broadcast nested-loop join was the other option.)"""
+    rows = one_row.take(2)
+    if len(rows) != 1:
+        raise ValueError(f"expected exactly one row, got {len(rows)}")
+    row = rows[0]
+    attached = [_literal(row[f.name], f.dataType).alias(f.name) for f in one_row.schema.fields]
+    return df.select(*[col(c) for c in df.columns], *attached)
 
 
 def sum_columns(cols: list[Column]) -> Column:
