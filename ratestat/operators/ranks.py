@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ratestat.operators.common import col
 from ratestat.session import materialize
-from ratestat.operators.common import with_one_row
 
 DEFAULT_BUCKETS = None      # None: sized from the distinct-value count
 ROWS_PER_BUCKET = 1_000_000  # target rows per (group, bucket) window task
