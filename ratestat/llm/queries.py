@@ -3,12 +3,14 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import substring_dedup
+from ratestat.llm import near_dedup, substring_dedup
 
 QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
 }
 
 SQL = {
     "op5_substring_dedup": substring_dedup.SQL,
+    "op7_near_dedup": near_dedup.SQL,
 }
