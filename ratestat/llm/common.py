@@ -3,6 +3,7 @@ hold-out remainders, bounded training samples."""
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,34 @@ from ratestat.session import checkpoint_dir, ship_package
 from ratestat.sources.tables import read_table
 
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most ``BATCH_BYTES`` for the jobs run inside: rows
+    here hold whole texts or sets, and buffers of the default size take more
+    memory than the tasks themselves.  The setting is put back afterwards."""
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_CONF)
+        else:
+            spark.conf.set(_BATCH_CONF, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the folder that ``spark.checkpoint.dir``
     names and return the table read back: computed once, pruned when read,
     and not lost with an executor."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/ratestat-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
