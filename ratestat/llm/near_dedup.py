@@ -13,9 +13,9 @@ buckets copy a pseudo-randomly probed other bucket.
 3. The sketches' Jaccard estimate, corrected for chance collisions of the
    compressed registers, drops pairs ``SLACK`` standard deviations below the
    threshold; the others are confirmed on their full shingle sets.
-4. Buckets whose members still are in several components are searched again:
-   a pair from two components is compared unless the shingles that no other
-   contested document holds rule it out.
+4. Members of buckets that still hold several components are rivals: all
+   pairs of rivals from two components that can reach the threshold are found
+   by an exact prefix join on their rarest shingles, and confirmed too.
 
 A pair at a similarity of 0.8 shares no bucket with probability 3e-6; all
 else is exact.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratestat.llm.common import prepare, staged
@@ -203,6 +203,35 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
                   .mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
 
 
+def _cross_pairs(rivals: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rivals(rep, n, component) from two components that can
+    reach the threshold: an exact prefix join.
+
+    Each set is ordered rarest shingle first.  Two sets that reach the
+    threshold share a shingle among the first n - ceil(percent/100 * n) + 1 of
+    both, and from the places of their first common one it follows how many
+    they can share at most.  Shingles that one document alone holds take up
+    places but never meet.  A shingle's largest component is not compared with
+    itself.
+    """
+    held = staged(sets.join(rivals.select("rep"), "rep").mapInArrow(_exploded, "shingle long, rep long"), "rival-shingles")
+    common = staged(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common-shingles")
+    ranked = held.join(common, "shingle", "left").select("rep", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    prefix = staged(ranked.withColumn("place", place).where("df > 1").join(rivals, "rep")
+                    .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+                    .select("shingle", "rep", "n", "component", "place"), "prefixes")
+    kinds = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = (kinds.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+               .where("kinds > 1").select("shingle", F.col("top.component").alias("largest")))
+    rare = staged(prefix.join(largest, "shingle").where("component <> largest").drop("largest"), "rare-prefixes")
+    x, y = rare.alias("x"), prefix.alias("y")
+    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+                   & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
+            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+
+
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
@@ -251,21 +280,9 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = staged(placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                    .where("lo < hi").select("band"), "mixed-bands")
-    contested = placed.join(mixed, "band")
-    rivals = staged(contested.select("rep").distinct(), "rivals")
-    alone = (mine.join(rivals, "rep").mapInArrow(_exploded, "shingle long, rep long")
-             .groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
-             .groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
-    # shared: the shingles that some other contested document also holds
-    contested = staged(contested.join(alone, "rep", "left")
-                       .select("band", "rep", "n", "component", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-                       .where(100 * F.col("shared") >= percent * F.col("n")), "contested")
-    x, y = contested.alias("x"), contested.alias("y")
-    most = F.least("x.shared", "y.shared")
-    pairs = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))
-                    & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
-             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-             .join(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti"))
+    rivals = staged(placed.join(mixed, "band").select("rep", "n", "component").distinct(), "rivals")
+    pairs = _cross_pairs(rivals, mine, percent).join(
+        stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")), ["a", "b"], "left_anti")
     second = _links(pairs, sigs, mine, percent)
     joined = components(first.unionByName(second))
     named = staged(classes.join(joined, F.col("rep") == F.col("node"), "left")
