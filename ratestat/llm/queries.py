@@ -3,11 +3,14 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import near_dedup, substring_dedup
+from ratestat.llm import decontam, language, near_dedup, quality, substring_dedup
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op4_language": language.op4_language,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 SQL = {
