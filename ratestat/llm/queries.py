@@ -3,13 +3,15 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import decontam, language, near_dedup, quality, substring_dedup
+from ratestat.llm import decontam, language, near_dedup, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_language": language.op4_language,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
