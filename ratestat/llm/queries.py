@@ -3,12 +3,14 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import decontam, language, near_dedup, quality, substring_dedup, token_counts, toxicity
+from ratestat.llm import decontam, language, lm_scores, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_packing": packing.op2_packing,
     "op4_language": language.op4_language,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_lm_scores": lm_scores.op6_lm_scores,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
