@@ -3,11 +3,13 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import decontam, language, lm_scores, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from ratestat.llm import (decontam, language, lm_scores, near_dedup, packing, quality, rule_cascade, substring_dedup,
+                          token_counts, toxicity)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
+    "op3_rule_cascade": rule_cascade.op3_rule_cascade,
     "op4_language": language.op4_language,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_lm_scores": lm_scores.op6_lm_scores,
@@ -18,6 +20,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_rule_cascade": rule_cascade.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_near_dedup": near_dedup.SQL,
 }
