@@ -70,24 +70,32 @@ def hash_order(id_col: str, seed: int):
     return F.xxhash64(F.lit(seed), F.col(id_col))
 
 
+def first_ids(ids: DataFrame, bound: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """The first ``bound`` distinct ids in the fixed hash order.  A cut of the
+    hash range set by the row count leaves about twice as many to sort, so
+    the whole column never is; rows that repeat ids can make it fewer."""
+    span = 1 << 30
+    share = min(1.0, 2 * bound / max(ids.count(), 1))
+    near = ids.select(id_col).where(F.pmod(hash_order(id_col, seed), F.lit(span)) < int(share * span) + 1)
+    return near.distinct().orderBy(F.pmod(hash_order(id_col, seed), F.lit(span)), id_col).limit(bound)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, value: int, bound: int,
                     seed: int, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """At most ``bound`` (id, text) rows whose label is ``value``: the first in
-    a fixed hash order of ids, so that the choice does not depend on how the
-    data are partitioned.  The ids are picked from the narrow label table; at
-    most ``bound`` of them are broadcast to fetch the texts."""
-    ids = (labels.where((F.col(label_col) == value) & F.col(id_col).isNotNull())
-           .select(id_col).distinct().orderBy(hash_order(id_col, seed), id_col).limit(bound))
-    return _texts(docs, ids, id_col, text_col)
+    """At most ``bound`` (id, text) rows whose label is ``value``, chosen by a
+    fixed hash of ids, so that the choice does not depend on how the data are
+    partitioned.  The ids are picked from the narrow label table; at most
+    ``bound`` of them are broadcast to fetch the texts."""
+    known = labels.where((F.col(label_col) == value) & F.col(id_col).isNotNull())
+    return _texts(docs, first_ids(known, bound, seed, id_col), id_col, text_col)
 
 
 def plain_sample(docs: DataFrame, where, bound: int, seed: int, id_col: str = "doc_id",
                  text_col: str = "text") -> list:
-    """At most ``bound`` (id, text) rows of ``docs`` with ``where``, in the
-    same fixed order."""
-    ids = (docs.where(where & F.col(id_col).isNotNull()).select(id_col).distinct()
-           .orderBy(hash_order(id_col, seed), id_col).limit(bound))
-    return _texts(docs, ids, id_col, text_col)
+    """At most ``bound`` (id, text) rows of ``docs`` with ``where``, chosen in
+    the same way."""
+    known = docs.where(where & F.col(id_col).isNotNull())
+    return _texts(docs, first_ids(known, bound, seed, id_col), id_col, text_col)
 
 
 def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratestat.llm.common import prepare
+from ratestat.llm.common import prepare, staged
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 FIXED, QUADRATIC = 32.0, 16384.0
@@ -94,7 +94,8 @@ def best_fit_packing(docs: DataFrame, size_col: str, lengths=LENGTHS, id_col: st
     """
     prepare(docs)
     longest = max(lengths)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(size_col).cast("long").alias("size")).where("size > 0")
+    sized = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(size_col).cast("long").alias("size"))
+                   .where("size > 0"), "sizes")
     pieces = sized.agg(F.coalesce(F.sum(F.ceil(F.col("size") / longest)), F.lit(0))).collect()[0][0]
     shards = max(1, -(-int(pieces) // SHARD))
     spread = F.xxhash64(F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()), F.col("piece"))

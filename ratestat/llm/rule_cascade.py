@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratestat.llm.common import hash_order, prepare, staged
+from ratestat.llm.common import first_ids, prepare, staged
 
 SAMPLE, WINDOW = 1000, 8
 SPACE = " \t\n\x0b\f\r"
@@ -77,8 +77,10 @@ BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 def order_rules(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> list:
     """The rules by rejected share per second on a sample of docs(doc_id,
-    text): the first ``sample`` documents in a fixed hash order."""
-    picked = staged(with_counts(docs.orderBy(hash_order("doc_id", 17), "doc_id").limit(sample)), "rule-sample")
+    text): ``sample`` ids at most, chosen by a fixed hash."""
+    known = docs.where("doc_id is not null")
+    ids = F.broadcast(first_ids(known.select("doc_id"), sample, 17))
+    picked = staged(with_counts(known.join(ids, "doc_id").select("doc_id", "text")), "rule-sample")
     picked = picked.where(f"not ({BASE_FAILED})")
 
     def measured(rule):
