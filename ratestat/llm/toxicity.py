@@ -7,9 +7,11 @@ directions, attention pools their states, and a logistic unit scores it; the
 text's score is its worst window's.
 
 Training (numpy, on the driver) uses at most ``TOXIC`` + ``CLEAN`` labelled
-documents.  The first coordinate of each vector starts as the log odds of its
-word or n-gram among toxic documents, which points out the windows of a toxic
-document that its label speaks of; then all weights are trained by Adam.
+documents.  Words and n-grams whose share of toxic documents is no chance
+(``LEAST_Z`` standard deviations) have vectors of their own, the others share
+one.  Their first coordinate starts as the log odds, which points out the
+windows of a toxic document that its label speaks of; then all weights are
+trained by Adam.
 Words are runs outside white space and ASCII punctuation, A-Z in lower case.
 """
 
@@ -24,11 +26,11 @@ from ratestat.llm.common import is_remainder, labelled_sample, prepare
 from ratestat.llm.textops import (LOWER, _BYTE_CODE, _CHARS, doc_chunks, mix64, ragged_range, text_buffers, word_hashes,
                                   word_spans)
 
-TOXIC, CLEAN = 1200, 2800
+TOXIC, CLEAN = 1000, 2000
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 4, 4, 8
-GRAM_ROWS, INNER, PREFIXES = 1 << 15, 10, (3, 5, 6)
-LEAST_DOCS, EPOCHS, BATCH, RATE = 5, 8, 256, 0.01
+GRAM_ROWS, INNER, PREFIXES = 1 << 17, 10, (3, 5, 6)
+LEAST_Z, EPOCHS, BATCH, RATE = 5.0, 8, 256, 0.01
 ACCEPT = 0.3
 
 _FOLD = LOWER.copy()
@@ -171,38 +173,55 @@ def backward(weights, x, mask, kept, slope):
     return grads, (d_part @ w.T).reshape(x.shape)
 
 
-def _log_odds(rows, toxic_doc, doc_of, size, n_toxic, n_docs):
-    """Smoothed log odds of each row (word or n-gram) by the documents that
-    hold it, 0 for rows in fewer than ``LEAST_DOCS``, and relative to the
-    share of toxic documents."""
-    key = np.unique(rows.astype(np.int64) * n_docs + doc_of)
-    row, doc = key // n_docs, key % n_docs
-    seen = np.bincount(row, minlength=size).astype(float)
-    bad = np.bincount(row, weights=toxic_doc[doc], minlength=size)
-    rate = n_toxic / n_docs
-    odds = np.log((bad + 2 * rate) / (seen - bad + 2 * (1 - rate))) - np.log(rate / (1 - rate))
-    return np.where(seen >= LEAST_DOCS, odds, 0.0)
+class _Texts:
+    """Training texts as word kinds: read in chunks, so that only word hashes
+    and the n-grams of distinct words are kept."""
+
+    def __init__(self, texts):
+        off, raw = text_buffers(pa.array(texts, pa.string()))
+        hashes, counts, kinds, grams = [], [], [], []
+        for _, _, o, r in doc_chunks(off, raw):
+            folded, starts, ends, word_off = folded_words(o, r)
+            h = word_hashes(folded, starts, ends)
+            kind, first = np.unique(h, return_index=True)
+            hashes.append(h)
+            counts.append(np.diff(word_off))
+            kinds.append(kind)
+            grams.append(gram_rows(folded, starts[first], ends[first]).astype(np.int32))
+        self.word_off = np.append(0, np.cumsum(np.concatenate(counts)))
+        self.kinds, first = np.unique(np.concatenate(kinds), return_index=True)
+        self.grams = np.concatenate(grams)[first]
+        self.back = np.searchsorted(self.kinds, np.concatenate(hashes)).astype(np.int32)
+
+    def log_odds(self, toxic, rows_of, size):
+        """Smoothed log odds of toxic documents for each word or n-gram row
+        (``rows_of`` gives a document's rows from its word kinds), relative to
+        their share; 0 for rows whose number of toxic documents is within
+        ``LEAST_Z`` standard deviations of chance."""
+        seen, bad = np.zeros(size), np.zeros(size)
+        for i, label in enumerate(toxic):
+            rows = np.unique(rows_of(np.unique(self.back[self.word_off[i]:self.word_off[i + 1]])))
+            seen[rows] += 1
+            bad[rows] += label
+        rate = max(float(toxic.sum()), 0.5) / len(toxic)
+        odds = np.log((bad + 2 * rate) / (seen - bad + 2 * (1 - rate))) - np.log(rate / (1 - rate))
+        z = (bad - rate * seen) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
+        return np.where((seen > 2) & (np.abs(z) >= LEAST_Z), odds, 0.0)
 
 
 def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
     rng = np.random.default_rng(seed)
-    off, raw = text_buffers(pa.array(texts, pa.string()))
-    folded, starts, ends, word_off = folded_words(off, raw)
-    hashes = word_hashes(folded, starts, ends)
-    kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    grams = gram_rows(folded, starts[first], ends[first])
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(word_off))
-    n_toxic = max(float(toxic.sum()), 0.5)
-    odds = _log_odds(back, toxic, doc_of, len(kinds), n_toxic, len(texts))
-    pair = np.unique(back.astype(np.int64) * len(texts) + doc_of)
-    kind_of, kind_doc = pair // len(texts), pair % len(texts)
+    read = _Texts(texts)
+    kinds, grams, back, word_off = read.kinds, read.grams, read.back, read.word_off
+    odds = read.log_odds(toxic, lambda k: k, len(kinds))
     known = np.flatnonzero(odds)
     net = Network(kinds[known], rng.normal(0, 0.1, (len(known) + 1, WORD_DIM)).astype(np.float32),
                   rng.normal(0, 0.1, (GRAM_ROWS, CHAR_DIM)).astype(np.float32), None)
     net.words[:, 0] = np.append(0, odds[known] / 3)
-    gram_odds = _log_odds(grams[kind_of].ravel(), toxic, np.repeat(kind_doc, _GRAMS), GRAM_ROWS, n_toxic, len(texts))
-    net.grams[:, 0] = gram_odds / 3
-    net.grams[0] = 0
+    net.grams[:, 0] = read.log_odds(toxic, lambda k: grams[k], GRAM_ROWS) / 3
+    telling = net.grams[:, :1] != 0
+    telling[0] = False
+    net.grams *= telling
     dim = WORD_DIM + CHAR_DIM
 
     def normal(*shape):
@@ -224,7 +243,8 @@ def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
     rank = np.empty(len(doc), dtype=np.int64)
     rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
     bad = toxic[doc] > 0
-    use = np.flatnonzero(np.where(bad, rank < 1 + (heat > 1), (rank < 2) | (rng.random(len(doc)) < 0.1)))
+    shown = (heat > 0.3) | (heat.max() <= 0.3)
+    use = np.flatnonzero(np.where(bad, shown & (rank < 2), (rank < 2) | (rng.random(len(doc)) < 0.1)))
     label = bad[use].astype(np.float32)
     params = [*net.weights, net.words, net.grams]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -248,7 +268,7 @@ def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
             dw, dg = np.zeros_like(net.words), np.zeros_like(net.grams)
             np.add.at(dw, rows[kind], dk[:, :WORD_DIM])
             np.add.at(dg, (np.take_along_axis(g, top, 1), np.arange(CHAR_DIM)), dk[:, WORD_DIM:])
-            dg[0] = 0
+            dg *= telling
             for k, (p, grad) in enumerate(zip(params, [*grads, dw, dg])):
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.99 * v[k] + 0.01 * grad * grad
