@@ -288,11 +288,11 @@ def scores(net: Network, off, raw) -> np.ndarray:
     x = x @ net.weights[0] + net.weights[1]
     doc, start, size = window_index(word_off)
     place = np.arange(WINDOW)[:, None]
-    for a in range(0, len(doc), 2048):
-        s, n = start[a:a + 2048], size[a:a + 2048]
+    for a in range(0, len(doc), 1024):
+        s, n = start[a:a + 1024], size[a:a + 1024]
         mask = (place < n).astype(np.float32)
         logit = _pooled(net.weights, x[back[np.minimum(s + place, len(back) - 1)]], mask)
-        np.maximum.at(out, doc[a:a + 2048], _sigmoid(logit))
+        np.maximum.at(out, doc[a:a + 1024], _sigmoid(logit))
     return out
 
 
@@ -309,7 +309,7 @@ def _scored(net):
     def emit(batches):
         for batch in batches:
             off, raw = text_buffers(batch.column("text"))
-            for a, b, o, r in doc_chunks(off, raw):
+            for a, b, o, r in doc_chunks(off, raw, 1 << 18):
                 score = scores(net, o, r) if net else np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(score)],
                                                  names=["doc_id", "score"])
