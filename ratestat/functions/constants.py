@@ -75,26 +75,9 @@ US_STATE_CODES = [
     "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
 ]
 
-# --- fixed values: state code -> census region (51 pairs, DC included) -----
-STATE_TO_REGION = {
-    "ME": "Northeast", "NH": "Northeast", "VT": "Northeast", "MA": "Northeast",
-    "RI": "Northeast", "CT": "Northeast", "NY": "Northeast", "NJ": "Northeast",
-    "PA": "Northeast",
-    "OH": "Midwest", "IN": "Midwest", "IL": "Midwest", "MI": "Midwest",
-    "WI": "Midwest", "MN": "Midwest", "IA": "Midwest", "MO": "Midwest",
-    "ND": "Midwest", "SD": "Midwest", "NE": "Midwest", "KS": "Midwest",
-    "DE": "South", "MD": "South", "DC": "South", "VA": "South", "WV": "South",
-    "NC": "South", "SC": "South", "GA": "South", "FL": "South", "KY": "South",
-    "TN": "South", "AL": "South", "MS": "South", "AR": "South", "LA": "South",
-    "OK": "South", "TX": "South",
-    "MT": "West", "ID": "West", "WY": "West", "CO": "West", "NM": "West",
-    "AZ": "West", "UT": "West", "NV": "West", "WA": "West", "OR": "West",
-    "CA": "West", "AK": "West", "HI": "West",
-}
-
 # --- fixed values: analysis parameters -------------------------------------
 ALPHA = 0.005
-SEED = 14420733
+SEED = 1
 BOOT_REPLICATES = 5000
 BOOT_DRAWS = 10000
 TAG_VALUE_CAP = 1.01

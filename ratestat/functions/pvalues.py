@@ -7,6 +7,8 @@ applied to final result rows (one per test), never below an aggregate.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +56,16 @@ def log10_p(p: Column) -> Column:
     return F.when(p > 0, F.log10(p))
 
 
+def log10_normal_two_sided(z: Column, p: Column) -> Column:
+    """log10 of a two-sided normal p-value, also where ``p`` has lost its
+    digits or become 0: there the tail's asymptotic series at ``z``."""
+    x = F.abs(z)
+    v = 1 / (x * x)
+    series = 1 - v * (1 - 3 * v * (1 - 5 * v * (1 - 7 * v)))
+    log = -x * x / 2 - F.log(x) - F.lit(0.5 * math.log(2 * math.pi)) + F.log(series) + F.lit(math.log(2))
+    return F.when(p > 1e-290, F.log10(p)).when(x > 30, log / F.lit(math.log(10)))
+
+
 @pandas_udf(StructType([StructField("p_value", DoubleType()), StructField("method", StringType())]))
 def _mwu_udf(u1: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.DataFrame:
     ps, methods = [], []

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ratestat.operators import quantiles
 from ratestat.operators.common import col
-from ratestat.operators.common import with_one_row
+from ratestat.operators.common import join_null_safe, with_one_row
 
 
 def arange_edges(start: float, stop: float, step: float) -> list[float]:
@@ -46,16 +46,19 @@ def histogram_fixed(df: DataFrame, grp: str | None, value: str, edges: Sequence[
 
     def edge(k):
         return F.element_at(arr, k + 1)
-    delta = (edges[-1] - edges[0]) / nb
+    if any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must ascend")
     keys = [col(grp).alias("grp")] if grp else [F.lit("all").alias("grp")]
     x = col(value)
-    binned = df.filter(x.isNotNull()).select(
-        *keys, _bin_of(x, F.lit(edges[0]), F.lit(delta), F.lit(nb), edge).alias("bin"))
+    # edges at or below x, for equal and unequal widths alike; the last bin is closed
+    below = F.size(F.filter(arr, lambda e: e <= x))
+    inside = (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
+    binned = df.filter(x.isNotNull()).select(*keys, F.when(inside, F.least(below, F.lit(nb)) - 1).alias("bin"))
     counts = binned.filter(F.col("bin").isNotNull()).groupBy("grp", "bin").agg(
         F.count(F.lit(1)).alias("count"))
     groups = df.select(*keys).distinct()
     grid = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bin"))
-    out = grid.join(counts, ["grp", "bin"], "left")
+    out = join_null_safe(grid, counts, ["grp", "bin"], "left")
     return out.select("grp", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"),
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 

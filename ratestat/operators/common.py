@@ -58,3 +58,15 @@ def sum_columns(cols: list[Column]) -> Column:
     for c in cols[1:]:
         total = total + c
     return total
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on ``keys`` with null equal to null, so that a null group keeps
+    its rows; ``small`` marks a right side to broadcast."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.select(*[col(k).alias(n) for k, n in names.items()], *[col(c) for c in right.columns if c not in names])
+    on = None
+    for k, n in names.items():
+        same = col(k).eqNullSafe(col(n))
+        on = same if on is None else on & same
+    return left.join(F.broadcast(right) if small else right, on, how).drop(*names.values())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestat.operators import quantiles
-from ratestat.operators.common import col, with_one_row
+from ratestat.operators.common import col
 
 
 def group_describe(df: DataFrame, grp: str, value: str, quantile_method: str | None = None) -> DataFrame:
@@ -54,39 +54,17 @@ def pair_corr(a, b):
     both = a.isNotNull() & b.isNotNull()
     sa = F.stddev_pop(F.when(both, a))
     sb = F.stddev_pop(F.when(both, b))
-    return F.try_divide(F.covar_pop(a, b), sa * sb)
-
-
-def _gram_corr_aggs(df: DataFrame, cols: list[str]):
-    """Null-free fast path: centre by the column means (one scalar row) and
-    take every r from one pass of p(p+1)/2 plain cross-product sums."""
-    p = len(cols)
-    means = df.agg(*[F.avg(col(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
-    cen = with_one_row(df.select(*[col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)]),
-                       means)
-    cen = cen.select(*[(F.col(f"_v{i}") - F.col(f"_m{i}")).alias(f"_c{i}") for i in range(p)])
-    sums = cen.agg(*[F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"_s{i}_{j}")
-                     for i in range(p) for j in range(i, p)])
-    return sums.select(*[F.try_divide(F.col(f"_s{i}_{j}"),
-                                      F.sqrt(F.col(f"_s{i}_{i}") * F.col(f"_s{j}_{j}")))
-                         .alias(f"_r{i}_{j}") for i in range(p) for j in range(i, p)])
+    constant = (F.min(F.when(both, a)) == F.max(F.when(both, a))) | (F.min(F.when(both, b)) == F.max(F.when(both, b)))
+    return F.when(~constant, F.try_divide(F.covar_pop(a, b), sa * sb))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlations, pairwise complete, long form ``(row, col, r)``.
-
-    One cheap pass counts nulls; without nulls every pair comes from one
-    centred Gram pass, otherwise each pair is computed over the rows where
-    both values exist, all pairs in one aggregation.  A constant column
-    gives null.
-    """
+    """Pearson correlations, pairwise complete, long form ``(row, col, r)``:
+    each pair over the rows where both values exist, all pairs in one
+    aggregation.  A column constant over a pair's rows gives null."""
     cols = list(cols)
-    n_null = df.agg(*[F.count_if(col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)]).first()
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    if sum(n_null) == 0:
-        wide = _gram_corr_aggs(df, cols)
-    else:
-        wide = df.agg(*[pair_corr(col(cols[i]), col(cols[j])).alias(f"_r{i}_{j}") for i, j in pairs])
+    wide = df.agg(*[pair_corr(col(cols[i]), col(cols[j])).alias(f"_r{i}_{j}") for i, j in pairs])
     cells = []
     for i, j in pairs:
         cells.append(F.struct(F.lit(cols[i]).alias("row"), F.lit(cols[j]).alias("col"),

@@ -33,6 +33,12 @@ def _sum_exprs(xs, y):
     return out
 
 
+def complete_rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows without a null (or NaN) in ``names``: sums, counts and means of a
+    fit must all speak of the same rows."""
+    return df.dropna(subset=list(names))
+
+
 def gram_table(df: DataFrame, features: Sequence[str], target: str, split_col: str | None = None,
                center: bool = True) -> DataFrame:
     """One row of packed sums per split value (``split``; 0 = train).
@@ -41,6 +47,7 @@ def gram_table(df: DataFrame, features: Sequence[str], target: str, split_col: s
     means first (a one-row broadcast), which keeps the sums free of
     cancellation without changing any fitted quantity."""
     feats = list(features)
+    df = complete_rows(df, [*feats, target])
     train = df.filter(col(split_col) == 0) if split_col else df
     if center:
         means = train.agg(*[F.avg(col(c)).alias(f"_c{i}") for i, c in enumerate(feats)],
@@ -148,6 +155,7 @@ def ridge_sweep(df: DataFrame, features: Sequence[str], target: str, split_col:
     from ONE pass of train/validation Gram sums.  Columns: alpha_idx, alpha,
     train/val RMSE and R^2, intercept, coefs (feature order)."""
     p = len(features)
+    df = complete_rows(df, [*features, target])
     g = gram_table(df, features, target, split_col, center=True)
     packed = g.agg(F.max(F.when(F.col("split") == 0, F.col("sums"))).alias("train_sums"),
                    F.max(F.when(F.col("split") == 1, F.col("sums"))).alias("val_sums"))
@@ -207,6 +215,39 @@ def regression_metrics(pred: DataFrame, y: str, y_hat: str, by: str | None = Non
 VIF_SCHEMA = StructType([StructField("feature", StringType()), StructField("vif", DoubleType())])
 
 
+SINGULAR = 1e-10  # share of a column's own variance that counts as none left
+
+
+def inflation(cmat, mu, n):
+    """(factor of each feature, factor of the intercept) from centred cross
+    products, means and row count.  A column that the others determine (to
+    ``SINGULAR`` of its variance) gets inf; a constant feature is the
+    intercept again, and both get inf."""
+    p = len(mu)
+    size = np.sqrt(np.diag(cmat) / max(n, 1) + mu * mu)
+    spread = np.sqrt(np.maximum(np.diag(cmat) / max(n, 1), 0))
+    constant = spread <= 1e-9 * np.maximum(size, 1e-300)
+    scale = np.where(constant, 1.0, spread * np.sqrt(max(n, 1)))
+    corr = cmat / np.outer(scale, scale)
+
+    def left_over(i, others):
+        if not others:
+            return 1.0
+        c = corr[others, i]
+        return float(1 - c @ np.linalg.pinv(corr[np.ix_(others, others)], rcond=1e-12, hermitian=True) @ c)
+
+    live = [i for i in range(p) if not constant[i]]
+    factors = [float("inf")] * p
+    for i in live:
+        rest = left_over(i, [j for j in live if j != i])
+        factors[i] = 1 / rest if rest > SINGULAR else float("inf")
+    if any(constant[i] and size[i] > 0 for i in range(p)):
+        return factors, float("inf")
+    m = mu[live] / scale[live]
+    inverse = np.linalg.pinv(corr[np.ix_(live, live)], rcond=1e-12, hermitian=True) if live else np.zeros((0, 0))
+    return factors, float(1 + n * m @ inverse @ m)
+
+
 def vif(df: DataFrame, features: Sequence[str], intercept_name: str = "Intercept") -> DataFrame:
     """Variance inflation factors of [Intercept, features] (least-squares
     definition): features from the inverse correlation matrix, the intercept
@@ -236,12 +277,7 @@ def vif(df: DataFrame, features: Sequence[str], intercept_name: str = "Intercept
                         cmat[i, j] = cmat[j, i] = v[k]
                         k += 1
                 mu = np.asarray(r.mu, dtype=float)
-                try:
-                    cinv = np.linalg.inv(cmat)
-                    vi = [float(cinv[i, i] * cmat[i, i]) for i in range(p)]
-                    v0 = float(1 + n * mu @ cinv @ mu)
-                except np.linalg.LinAlgError:
-                    vi, v0 = [float("inf")] * p, float("inf")
+                vi, v0 = inflation(cmat, mu, n)
                 out.append((intercept_name, v0))
                 out += [(f, vi[i]) for i, f in enumerate(feats)]
             yield pd.DataFrame(out, columns=["feature", "vif"])

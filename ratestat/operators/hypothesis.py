@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratestat.functions.pvalues import log10_p, mwu_p_value, p_value
+from ratestat.functions.pvalues import log10_normal_two_sided, log10_p, mwu_p_value, p_value
 from ratestat.operators import quantiles, ranks
 from ratestat.operators.common import col
 from ratestat.operators.common import with_one_row
@@ -188,7 +188,7 @@ def mannwhitney(df: DataFrame, grp: str, value: str, first, second,
     st = st.withColumn("_p", mwu_p_value("u1", "n1", "n2", "tie_term"))
     return st.select(*[c for c in st.columns if c != "_p"],
                      F.col("_p.p_value").alias("p_value"), F.col("_p.method").alias("method"),
-                     log10_p(F.col("_p.p_value")).alias("log10_p"))
+                     log10_normal_two_sided(F.col("z"), F.col("_p.p_value")).alias("log10_p"))
 
 
 def mannwhitney_columns(df: DataFrame, grp: str, value_cols: Sequence[str], first, second,

@@ -80,7 +80,7 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value: str,
     # targets: groups x len(probs) x 2 rows -- bounded, broadcast
     t = F.broadcast(targets.alias("t"))
     c = cum.alias("c")
-    cond = [F.col(f"c.{g}") == F.col(f"t.{g}") for g in gnames]
+    cond = [F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}")) for g in gnames]
     cond += [F.col("c.cum_c") - F.col("c.c") <= F.col("t.r"), F.col("t.r") < F.col("c.cum_c")]
     on = cond[0]
     for extra in cond[1:]:

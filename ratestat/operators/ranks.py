@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratestat.operators.common import col
+from ratestat.operators.common import col, join_null_safe
 from ratestat.session import materialize
 
 DEFAULT_BUCKETS = None      # None: sized from the distinct-value count
@@ -63,7 +63,7 @@ def _assign_buckets(base: DataFrame, groups, gnames, n_buckets: int) -> DataFram
         bounds = base.groupBy(*groups, "_bucket").agg(
             F.percentile_approx("_ord", F.array(*[F.lit(p) for p in probs]), 10000).alias("_bounds"))
         # bounds: groups x parent buckets rows -- bounded, broadcast
-        base = base.join(F.broadcast(bounds), keys, "inner")
+        base = join_null_safe(base, bounds, keys, small=True)
         sub = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_ord")))
         base = base.withColumn("_bucket", F.col("_bucket") * fan + sub).drop("_bounds")
     return base
@@ -115,7 +115,7 @@ def prefix_sums(collapsed: DataFrame, group_cols: Sequence[str], order_col: str,
           for c in sum_cols],
         *[F.lead(F.col("_first")[c]).over(w_off).alias(f"_nextb_{c}") for c in sum_cols])
     # offsets has one row per (group, bucket): bounded by groups x n_buckets.
-    out = running.join(F.broadcast(offsets), [*gnames, "_bucket"], "inner")
+    out = join_null_safe(running, offsets, [*gnames, "_bucket"], small=True)
     cols = [F.col(c) for c in collapsed.columns]
     cols += [(F.col(f"_off_{c}") + F.col(f"_run_{c}")).alias(f"cum_{c}") for c in sum_cols]
     if with_next:

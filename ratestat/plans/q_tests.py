@@ -50,7 +50,7 @@ def mwu_tags_frame(spark, d):
         ["grp"], [F.col(qi_spark(c)) for c in NORM_TAGS], "column_name", "value")
     long = long.filter(F.col("value") <= 1.01)
     res = hypothesis.mannwhitney(long, "grp", "value", "A", "B", by=["column_name"])
-    w = Window.orderBy(F.col("p_value").asc_nulls_last(), F.col("column_name"))
+    w = Window.orderBy(F.col("log10_p").asc_nulls_last(), F.col("column_name"))
     # the frame has one row per tested column (20 at most): a global window is fine
     return res.select(
         derive.strip_suffix(F.col("column_name"), NORM).alias("tag"), "u1", "n1", "n2", "z",

@@ -39,11 +39,10 @@ def adjusted_table(raw: DataFrame, also_require=(), checkpoint: bool = True) ->
 
 
 def row_key(df: DataFrame) -> DataFrame:
-    """Add ``_key``: two independent hashes of the whole (deduplicated) row,
-    about 96 bits, used when the table has no id column."""
-    cols = [col(c) for c in df.columns]
-    return df.withColumn("_key", F.concat_ws(":", F.xxhash64(*cols).cast("string"),
-                                             F.hash(*cols).cast("string")))
+    """Add ``_key``: a digest of the whole (deduplicated) row in which a null
+    keeps its place, used when the table has no id column."""
+    row = F.to_json(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]), {"ignoreNullFields": "false"})
+    return df.withColumn("_key", F.md5(row))
 
 
 def gender_groups(adj: DataFrame) -> DataFrame:
@@ -99,10 +98,10 @@ def q4_tags(adj: DataFrame, alpha: float = K.ALPHA) -> dict[str, DataFrame]:
         derive.strip_suffix(F.col("column_name"), K.NORMALIZED_SUFFIX).alias("tag"),
         "column_name", "u1", "z", "p_value", "log10_p", "method",
         derive.verdict(F.col("p_value"), alpha, "le").alias("verdict")))
-    ordered = res.orderBy(F.col("p_value").asc_nulls_last(), F.col("tag"))
+    ordered = res.orderBy(F.col("log10_p").asc_nulls_last(), F.col("tag"))
     return {"results": ordered,
             "most": ordered.limit(3),
-            "least": res.orderBy(F.col("p_value").desc_nulls_first(), F.col("tag").desc()).limit(3),
+            "least": res.orderBy(F.col("log10_p").desc_nulls_first(), F.col("tag").desc()).limit(3),
             "histogram": chartdata.histogram_fixed(
                 long.withColumn("grp_tag", F.concat_ws("|", "column_name", "grp")),
                 "grp_tag", "value", chartdata.arange_edges(-0.05, 1.15, 0.1))}

@@ -17,6 +17,9 @@ from ratestat.operators.indexing import scan_row_index
 def positional_bind(*frames: DataFrame, idx: str = "row_idx") -> DataFrame:
     if not frames:
         raise ValueError("nothing to bind")
+    for f in frames:
+        if len(f.inputFiles()) > 1:
+            raise ValueError("a table of several files has no row order; join it on a key")
     out = scan_row_index(frames[0], idx)
     for f in frames[1:]:
         out = out.join(scan_row_index(f, idx), idx, "full_outer")

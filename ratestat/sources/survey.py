@@ -32,10 +32,12 @@ def read_csv_columns(spark: SparkSession, path: str, names: Sequence[str],
                      numeric: Sequence[str] = (), header: bool = False,
                      na_tokens: Sequence[str] = K.NA_TOKENS) -> DataFrame:
     """Read a CSV whose columns are ``names`` (by position when headerless);
-    ``numeric`` columns become doubles (NaN never appears: missing is null)."""
+    ``numeric`` columns become doubles (NaN never appears: missing is null).
+    Quotes inside a quoted field are doubled, and it may hold line ends."""
     schema = StructType([StructField(n, StringType(), True) for n in names])
     raw = (spark.read.schema(schema).option("header", header).option("encoding", "UTF-8")
-           .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path))
+           .option("enforceSchema", True).option("mode", "PERMISSIVE")
+           .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
     numeric = set(numeric)
     out = []
     for n in names:
@@ -89,7 +91,8 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwr
     """CSV without an index column.  ``single_file`` coalesces to one part
     file (only for small outputs)."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", header).csv(path)
+    (out.write.mode(mode).option("header", header).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def counted_name(df: DataFrame, prefix: str, suffix: str = ".csv") -> str:

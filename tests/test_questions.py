@@ -8,6 +8,7 @@ import os
 import numpy as np
 import pytest
 
+from regions import STATE_TO_REGION
 from ratestat.functions import constants as K
 from ratestat.plans import questions as Q
 from ratestat.sources import survey
@@ -52,7 +53,7 @@ def files(tmp_path_factory):
         {"type": "Feature", "id": s, "properties": {"name": s},
          "geometry": {"type": "Point", "coordinates": [0, 0]}} for s in ("NY", "CA", "TX", "OH", "WA", "FL", "AK")]}
     (d / "us.json").write_text(json.dumps(geo))
-    (d / "regions.json").write_text(json.dumps(K.STATE_TO_REGION))
+    (d / "regions.json").write_text(json.dumps(STATE_TO_REGION))
     return str(d)
 
 

@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from regions import STATE_TO_REGION
 from ratestat.functions import constants as K
 from ratestat.sources import survey
 from ratestat.sources.positional import positional_bind
@@ -81,8 +82,8 @@ def test_json_map_and_geojson(spark, tmp):
 
 def test_fixed_values_shape():
     assert len(K.US_STATE_CODES) == 50 and "DC" not in K.US_STATE_CODES
-    assert len(K.STATE_TO_REGION) == 51 and K.STATE_TO_REGION["DC"] == "South"
-    regions = list(K.STATE_TO_REGION.values())
+    assert len(STATE_TO_REGION) == 51 and STATE_TO_REGION["DC"] == "South"
+    regions = list(STATE_TO_REGION.values())
     assert (regions.count("Northeast"), regions.count("Midwest"), regions.count("South"),
             regions.count("West")) == (9, 12, 17, 13)
     assert len(K.adjusted_column_order()) == 55
