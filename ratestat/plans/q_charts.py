@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratestat.operators import chartdata
+from ratestat.operators import chartdata, describe, quantiles
 from ratestat.plans import profiles as P
 from ratestat.plans.common import sql_round
 from ratestat.plans.q_clean import grouped_profile, grouped_sql
@@ -22,6 +22,32 @@ def q_hist_fixed(spark, d):
     return chartdata.histogram_fixed(g, "grp", HIST_TAG, TAG_EDGES)
 
 
+UNEQUAL_EDGES = [0.0, 1.0, 5.0, 20.0, 48.5, 50.0]
+
+
+def q_hist_unequal(spark, d):
+    """Quantities on edges of unequal widths, rows without a group included."""
+    li = read_table(spark, d, "lineitem", "l_returnflag", "l_quantity")
+    li = li.select(F.expr("nullif(l_returnflag, 'N')").alias("grp"), "l_quantity")
+    return chartdata.histogram_fixed(li, "grp", "l_quantity", UNEQUAL_EDGES)
+
+
+def q_quantile_null_group(spark, d):
+    """Quartiles by the distributed method, one of the groups being null."""
+    li = read_table(spark, d, "lineitem", "l_returnflag", "l_extendedprice")
+    li = li.select(F.expr("nullif(l_returnflag, 'N')").alias("grp"), "l_extendedprice")
+    return quantiles.group_quantiles(li, ["grp"], "l_extendedprice", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                                     method="distributed")
+
+
+def q_corr_constant(spark, d):
+    """Correlations with a constant column and one that has nulls."""
+    li = read_table(spark, d, "lineitem", "l_quantity", "l_extendedprice", "l_discount")
+    li = li.select("l_quantity", "l_extendedprice", F.lit(0.1).alias("constant"),
+                   F.expr("nullif(l_discount, 0.0D)").alias("discount"))
+    return describe.corr_matrix(li, ["l_quantity", "l_extendedprice", "constant", "discount"])
+
+
 def q_hist_auto(spark, d):
     li = read_table(spark, d, "lineitem", "l_returnflag", "l_extendedprice")
     return chartdata.histogram_auto(li, "l_returnflag", "l_extendedprice", AUTO_BINS, density=True)
@@ -48,6 +74,9 @@ def q_positional_bind(spark, d):
 
 
 QUERIES = {
+    "hist_unequal": q_hist_unequal,
+    "quantile_null_group": q_quantile_null_group,
+    "corr_constant": q_corr_constant,
     "hist_fixed": q_hist_fixed,
     "hist_auto": q_hist_auto,
     "box_stats": q_box_stats,
@@ -119,7 +148,33 @@ FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS ro
 FULL OUTER JOIN (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx FROM supplier) b
 ON a.row_idx = b.row_idx"""
 
+_EDGE_ROWS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(UNEQUAL_EDGES, UNEQUAL_EDGES[1:])))
+_LAST = len(UNEQUAL_EDGES) - 2
+HIST_UNEQUAL_SQL = f"""WITH e(bin, lo, hi) AS (VALUES {_EDGE_ROWS}),
+ r AS (SELECT nullif(l_returnflag, 'N') AS grp, l_quantity AS x FROM lineitem),
+ g AS (SELECT DISTINCT grp FROM r)
+SELECT g.grp, CAST(e.bin AS INTEGER) AS bin, CAST(e.lo AS DOUBLE) AS lo, CAST(e.hi AS DOUBLE) AS hi,
+  (SELECT count(*) FROM r WHERE r.grp IS NOT DISTINCT FROM g.grp AND r.x >= e.lo
+     AND (r.x < e.hi OR (e.bin = {_LAST} AND r.x = e.hi))) AS "count"
+FROM g, e"""
+
+QUANTILE_NULL_SQL = """SELECT nullif(l_returnflag, 'N') AS grp,
+  quantile_cont(l_extendedprice, CAST(0.25 AS DOUBLE)) AS q1, quantile_cont(l_extendedprice, CAST(0.5 AS DOUBLE)) AS median,
+  quantile_cont(l_extendedprice, CAST(0.75 AS DOUBLE)) AS q3
+FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1"""
+
+_CORR = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "constant": "NULL",
+         "discount": "nullif(l_discount, 0.0)"}
+CORR_CONSTANT_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS \"row\", '{b}' AS \"col\", "
+    + (f"corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" if "NULL" not in (x, y) else "CAST(NULL AS DOUBLE)")
+    + " AS r FROM lineitem" for a, x in _CORR.items() for b, y in _CORR.items())
+CORR_CONSTANT_SQL = f"SELECT DISTINCT * FROM (\n{CORR_CONSTANT_SQL}\n)"
+
 SQL = {
+    "hist_unequal": sql_round(HIST_UNEQUAL_SQL, ["lo", "hi"]),
+    "quantile_null_group": sql_round(QUANTILE_NULL_SQL, ["q1", "median", "q3"]),
+    "corr_constant": sql_round(CORR_CONSTANT_SQL, ["r"]),
     "hist_fixed": sql_round(HIST_FIXED_SQL, ["lo", "hi"]),
     "hist_auto": sql_round(HIST_AUTO_SQL, ["lo", "hi", "density"]),
     "box_outliers": sql_round("""WITH q AS (SELECT event_type AS g,

@@ -15,7 +15,7 @@ from ratestat.operators import clean, derive, describe, hypothesis
 from ratestat.plans import profiles as P
 from ratestat.plans.common import qi, sql_round, tail_sql
 from ratestat.session import shared_table
-from ratestat.sources.tables import read_table
+from ratestat.sources.tables import read_table, table_path
 from ratestat.operators.common import with_one_row
 
 NORM = " (Normalized)"
@@ -28,10 +28,14 @@ NATION_WHITELIST = [f"NATION_{i}" for i in range(25) if i not in (3, 7, 11)]
 
 
 # ------------------------------------------------------------ Spark plans
+def profile_inputs(d: str) -> list:
+    return [table_path(d, t) for t in ("lineitem", "part")]
+
+
 def profile(spark: SparkSession, d: str) -> DataFrame:
     """The part profile, computed once per dataset (one pass over line
-    items) and checkpointed: every statistic re-reads this table."""
-    return shared_table(spark, ("part_profile", d), lambda: P.part_profile(spark, d))
+    items) and materialised: every statistic re-reads this table."""
+    return shared_table(spark, ("part_profile", d), lambda: P.part_profile(spark, d), profile_inputs(d))
 
 
 def cleaned_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
@@ -49,7 +53,7 @@ def adjusted_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:
         adj = derive.normalize_by(adj, P.TAGS, P.N, suffix=NORM)
         return derive.tag_totals(adj, P.TAGS, P.N, total="total_tags",
                                  per_rating="tags_per_rating")
-    return shared_table(spark, ("adjusted_profile", d, tuple(also_require)), build)
+    return shared_table(spark, ("adjusted_profile", d, tuple(also_require)), build, profile_inputs(d))
 
 
 def grouped_profile(spark: SparkSession, d: str, also_require=()) -> DataFrame:

@@ -9,7 +9,7 @@ from ratestat.functions.constants import SEED
 from ratestat.operators import classify, gram, modelprep
 from ratestat.plans import profiles as P
 from ratestat.plans.common import sql_round
-from ratestat.plans.q_clean import adjusted_profile, adjusted_sql
+from ratestat.plans.q_clean import profile_inputs, adjusted_profile, adjusted_sql
 from ratestat.session import shared_table
 from ratestat.sources.tables import read_table
 from ratestat.operators.common import with_one_row
@@ -31,7 +31,7 @@ def scaled_frame(spark, d):
     """Split + train-scaled model frame, materialised: the Gram pass, the
     means and the predictions all read it."""
     return shared_table(spark, ("model_frame", d), lambda: modelprep.standardize(
-        reg_frame(spark, d), FEATURES, F.col("is_test") == 0))
+        reg_frame(spark, d), FEATURES, F.col("is_test") == 0), profile_inputs(d))
 
 
 def sweep(spark, d, n_alphas=N_ALPHAS):

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,24 +41,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return tune_session(spark)
 
 
-# Runtime SQL settings the operators rely on (set on the caller's session
-# too, since the driver builds its own).  Constraint propagation is off: the
-# statistical plans carry hundreds of aliased aggregate expressions, and the
-# inferred-constraint sets made planning slow (and, before intermediates were
-# checkpointed, hang); measured on the sf0.1 suite, the plans run faster
-# without it.  The filters that matter are explicit and still pushed to the
-# Parquet scans.
-RUNTIME_CONF = {
-    "spark.sql.constraintPropagation.enabled": "false",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
-
 def tune_session(spark: SparkSession) -> SparkSession:
-    for k, v in RUNTIME_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
+    """Prepare the caller's session without changing its settings: the
+    package is shipped to its workers."""
     ship_package(spark)
     return spark
 
@@ -107,7 +93,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="ratestat-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -116,27 +102,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint into
-    the shared ``spark.checkpoint.dir`` (survives executor loss, unlike
-    ``localCheckpoint``).  Use it for an intermediate that a plan reads
+    """Compute ``df`` once and cut its lineage: Parquet in the shared folder
+    (it survives executor loss), read back with column pruning, filter
+    pushdown and statistics.  Use it for an intermediate that a plan reads
     several times, so the expensive upstream (e.g. the line-item
     aggregation) runs once instead of once per reuse."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/ratestat/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-cut_lineage = materialize
 
 _SHARED: dict = {}
 
 
-def shared_table(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Materialise ``build()`` once per Spark application and ``key`` and
-    hand the same checkpointed DataFrame to every later caller -- the
-    analysis' "write the adjusted table once, let every question read it"
-    stage.  Checkpoint files live in the shared checkpoint folder, so a lost
-    executor does not lose them."""
-    full = (spark.sparkContext.applicationId, *key)
+def table_version(spark: SparkSession, *paths: str) -> tuple:
+    """Names, sizes and times of the files under ``paths``: a table that is
+    written anew under its old path gets another version."""
+    out = []
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hadoop)]
+    return tuple(sorted(out))
+
+
+def shared_table(spark: SparkSession, key: tuple, build, inputs=()) -> DataFrame:
+    """Materialise ``build()`` once per Spark application, ``key`` and state
+    of the ``inputs`` (paths of the tables it reads), and hand the same table
+    to every later caller -- the analysis' "write the adjusted table once, let
+    every question read it" stage.  The files live in the shared folder, so a
+    lost executor does not lose them."""
+    full = (spark.sparkContext.applicationId, *key, table_version(spark, *inputs))
     if full not in _SHARED:
         _SHARED[full] = materialize(build())
     return _SHARED[full]
