@@ -8,9 +8,16 @@ exactly the same draws.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ratestat.session import ship_package
+
 HASH_BITS = 60
 
 
@@ -33,6 +40,48 @@ def hash60(*parts) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def uniform_index(n, *parts) -> Column:
-    """Integer in [0, n) drawn by hash (n is a column or a number)."""
-    return F.pmod(hash60(*parts), _as_col(n).cast("long"))
+#: Draws by the billion are mixed from integers instead: multiply, xor with
+#: the high bits, keep 31 bits.  Every product stays below 2**62, so that any
+#: SQL engine replays it.
+DRAW_BITS = 31
+DRAWS = 2**DRAW_BITS
+SHIFTS = (16, 13, 17)
+
+
+def mix_keys(*parts) -> list[int]:
+    """Odd multipliers from the md5 of ':'-joined parts."""
+    text = ":".join(str(p) for p in parts)
+    digests = [hashlib.md5(f"{text}:{i}".encode()).hexdigest() for i in range(len(SHIFTS) + 1)]
+    return [(2**30 + int(d[:15], 16) % 2**29) | 1 for d in digests]
+
+
+def mix_numbers(number: np.ndarray, keys: Sequence[int]) -> np.ndarray:
+    """Draws in [0, DRAWS) that ``number`` (0 <= number < 2**62) and the keys
+    fix."""
+    out = (number % DRAWS * keys[0] + (number >> DRAW_BITS) * keys[1] % DRAWS) % DRAWS
+    for key, shift in zip(keys[1:], SHIFTS):
+        out = (out ^ (out >> shift)) * key % DRAWS
+    return out ^ (out >> SHIFTS[0])
+
+
+def mix(spark: SparkSession, number: Column, *lanes: Sequence[int]) -> Column:
+    """:func:`mix_numbers` of a column, one lane of 31 bits per key list (at
+    most two).  Numpy does it batch by batch: as a column expression every
+    xor would write its input out twice."""
+    ship_package(spark)
+
+    def draw(batch: pd.Series) -> pd.Series:
+        values = batch.to_numpy(dtype="int64")
+        out = np.zeros(len(values), dtype="int64")
+        for keys in lanes:
+            out = (out << DRAW_BITS) + mix_numbers(values, keys)
+        return pd.Series(out)
+    return F.pandas_udf(draw, "long")(number)
+
+
+def mix_sql(number: str, keys: Sequence[int]) -> str:
+    """:func:`mix` as SQL text."""
+    out = f"(({number}) % {DRAWS} * {keys[0]} + (({number}) >> {DRAW_BITS}) * {keys[1]} % {DRAWS}) % {DRAWS}"
+    for key, shift in zip(keys[1:], SHIFTS):
+        out = f"xor({out}, ({out}) >> {shift}) * {key} % {DRAWS}"
+    return f"xor({out}, ({out}) >> {SHIFTS[0]})"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ratestat.operators import quantiles
 from ratestat.operators.common import col
 from ratestat.operators.common import join_null_safe, with_one_row
+from ratestat.session import materialize
 
 
 def arange_edges(start: float, stop: float, step: float) -> list[float]:
@@ -81,8 +82,8 @@ def histogram_auto(df: DataFrame, grp: str | None, value: str, bins: int,
 
     def edge(k):
         return F.when(k >= nb, F.col("_hi")).otherwise(k.cast("double") * F.col("_step") + F.col("_lo"))
-    # one row per group: bounded by the number of groups
-    joined = rows.join(F.broadcast(rng), "grp")
+    rng = materialize(rng)  # one row per group, read twice; joined by its size
+    joined = rows.join(rng, "grp")
     f = ((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int")
     f = F.when(f == nb, nb - 1).otherwise(f)
     k1 = F.when(F.col("_x") < edge(f), f - 1).otherwise(f)
@@ -110,7 +111,7 @@ def box_stats(df: DataFrame, grp: str, value: str, whis: float = 1.5,
                                   quantile_method)
     q = q.withColumn("_lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + whis * (F.col("q3") - F.col("q1")))
-    j = rows.join(F.broadcast(q), "grp")  # one row per group
+    j = rows.join(materialize(q), "grp")  # one row per group
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     return j.groupBy("grp", "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"),
@@ -122,18 +123,18 @@ def box_stats(df: DataFrame, grp: str, value: str, whis: float = 1.5,
 def box_outliers(df: DataFrame, grp: str, value: str, whis: float = 1.5,
                  quantile_method: str | None = None) -> DataFrame:
     """The rows drawn as outlier points (beyond q1 - whis*IQR, q3 + whis*IQR);
-    the k-row quartile table is broadcast back to the rows."""
+    the quartile table is joined back to the rows by its size."""
     rows = df.filter(col(value).isNotNull() & col(grp).isNotNull())
     q = quantiles.group_quantiles(rows.select(col(grp).alias("_g"), col(value).alias("_x")),
                                   ["_g"], "_x", [0.25, 0.75], ["_q1", "_q3"], quantile_method)
     limits = q.select("_g", (F.col("_q1") - whis * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
                       (F.col("_q3") + whis * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
-    j = rows.join(F.broadcast(limits), col(grp) == F.col("_g"))  # one row per group
+    j = rows.join(materialize(limits), col(grp) == F.col("_g"))  # one row per group
     out = j.filter((col(value) < F.col("_lo")) | (col(value) > F.col("_hi")))
     return out.select(*[col(c) for c in df.columns])
 
 
-KDE_REACH = 12.0  # kernel terms beyond 12 bandwidths are < exp(-72) ~ 5e-32
+KDE_REACH = 39.0  # exp(-39 ** 2 / 2) is 0 as a double: nothing is left out
 
 
 def kde_grid(df: DataFrame, grp: str, value: str, gridsize: int = 200, cut: float = 3.0,
@@ -143,15 +144,15 @@ def kde_grid(df: DataFrame, grp: str, value: str, gridsize: int = 200, cut: floa
     is scaled by its group's share of all rows.
 
     Rows collapse to distinct (group, value, count); each distinct value
-    only touches the grid points within KDE_REACH bandwidths (a band of
-    the grid, not all pairs), then a grouped sum per grid point."""
+    touches the grid points where its kernel is not zero in double
+    precision, then a grouped sum per grid point."""
     x = col(value)
     rows = df.filter(x.isNotNull() & col(grp).isNotNull()).select(col(grp).alias("grp"),
                                                                    x.cast("double").alias("_x"))
     stats = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
                                     F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    total = rows.agg(F.count(F.lit(1)).alias("_ntot"))
-    stats = with_one_row(stats, total)
+    stats = materialize(stats)  # one row per group, read three times; joined by its size
+    stats = with_one_row(stats, stats.agg(F.sum("_n").alias("_ntot")))
     stats = stats.filter((F.col("_n") > 1) & (F.col("_sd") > 0))
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     stats = stats.withColumn("_lo", F.col("_mn") - cut * F.col("_bw")).withColumn(
@@ -162,8 +163,7 @@ def kde_grid(df: DataFrame, grp: str, value: str, gridsize: int = 200, cut: floa
     def gx(i):
         return F.when(i == last, F.col("_hi")).otherwise(i.cast("double") * F.col("_step") + F.col("_lo"))
     distinct = rows.groupBy("grp", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    # stats has one row per group: bounded, broadcast
-    d = distinct.join(F.broadcast(stats), "grp")
+    d = distinct.join(stats, "grp")
     reach = KDE_REACH * F.col("_bw")
     i_lo = F.greatest(F.lit(0), F.ceil((F.col("_x") - reach - F.col("_lo")) / F.col("_step")).cast("int"))
     i_hi = F.least(F.lit(last), F.floor((F.col("_x") + reach - F.col("_lo")) / F.col("_step")).cast("int"))

@@ -36,7 +36,10 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, C: float =
                  weight: str | None = None, max_iter: int = 50, tol: float = 1e-12) -> DataFrame:
     """Minimise 0.5*||w||^2 + C * sum(weight * logloss); intercept free.
 
-    Returns a one-row frame: intercept, coefs (array), n_iter, converged."""
+    A Newton step that does not lower the objective is halved until it does.
+    Raises ``RuntimeError`` when ``max_iter`` passes end without convergence,
+    ``ValueError`` when there is no complete row; rows with a null are left
+    out.  Returns a one-row frame: intercept, coefs (array), n_iter, converged."""
     spark: SparkSession = df.sparkSession
     p = len(features)
     xs = [col(f).cast("double") for f in features]
@@ -44,23 +47,33 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, C: float =
     w = col(weight).cast("double") if weight else F.lit(1.0)
     # every Newton step re-reads the training rows: materialise them once
     rows = materialize(df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"),
-                                 w.alias("_w")))
+                                 w.alias("_w")).dropna())
     xcols = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(p)]
-    beta = np.zeros(p + 1)
+    beta, step, objective = np.zeros(p + 1), np.zeros(p + 1), np.inf
     converged, it = False, 0
     for it in range(1, max_iter + 1):
-        eta = _linear(beta, xcols[1:])
+        eta = F.col("_eta")
         prob = 1 / (1 + F.exp(-eta))
         # residual and IRLS weight computed once per row in a projection, so
         # the (p+1)(p+2)/2 sums below are plain products of columns
-        step_rows = rows.select(*[F.col(f"_x{i}") for i in range(p)],
-                                (F.col("_w") * (prob - F.col("_y"))).alias("_r"),
-                                (F.col("_w") * prob * (1 - prob)).alias("_h"))
+        scored = rows.withColumn("_eta", _linear(beta, xcols[1:]))
+        loss = F.greatest(eta, F.lit(0.0)) - eta * F.col("_y") + F.log1p(F.exp(-F.abs(eta)))
+        step_rows = scored.select(*[F.col(f"_x{i}") for i in range(p)], (F.col("_w") * loss).alias("_loss"),
+                                  (F.col("_w") * (prob - F.col("_y"))).alias("_r"),
+                                  (F.col("_w") * prob * (1 - prob)).alias("_h"))
         r, h = F.col("_r"), F.col("_h")
         aggs = [F.sum(r * xcols[i]).alias(f"g{i}") for i in range(p + 1)]
         aggs += [F.sum(h * xcols[i] * xcols[j]).alias(f"h{i}_{j}")
                  for i in range(p + 1) for j in range(i, p + 1)]
-        s = step_rows.agg(*aggs).first()
+        s = step_rows.agg(F.sum("_loss").alias("loss"), *aggs).first()
+        if s["loss"] is None:
+            raise ValueError("no complete row to fit")
+        now = C * s["loss"] + 0.5 * float(beta[1:] @ beta[1:])
+        if now > objective + 1e-9 * abs(objective):
+            step = step / 2
+            beta = beta + step
+            continue
+        objective = now
         grad = C * np.array([s[f"g{i}"] for i in range(p + 1)], dtype=float)
         hess = np.zeros((p + 1, p + 1))
         for i in range(p + 1):
@@ -73,6 +86,8 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, C: float =
         if np.max(np.abs(step)) <= tol * max(1.0, np.max(np.abs(beta))):
             converged = True
             break
+    if not converged:
+        raise RuntimeError(f"logistic fit did not converge in {max_iter} passes")
     return spark.createDataFrame(
         [(float(beta[0]), [float(b) for b in beta[1:]], it, converged)],
         "intercept double, coefs array<double>, n_iter int, converged boolean")
@@ -95,29 +110,39 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
                                                  "neg": F.count_if(yl == 0).cast("long")})
 
 
-def roc_table(df: DataFrame, score: str, label: str, n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
-    """All distinct thresholds (descending) with cumulative tps/fps and the
-    next threshold's counts; plus totals P and N."""
-    counts = score_counts(df, score, label)
+def roc_table(counts: DataFrame, n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
+    """All distinct thresholds (descending) of a written ``score_counts``
+    table, with cumulative tps/fps and the next threshold's counts; plus
+    totals P and N."""
     cum = ranks.prefix_sums(counts, [], "value", ["pos", "neg"], descending=True,
-                            n_buckets=n_buckets, with_next=True)
-    totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return with_one_row(cum, totals)
+                            n_buckets=n_buckets, with_next=True, materialize_input=False)
+    return with_one_row(cum, _totals(counts))
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"))
 
 
 def roc_points(df: DataFrame, score: str, label: str, drop_intermediate: bool = True,
                n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
     """ROC points as scikit-learn's ``roc_curve``: a point per distinct score
     (``score >= threshold``), collinear interior points dropped, and a
-    leading (0, 0) point whose threshold is null (= +infinity)."""
-    t = roc_table(df, score, label, n_buckets)
+    leading (0, 0) point whose threshold is null (= +infinity).  The rows
+    are read once, for their counts per score."""
+    return roc_points_from(materialize(score_counts(df, score, label)), drop_intermediate, n_buckets)
+
+
+def roc_points_from(counts: DataFrame, drop_intermediate: bool = True,
+                    n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
+    """:func:`roc_points` of a written ``score_counts`` table."""
+    t = roc_table(counts, n_buckets)
     first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     last = F.col("next_pos").isNull()
     bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     kept = t.filter(first | last | bend) if drop_intermediate else t
     pts = kept.select(F.col("value").alias("threshold"), F.col("cum_neg").alias("fps"),
                       F.col("cum_pos").alias("tps"), "P", "N")
-    start = t.agg(F.first("P").alias("P"), F.first("N").alias("N")).select(
+    start = _totals(counts).where("P + N > 0").select(
         F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("fps"),
         F.lit(0).cast("long").alias("tps"), "P", "N")
     both = pts.unionByName(start)
@@ -128,7 +153,7 @@ def roc_points(df: DataFrame, score: str, label: str, drop_intermediate: bool =
 
 def roc_auc(df: DataFrame, score: str, label: str, n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
     """Trapezoidal AUC over the exact ROC (ties count one half)."""
-    t = roc_table(df, score, label, n_buckets)
+    t = roc_table(materialize(score_counts(df, score, label)), n_buckets)
     area = F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") * 0.5)
     return t.agg(F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("auc"))
 
@@ -144,6 +169,18 @@ def youden(points: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------- confusion and report
+def confusion_at(counts: DataFrame, threshold: Column) -> DataFrame:
+    """:func:`confusion` of the labels ``value > threshold``, from a
+    ``score_counts`` table that carries the threshold."""
+    above = F.col("value") > threshold
+    n = {(a, b): F.coalesce(F.sum(F.when(above if b else ~above, F.col("pos" if a else "neg"))), F.lit(0))
+         for a in (0, 1) for b in (0, 1)}
+    sums = counts.agg(*[e.alias(f"c{a}{b}") for (a, b), e in n.items()])
+    cells = [F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"), F.col(f"c{a}{b}").alias("count"))
+             for a, b in n]
+    return sums.select(F.inline(F.array(*cells)))
+
+
 def confusion(df: DataFrame, actual: str, predicted: str | Column) -> DataFrame:
     """2x2 confusion counts (actual, predicted, count), zeros included."""
     pred = col(predicted) if isinstance(predicted, str) else predicted

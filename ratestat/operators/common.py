@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ratestat.session import materialize
+
 # Largest row count we hint as a broadcast side without further checks.
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
@@ -62,11 +64,14 @@ def sum_columns(cols: list[Column]) -> Column:
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner", small: bool = False) -> DataFrame:
     """Join on ``keys`` with null equal to null, so that a null group keeps
-    its rows; ``small`` marks a right side to broadcast."""
+    its rows.  ``small`` marks a right side of one row per group: it is
+    written first, so that the planner broadcasts or shuffles it by the size
+    of its file, whatever the number of groups."""
+    right = materialize(right) if small else right
     names = {k: f"_right_{i}" for i, k in enumerate(keys)}
     right = right.select(*[col(k).alias(n) for k, n in names.items()], *[col(c) for c in right.columns if c not in names])
     on = None
     for k, n in names.items():
         same = col(k).eqNullSafe(col(n))
         on = same if on is None else on & same
-    return left.join(F.broadcast(right) if small else right, on, how).drop(*names.values())
+    return left.join(right, on, how).drop(*names.values())

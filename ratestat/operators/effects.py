@@ -1,23 +1,23 @@
 """Effect sizes and the hash-keyed two-group bootstrap.
 
 The bootstrap never loops on the driver: replicate draws are generated rows
-(``spark.range``), each draw picks a row index by hash, the draws are joined
-to the indexed data and reduced with ``groupBy(rep, grp)``.  Only the group
-sizes (k numbers) are read on the driver to lay out the draw table.
+(``spark.range``), each draw picks a row position by hash, the draws are
+joined to the ranked data and reduced with ``groupBy(rep, group)``.  Only the
+two group sizes are read on the driver, to lay out the draw table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratestat.functions.hashing import hash60
+from ratestat.functions.hashing import DRAW_BITS, DRAWS, hash60, mix, mix_keys
 from ratestat.operators import hypothesis, indexing
-from ratestat.operators.common import col
-
-BROADCAST_ROWS = 5_000_000
+from ratestat.operators.common import col, with_one_row
+from ratestat.session import materialize
 
 
 def _d_columns(n1, m1, v1, n2, m2, v2):
@@ -42,57 +42,93 @@ def variance_ratio(df: DataFrame, grp: str, value: str, first, second) -> DataFr
                      F.try_divide(F.col("v1"), F.col("v2")).alias("var_ratio"))
 
 
+def _pick_groups(stats: DataFrame) -> DataFrame:
+    """(rep, g, n, mean, var) to one row per replicate of groups 0 and 1."""
+    def pick(g, c):
+        return F.max(F.when(F.col("g") == g, F.col(c)))
+    return stats.groupBy("rep").agg(
+        *[pick(g, c).alias(f"{c}{g + 1}") for g in (0, 1) for c in ("n", "mean", "var")])
+
+
+def _group_number(grp: str, groups: Sequence) -> Column:
+    label = col(grp)
+    return F.when(label == F.lit(groups[0]), F.lit(0)).when(label == F.lit(groups[1]), F.lit(1))
+
+
 def bootstrap_replicates(df: DataFrame, grp: str, value: str, key: str, groups: Sequence,
                          replicates: int, draws: int | None, seed) -> DataFrame:
-    """One row per replicate with per-group mean/var of the resample.
+    """One row per replicate with per-group mean/var of the resample of the
+    two ``groups``.
 
     ``draws=None`` resamples n_g rows per group (n-out-of-n); an integer
-    draws that many per group (m-out-of-n).  Row index of draw (g, r, j) is
-    hash60(seed, g, r, j) mod n_g on a hash-ranked dense index.
-    """
+    draws that many per group (m-out-of-n).  Draw number j, counted over both
+    groups, picks the row whose rank by (hash, key) is a mix of j modulo n_g.  The
+    ranked rows are written, so that the planner broadcasts or shuffles them
+    by their size.  For n-out-of-n on large groups use
+    :func:`poisson_replicates`, which draws nothing."""
     spark: SparkSession = df.sparkSession
     groups = list(groups)
     rows = df.filter(col(grp).isin(groups) & col(value).isNotNull()).select(
-        col(grp).cast("string").alias("grp"), col(key).alias("_key"), col(value).alias("x"))
-    sizes = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_by = [int(sizes.get(str(g), 0)) for g in groups]
+        _group_number(grp, groups).alias("g"), col(key).alias("_key"), col(value).alias("x"))
+    sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_by = [int(sizes.get(g, 0)) for g in range(len(groups))]
     if min(n_by) == 0:
         raise ValueError(f"empty bootstrap group among {groups}: sizes {n_by}")
     bits = indexing.bucket_bits_for(max(n_by))
-    indexed = indexing.hash_rank(rows, ["grp"], ["_key"], seed, bucket_bits=bits).select(
-        "grp", "idx", "x")
+    ranked = indexing.hash_rank(rows, ["g"], ["_key"], seed, bucket_bits=bits)
+    # one position for both groups: the second follows the first
+    ranked = materialize(ranked.select((F.col("idx") + F.col("g") * n_by[0]).alias("_pos"), "x"))
 
     per_rep = [draws if draws else n for n in n_by]
-    spans = [replicates * m for m in per_rep]
-    starts = [sum(spans[:i]) for i in range(len(spans))]
-    total = sum(spans)
+    first = replicates * per_rep[0]
+    total = first + replicates * per_rep[1]
     slices = max(spark.sparkContext.defaultParallelism, total // 2_000_000 + 1)
-    ids = spark.range(0, total, numPartitions=min(100000, slices))
-    gi = F.lit(len(groups) - 1)
-    for i in range(len(groups) - 2, -1, -1):
-        gi = F.when(F.col("id") < F.lit(starts[i + 1]), F.lit(i)).otherwise(gi)
-    start = F.element_at(F.array(*[F.lit(s) for s in starts]), gi + 1)
-    m = F.element_at(F.array(*[F.lit(x) for x in per_rep]), gi + 1)
-    n = F.element_at(F.array(*[F.lit(x) for x in n_by]), gi + 1)
-    label = F.element_at(F.array(*[F.lit(str(g)) for g in groups]), gi + 1)
-    local = F.col("id") - start
-    drawn = ids.select(label.alias("grp"), F.floor(local / m).cast("long").alias("rep"),
-                       F.pmod(local, m).alias("draw"), n.alias("_n"))
-    drawn = drawn.select("grp", "rep", F.pmod(hash60(F.lit(str(seed)), "grp", "rep", "draw"),
-                                                 F.col("_n")).alias("idx"))
-    data = F.broadcast(indexed) if sum(n_by) <= BROADCAST_ROWS else indexed
-    joined = drawn.join(data, ["grp", "idx"], "inner")
-    stats = joined.groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"),
-                                             F.var_samp("x").alias("var"))
-    first, second = str(groups[0]), str(groups[1])
-
-    def pick(label_, c):
-        return F.max(F.when(F.col("grp") == label_, F.col(c)))
-    return stats.groupBy("rep").agg(
-        pick(first, "n").cast("double").alias("n1"), pick(first, "mean").alias("mean1"),
-        pick(first, "var").alias("var1"),
-        pick(second, "n").cast("double").alias("n2"), pick(second, "mean").alias("mean2"),
-        pick(second, "var").alias("var2"))
+    ids = spark.range(0, total, numPartitions=slices)
+    second = F.col("id") >= first
+
+    def of_group(a, b):
+        return F.when(second, F.lit(b)).otherwise(F.lit(a)).cast("long")
+    wide = mix(spark, F.col("id"), mix_keys(seed, "high"), mix_keys(seed, "low"))
+    drawn = ids.withColumn("_draw", wide).select(
+        second.cast("int").alias("g"),
+        F.floor((F.col("id") - of_group(0, first)) / of_group(*per_rep)).alias("rep"),
+        (F.col("_draw") % of_group(*n_by) + of_group(0, n_by[0])).alias("_pos"))
+    stats = drawn.join(ranked, "_pos").groupBy("rep", "g").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
+    return _pick_groups(stats)
+
+
+POISSON_LIMITS = [math.floor(DRAWS * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def poisson_replicates(df: DataFrame, grp: str, value: str, key: str, groups: Sequence,
+                       replicates: int, seed) -> DataFrame:
+    """:func:`bootstrap_replicates` for large groups: every row weighs
+    Poisson(1) in every replicate, fixed by (seed, key, replicate).  One scan
+    with sums per (replicate, group) combined map-side: no draw is shuffled
+    and no row is looked up.  The columns are the same; n1 and n2 are the
+    weights in the replicate, and a group that weighs 0 has no mean."""
+    groups = list(groups)
+    rows = df.filter(col(grp).isin(groups) & col(value).isNotNull()).select(
+        _group_number(grp, groups).alias("g"), hash60(F.lit(str(seed)), col(key)).alias("_k"),
+        col(value).cast("double").alias("x"))
+    means = rows.agg(*[F.avg(F.when(F.col("g") == i, F.col("x"))).alias(f"_c{i}") for i in (0, 1)])
+    rows = with_one_row(rows, means).withColumn("_c", F.when(F.col("g") == 0, F.col("_c0")).otherwise(F.col("_c1")))
+    row_keys, draw_keys = mix_keys(seed, "row"), mix_keys(seed, "poisson")
+    rows = rows.select("g", "_c", (F.col("x") - F.col("_c")).alias("_z"), mix(df.sparkSession, F.col("_k"), row_keys).alias("_m"))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    each = each.withColumn("_u", mix(df.sparkSession, F.col("_m") + F.shiftleft("rep", DRAW_BITS), draw_keys))
+    # weight k: u lies between the shares of at most k - 1 and at most k
+    weight = F.lit(0)
+    for i, limit in enumerate(POISSON_LIMITS):
+        weight = F.when(F.col("_u") >= limit, F.lit(i + 1)).otherwise(weight)
+    each = each.select("g", "rep", "_c", "_z", weight.cast("double").alias("_w"))
+    sums = each.groupBy("rep", "g").agg(
+        F.max("_c").alias("_c"), F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_z")).alias("_s1"),
+        F.sum(F.col("_w") * F.col("_z") * F.col("_z")).alias("_s2"))
+    shift = F.try_divide(F.col("_s1"), F.col("n"))
+    return _pick_groups(sums.select("rep", "g", "n", (F.col("_c") + shift).alias("mean"), F.try_divide(
+        F.col("_s2") - F.col("_s1") * shift, F.col("n") - 1).alias("var")))
 
 
 def bootstrap_effects(reps: DataFrame) -> DataFrame:

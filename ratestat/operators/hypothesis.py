@@ -2,8 +2,8 @@
 
 Every test is: one (or two) grouped aggregations over the rows -> a frame
 with one row per group -> a closed-form statistic on a one-row frame -> a
-tail probability computed on that final row.  Group counts are small
-(2 groups, k regions, 20 tags), so the per-group frames are size-bounded.
+tail probability computed on that final row.  The per-group frames
+are written and joined back by the size of their files.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ratestat.functions.pvalues import log10_normal_two_sided, log10_p, mwu_p_va
 from ratestat.operators import quantiles, ranks
 from ratestat.operators.common import col
 from ratestat.operators.common import with_one_row
+from ratestat.session import materialize
 
 
 # ---------------------------------------------------------------- moments
@@ -80,9 +81,10 @@ def ttest(df: DataFrame, grp: str, value: str, first, second, equal_var: bool =
 def anova_from_moments(moments: DataFrame) -> DataFrame:
     """One-way ANOVA from per-group (n, mean, var): F, df_between,
     df_within.  A group of one row contributes no within variance."""
-    w = moments.select(
+    # one row per group, read twice (grand mean, then the sums around it)
+    w = materialize(moments.select(
         F.col("n").cast("double").alias("n"), "mean",
-        F.when(F.col("n") > 1, F.col("var")).otherwise(F.lit(0.0)).alias("var"))
+        F.when(F.col("n") > 1, F.col("var")).otherwise(F.lit(0.0)).alias("var")))
     totals = w.agg(F.count(F.lit(1)).cast("double").alias("_k"), F.sum("n").alias("_ntot"),
                    F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_grand"))
     parts = with_one_row(w, totals).agg(
@@ -113,7 +115,7 @@ def levene(df: DataFrame, grp: str, value: str, center: str = "median",
            quantile_method: str | None = None) -> DataFrame:
     """Levene / Brown-Forsythe test: ANOVA on |x - center_g|.
 
-    Pass 1: per-group centre (median by default) -> a k-row frame broadcast
+    Pass 1: per-group centre (median by default) -> a k-row frame joined
     back; pass 2: moments of the absolute deviations."""
     v = col(value)
     rows = df.filter(v.isNotNull() & col(grp).isNotNull()).select(
@@ -124,7 +126,7 @@ def levene(df: DataFrame, grp: str, value: str, center: str = "median",
         centers = rows.groupBy("_g").agg(F.avg("_x").alias("_c"))
     else:
         raise ValueError("center must be 'median' or 'mean'")
-    z = rows.join(F.broadcast(centers), "_g").select(
+    z = rows.join(materialize(centers), "_g").select(
         "_g", F.abs(F.col("_x") - F.col("_c")).alias("_z"))
     stats = anova_from_moments(group_moments(z, "_g", "_z"))
     return _with_f_p(stats).withColumnRenamed("f_stat", "w_stat")

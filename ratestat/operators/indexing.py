@@ -3,8 +3,8 @@
 ``hash_rank`` gives each row its 0-based rank by (hash(seed, key), key)
 inside its partition group.  Because the hash is uniform, its high bits cut
 every group into equal buckets; rows are numbered inside (group, bucket)
-with a partitioned window, and bucket offsets come from a small bucket-count
-table (groups x buckets rows, broadcast).  The result depends only on the
+with a partitioned window, and bucket offsets come from a bucket-count table
+(groups x buckets rows, joined by its size).  The result depends only on the
 keys and the seed - never on partitioning, retries or executor loss.
 
 ``scan_row_index`` numbers rows in file order for positional binding.
@@ -19,26 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratestat.functions.hashing import HASH_BITS, hash60
-from ratestat.operators.common import col
+from ratestat.operators.common import col, join_null_safe
 
 ROWS_PER_BUCKET = 2_000_000
 
 
-def bucket_bits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_bits: int = 16) -> int:
+def bucket_bits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Bits of hash prefix giving buckets of about ``rows_per_bucket`` rows."""
     if n_rows <= rows_per_bucket:
         return 0
-    return min(max_bits, int(math.ceil(math.log2(n_rows / rows_per_bucket))))
-
-
-def bucket_bits_for_session(spark, max_bits: int = 16) -> int:
-    """Bucket bits matched to the session's shuffle parallelism, so a rank
-    never needs more than about one shuffle partition of rows per task."""
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        parts = 200
-    return min(max_bits, max(0, int(math.ceil(math.log2(max(parts, 1))))))
+    return int(math.ceil(math.log2(n_rows / rows_per_bucket)))
 
 
 def hash_rank(df: DataFrame, partition_cols: Sequence[str], key_cols: Sequence[str], seed,
@@ -59,9 +49,7 @@ def hash_rank(df: DataFrame, partition_cols: Sequence[str], key_cols: Sequence[s
     wo = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, "_bkt", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))
                             .alias("_off"))
-    # offsets: one row per (group, bucket) <= groups * 2**bucket_bits rows
-    names = list(partition_cols) + ["_bkt"]
-    out = out.join(F.broadcast(offsets), names, "inner")
+    out = join_null_safe(out, offsets, [*partition_cols, "_bkt"], small=True)
     return out.withColumn(idx, F.col("_off") + F.col("_rn") - 1).drop("_bkt", "_rn", "_off")
 
 

@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestat.functions.hashing import HASH_BITS, hash60
-from ratestat.operators import indexing
 from ratestat.operators.common import col, with_one_row
 
 
-def exact_split(df: DataFrame, key: str, seed, test_fraction: float = 0.2,
-                flag: str = "is_test", bucket_bits: int | None = None) -> DataFrame:
+LEVEL_BITS = 12          # hash bits settled per counting pass
+CUT_ROWS = 10_000        # a cut bucket of at most this many rows is ordered
+
+
+def exact_split(df: DataFrame, key: str, seed, test_fraction: float = 0.2, flag: str = "is_test") -> DataFrame:
     """Mark exactly ceil(test_fraction * n) rows as test: the rows with the
-    smallest hash60(seed, key) (ties by key).  The set does not depend on
-    partitioning.
+    smallest (hash60(seed, key), key), a null key coming first.  ``key`` must
+    be unique; equal keys get the same mark, so that the count may be missed
+    by their number.  The set does not depend on partitioning.
 
-    Only one hash bucket is ever ranked: bucket counts (2**bits rows) locate
-    the bucket where the cut falls; rows of lower buckets are test, of
-    higher buckets train (a narrow projection), and just the cut bucket's
-    rows (about n / 2**bits) go through a ranked window."""
-    if bucket_bits is None:
-        bucket_bits = max(1, indexing.bucket_bits_for_session(df.sparkSession))
-    keyed = df.withColumn("_split_h", hash60(F.lit(str(seed)), col(key)))
-    keyed = keyed.withColumn("_bkt", F.shiftright(F.col("_split_h"), HASH_BITS - bucket_bits))
-    counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    # counts has at most 2**bucket_bits rows: the unpartitioned window is bounded
-    cum = counts.select("_bkt", "_c", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    cum = with_one_row(cum, total).withColumn(
-        "_n_test", F.ceil(F.col("_n").cast("double") * F.lit(float(test_fraction))))
-    cut = cum.filter((F.col("_before") < F.col("_n_test"))
-                     & (F.col("_before") + F.col("_c") >= F.col("_n_test")))
-    cut = cut.agg(F.coalesce(F.max("_bkt"), F.lit(-1)).alias("_cut_bkt"),
-                  F.coalesce(F.max(F.col("_n_test") - F.col("_before")), F.lit(0)).alias("_need"))
-    marked = with_one_row(keyed, cut)
-    outside = marked.filter(F.col("_bkt") != F.col("_cut_bkt")).withColumn(
-        flag, (F.col("_bkt") < F.col("_cut_bkt")).cast("int"))
-    inside = marked.filter(F.col("_bkt") == F.col("_cut_bkt"))
-    rank = F.row_number().over(Window.partitionBy("_bkt").orderBy("_split_h", col(key)))
-    inside = inside.withColumn(flag, (rank <= F.col("_need")).cast("int"))
-    out = outside.unionByName(inside)
-    return out.select(*[col(c) for c in df.columns], F.col(flag))
+    The cut is narrowed by counting passes over the key: each pass counts
+    2**LEVEL_BITS buckets of the bucket where the cut falls, and the last
+    bucket, of a few rows, is ordered.  The mark is then a plain projection."""
+    keyed = df.select(col(key).alias("_k"), hash60(F.lit(str(seed)), col(key)).alias("_h"))
+    need, prefix, shift = None, None, HASH_BITS
+    while True:
+        inside = keyed if prefix is None else keyed.where(F.shiftright("_h", shift) == prefix)
+        shift -= LEVEL_BITS
+        # at most 2**LEVEL_BITS rows reach the driver
+        counts = sorted(tuple(r) for r in inside.groupBy(F.shiftright("_h", shift).alias("b")).count().collect())
+        if need is None:
+            need = math.ceil(sum(n for _, n in counts) * float(test_fraction))
+        if need <= 0:
+            return df.withColumn(flag, F.lit(0))
+        for prefix, n in counts:
+            if need <= n:
+                break
+            need -= n
+        if n <= CUT_ROWS or shift == 0:
+            break
+    last = (keyed.where(F.shiftright("_h", shift) == prefix).orderBy("_h", F.col("_k").asc_nulls_first())
+            .limit(need).agg(F.max_by(F.struct("_h", "_k"), F.struct("_h", "_k")).alias("c")).first()["c"])
+    h, k = hash60(F.lit(str(seed)), col(key)), col(key)
+    below = k.isNull() if last["_k"] is None else k.isNull() | (k <= F.lit(last["_k"]))
+    return df.withColumn(flag, ((h < last["_h"]) | ((h == last["_h"]) & below)).cast("int"))
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], train_filter=None) -> DataFrame:

@@ -1,21 +1,22 @@
-"""Exact quantiles (NumPy 'linear' interpolation) that scale.
-
-Spark's exact ``percentile`` aggregate keeps every distinct value of a
-group in one aggregation buffer -- fine for a few thousand distinct values,
-fatal for a group holding a third of a 100 TB table.  The distributed
-method instead:
-
-1. collapses rows to (group, value, count)  (partial aggregation),
-2. runs the bucketed prefix sums of :mod:`ratestat.operators.ranks`,
-3. finds, per group and probability, the distinct values at ranks
-   floor(q(n-1)) and the next one with a broadcast of the tiny target table
-   (groups x probabilities x 2 rows), and interpolates.
-
-No task holds more than one bucket of one group.  ``method="aggregate"``
-uses Spark's ``percentile`` (exact, memory grows with distinct values);
-``method="approx"`` uses ``percentile_approx``.  ``method="auto"`` (default)
-collapses first and, when the collapsed table is small enough for one
-aggregation buffer, runs the exact ``percentile`` over (value, count) pairs.
+"""Exact quantiles (NumPy 'linear' interpolation) in two pruned scans.
+
+Spark's exact ``percentile`` keeps every distinct value of a group in one
+aggregation buffer, and collapsing a near-distinct column to (value, count)
+shuffles a copy of it.  Instead:
+
+1. the first scan takes, per group, the row count and a sketched bracket
+   around each quantile (``percentile_approx`` just below and just above it);
+2. the second scan counts the rows of the gaps between the brackets and
+   collapses only the few rows inside them to (value, count);
+3. running counts over that small table give the value at each exact rank.
+
+The table of step 2 holds about 0.1 % of the rows per quantile and goes
+through the bucketed prefix sums of :mod:`ratestat.operators.ranks`, so no
+task holds a whole group.  The sketch only chooses where to look: a rank
+outside its bracket is reported as an error, never answered by guess.
+
+Null values are ignored, a null group is a group like any other.
+``method="approx"`` is ``percentile_approx`` alone.
 """
 
 from __future__ import annotations
@@ -26,71 +27,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestat.operators import ranks
-from ratestat.operators.common import col
+from ratestat.operators.common import col, join_null_safe, with_one_row
 from ratestat.session import materialize
 
-DEFAULT_METHOD = "auto"
 APPROX_ACCURACY = 100000
-# 'auto': exact percentile over the collapsed (value, count) table when it
-# has at most this many rows (its aggregation buffer is bounded by it),
-# otherwise the distributed prefix-sum method.
-AGG_DISTINCT_LIMIT = 1_000_000
+SKETCH_ACCURACY = 10000        # rank error of the sketch: n / SKETCH_ACCURACY
+MARGIN = 4 / SKETCH_ACCURACY   # bracket reach on either side of a quantile
+
+
+def _brackets(rows: DataFrame, gnames: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Per group: row count ``_n`` and the sorted bracket ends ``_lo``,
+    ``_hi``.  Written once: a sketch may differ between two evaluations, and
+    both readers must see the same ends.  The file's size tells the planner
+    whether it can be broadcast."""
+    ends = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
+    k = len(probs)
+    out = rows.groupBy(*[col(g) for g in gnames]).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_x", F.array(*[F.lit(e) for e in ends]), SKETCH_ACCURACY).alias("_e"))
+    return materialize(out.where("_n > 0").select(
+        *[col(g) for g in gnames], "_n", F.slice("_e", 1, k).alias("_lo"), F.slice("_e", k + 1, k).alias("_hi")))
 
 
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value: str,
                     probs: Sequence[float], names: Sequence[str],
                     method: str | None = None) -> DataFrame:
     """One row per group: ``group_cols`` + one column per probability.
-    Null values are ignored; groups with no value are absent."""
-    method = method or DEFAULT_METHOD
-    gcols = [col(g) for g in group_cols]
+    Groups with no value are absent; without ``group_cols`` there is always
+    one row, of nulls if there is no value."""
+    gnames = list(group_cols)
+    gcols = [col(g) for g in gnames]
     x = col(value)
-    rows = df.filter(x.isNotNull())
-    if method in ("aggregate", "approx"):
+    rows = df.filter(x.isNotNull()).select(*gcols, x.cast("double").alias("_x"))
+    if method == "approx":
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        agg = (F.percentile(x.cast("double"), arr) if method == "aggregate"
-               else F.percentile_approx(x.cast("double"), arr, APPROX_ACCURACY))
-        out = rows.groupBy(*gcols).agg(agg.alias("_q"))
-        return out.select(*gcols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    if method not in ("distributed", "auto"):
+        out = rows.groupBy(*gcols).agg(F.percentile_approx("_x", arr, APPROX_ACCURACY).alias("_q"))
+        return out.select(*gcols, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if method not in (None, "exact"):
         raise ValueError(f"unknown quantile method {method!r}")
 
-    gnames = list(group_cols)
-    counts = materialize(ranks.collapse_counts(rows, gnames, value, {"c": F.count(F.lit(1))}))
-    n_distinct = counts.count()  # one row per distinct (group, value); cheap on the checkpoint
-    if method == "auto" and n_distinct <= AGG_DISTINCT_LIMIT:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        out = counts.groupBy(*[F.col(g) for g in gnames]).agg(
-            F.percentile(F.col("value").cast("double"), arr, F.col("c")).alias("_q"))
-        return out.select(*[F.col(g) for g in gnames],
-                          *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    cum = ranks.prefix_sums(counts, gnames, "value", ["c"], materialize_input=False,
-                            n_rows=n_distinct)
-    totals = cum.groupBy(*[F.col(g) for g in gnames]).agg(F.sum("c").alias("_n"))
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    targets = totals.select(*[F.col(g) for g in gnames], "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.floor(pp).cast("long").alias("r_lo"),
-                 (pp - F.floor(pp)).alias("frac")) for i, pp in enumerate(pos)])).alias("_t"))
-    targets = targets.select(*[F.col(g) for g in gnames], "_t.k", "_t.frac",
-                             F.explode(F.array(
-                                 F.struct(F.lit(0).alias("side"), F.col("_t.r_lo").alias("r")),
-                                 F.struct(F.lit(1).alias("side"),
-                                          F.least(F.col("_t.r_lo") + 1, F.col("_n") - 1).alias("r")))
-                             ).alias("_s")).select(*[F.col(g) for g in gnames], "k", "frac", "_s.side", "_s.r")
-    # targets: groups x len(probs) x 2 rows -- bounded, broadcast
-    t = F.broadcast(targets.alias("t"))
-    c = cum.alias("c")
-    cond = [F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}")) for g in gnames]
-    cond += [F.col("c.cum_c") - F.col("c.c") <= F.col("t.r"), F.col("t.r") < F.col("c.cum_c")]
-    on = cond[0]
-    for extra in cond[1:]:
-        on = on & extra
-    hit = c.join(t, on, "inner").select(*[F.col(f"c.{g}").alias(g) for g in gnames],
-                                        F.col("t.k").alias("k"), F.col("t.frac").alias("frac"),
-                                        F.col("t.side").alias("side"), F.col("c.value").alias("v"))
-    per = hit.groupBy(*[F.col(g) for g in gnames], "k", "frac").agg(
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("_lo"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("_hi"))
-    per = per.withColumn("_q", (F.col("_lo") + F.col("frac") * (F.col("_hi") - F.col("_lo"))).cast("double"))
-    return per.groupBy(*[F.col(g) for g in gnames]).agg(
-        *[F.max(F.when(F.col("k") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    ascending = [float(probs[i]) for i in order]
+    ends = _brackets(rows, gnames, ascending)
+    if gnames:
+        placed = join_null_safe(rows, ends, gnames)
+    elif ends.isEmpty():
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    else:
+        placed = with_one_row(rows, ends)
+    # brackets ascend, so the rows of one gap lie between two neighbours
+    gap = F.aggregate("_hi", F.lit(0), lambda n, hi: n + (F.col("_x") > hi).cast("int"))
+    inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: F.col("_x").between(b["_lo"], b["_hi"]))
+    pieces = placed.select(*gcols, "_n", "_x", gap.alias("_gap"), F.when(inside, F.col("_x")).alias("_v"))
+    pieces = pieces.groupBy(*gcols, "_n", "_gap", "_v").agg(
+        F.min("_x").alias("value"), F.max("_x").alias("_top"), F.count(F.lit(1)).alias("c"))
+    cum = ranks.prefix_sums(pieces.select(*gcols, "_n", "value", "_top", "c"), gnames, "value", ["c"])
+
+    first, past = F.col("cum_c") - F.col("c"), F.col("cum_c")
+
+    def at(rank):
+        found = (F.when(F.col("value") == F.col("_top"), F.col("value"))
+                 .when(rank == first, F.col("value")).when(rank == past - 1, F.col("_top"))
+                 .otherwise(F.raise_error(F.lit("quantile rank outside its sketched bracket")).cast("double")))
+        return F.max(F.when((first <= rank) & (rank < past), found))
+
+    aggs, parts = [], {}
+    for i, p in zip(order, ascending):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        low = F.floor(pos).cast("long")
+        aggs += [at(low).alias(f"_l{i}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_h{i}"),
+                 F.max(pos - low).alias(f"_f{i}")]
+        parts[i] = F.col(f"_l{i}") + F.col(f"_f{i}") * (F.col(f"_h{i}") - F.col(f"_l{i}"))
+    out = cum.groupBy(*gcols).agg(*aggs)
+    return out.select(*gcols, *[parts[i].alias(n) for i, n in enumerate(names)])

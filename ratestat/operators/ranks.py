@@ -62,13 +62,23 @@ def _assign_buckets(base: DataFrame, groups, gnames, n_buckets: int) -> DataFram
         keys = [*gnames, "_bucket"]
         bounds = base.groupBy(*groups, "_bucket").agg(
             F.percentile_approx("_ord", F.array(*[F.lit(p) for p in probs]), 10000).alias("_bounds"))
-        # bounds: groups x parent buckets rows -- bounded, broadcast
+        # bounds: groups x parent buckets rows
         base = join_null_safe(base, bounds, keys, small=True)
         sub = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_ord")))
         base = base.withColumn("_bucket", F.col("_bucket") * fan + sub).drop("_bounds")
     return base
 
 
+def _running(base, groups, columns, sum_cols, with_next: bool) -> DataFrame:
+    """Cumulative sums of groups that are one bucket each."""
+    w = Window.partitionBy(*groups, F.col("_bucket")).orderBy("_ord")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = [col(c) for c in columns] + [F.sum(col(c)).over(up_to).alias(f"cum_{c}") for c in sum_cols]
+    if with_next:
+        out += [F.lead(col(c)).over(w).alias(f"next_{c}") for c in sum_cols]
+    return base.select(*out)
+
+
 def prefix_sums(collapsed: DataFrame, group_cols: Sequence[str], order_col: str,
                 sum_cols: Sequence[str], descending: bool = False,
                 n_buckets: int | None = DEFAULT_BUCKETS, with_next: bool = False,
@@ -96,6 +106,8 @@ def prefix_sums(collapsed: DataFrame, group_cols: Sequence[str], order_col: str,
         # order); the running sums and the bucket totals below must see the
         # SAME bucket of every value, also after a task retry: fix it once.
         base = materialize(base)
+    if n_buckets == 1:
+        return _running(base, groups, collapsed.columns, sum_cols, with_next)
     part = [*groups, F.col("_bucket")]
     w_run = Window.partitionBy(*part).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
     running = base.select("*", *[F.sum(col(c)).over(w_run).alias(f"_run_{c}") for c in sum_cols])

@@ -33,11 +33,10 @@ def q_hist_unequal(spark, d):
 
 
 def q_quantile_null_group(spark, d):
-    """Quartiles by the distributed method, one of the groups being null."""
+    """Quartiles, one of the groups being null."""
     li = read_table(spark, d, "lineitem", "l_returnflag", "l_extendedprice")
     li = li.select(F.expr("nullif(l_returnflag, 'N')").alias("grp"), "l_extendedprice")
-    return quantiles.group_quantiles(li, ["grp"], "l_extendedprice", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                                     method="distributed")
+    return quantiles.group_quantiles(li, ["grp"], "l_extendedprice", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
 
 
 def q_corr_constant(spark, d):

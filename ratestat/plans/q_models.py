@@ -10,7 +10,7 @@ from ratestat.operators import classify, gram, modelprep
 from ratestat.plans import profiles as P
 from ratestat.plans.common import sql_round
 from ratestat.plans.q_clean import profile_inputs, adjusted_profile, adjusted_sql
-from ratestat.session import shared_table
+from ratestat.session import materialize, shared_table
 from ratestat.sources.tables import read_table
 from ratestat.operators.common import with_one_row
 
@@ -140,11 +140,10 @@ def q_youden(spark, d):
 
 
 def _confusion(spark, d):
-    s = _scored(spark, d)
-    best = classify.youden(classify.roc_points(s, "score", "label")).select(
+    counts = materialize(classify.score_counts(_scored(spark, d), "score", "label"))
+    best = classify.youden(classify.roc_points_from(counts)).select(
         F.coalesce(F.col("threshold"), F.lit(float("inf"))).alias("_t"))
-    labelled = with_one_row(s, best)
-    return classify.confusion(labelled, "label", (F.col("score") > F.col("_t")).cast("int"))
+    return classify.confusion_at(with_one_row(counts, best), F.col("_t"))
 
 
 def q_confusion(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratestat.functions.constants import ALPHA, SEED
+from ratestat.functions.hashing import DRAW_BITS, mix_keys, mix_sql
 from ratestat.operators import derive, effects, hypothesis
 from ratestat.plans import profiles as P
 from ratestat.plans.common import qi, sql_round, tail_sql
@@ -15,8 +16,9 @@ from ratestat.plans.q_clean import (NORM, NORM_TAGS, STUDENT_DF, STUDENT_T, WELC
                                     moments_pair_sql, qi_spark)
 from ratestat.sources.tables import read_table
 from ratestat.operators.common import with_one_row
+from ratestat.operators.effects import POISSON_LIMITS
 
-BOOT_B = 200          # replicates in the registered queries (operator default 5000)
+BOOT_B = 5000         # replicates
 BOOT_M = 10000        # draws per group for the m-out-of-n bootstrap
 
 
@@ -96,6 +98,12 @@ def q_bootstrap_nn(spark, d):
     return effects.bootstrap_effects(reps).select("rep", "d_pooled")
 
 
+def q_bootstrap_poisson(spark, d):
+    reps = effects.poisson_replicates(grouped_profile(spark, d), "grp", "difficulty_adj", P.KEY,
+                                      ["A", "B"], BOOT_B, SEED)
+    return reps.select("rep", "n1", "mean1", "var1", "n2", "mean2", "var2")
+
+
 def q_bootstrap_ci(spark, d):
     return effects.bootstrap_ci(effects.bootstrap_effects(_reps_mn(spark, d)),
                                 ["d_average", "var_ratio"])
@@ -112,6 +120,7 @@ QUERIES = {
     "variance_ratio": q_variance_ratio,
     "bootstrap_mn": q_bootstrap_mn,
     "bootstrap_nn": q_bootstrap_nn,
+    "bootstrap_poisson": q_bootstrap_poisson,
     "bootstrap_ci": q_bootstrap_ci,
 }
 
@@ -171,26 +180,43 @@ def _h(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, 15))::BIGINT"
 
 
+_WIDE = """SELECT rep, {cols} FROM st GROUP BY rep""".format(cols=", ".join(
+    f"max({c}) FILTER (WHERE grp = '{g}') AS {c}{i}" for i, g in ((1, "A"), (2, "B")) for c in ("n", "mean", "var")))
+
+
+def _boot_rows(value: str) -> str:
+    return f"""rws AS (SELECT grp, {_h(f"'{SEED}:' || CAST(p_partkey AS VARCHAR)")} AS h, p_partkey AS k, {value} AS x
+        FROM {grouped_sql()} _g WHERE {value} IS NOT NULL AND grp IN ('A', 'B'))"""
+
+
 def boot_reps_sql(value: str, draws: int | None) -> str:
-    draw_rows = (f"SELECT s.grp, r.rep, dd.draw, s.n FROM sizes s, range({BOOT_B}) r(rep), "
-                 f"range({draws}) dd(draw)") if draws else (
-        f"SELECT s.grp, r.rep, dd.draw, s.n FROM sizes s, range({BOOT_B}) r(rep), "
-        f"(SELECT * FROM range((SELECT max(n) FROM sizes)) _d(draw)) dd WHERE dd.draw < s.n")
-    return f"""WITH rws AS (SELECT grp, p_partkey AS k, {value} AS x FROM {grouped_sql()} _g
-                WHERE {value} IS NOT NULL AND grp IN ('A', 'B')),
- ix AS (SELECT grp, x, row_number() OVER (PARTITION BY grp ORDER BY h, k) - 1 AS idx
-        FROM (SELECT *, {_h(f"'{SEED}:' || CAST(k AS VARCHAR)")} AS h FROM rws) _hh),
+    m = draws or "s.n"
+    high, low = (mix_sql("id", mix_keys(SEED, lane)) for lane in ("high", "low"))
+    rows = f"""(SELECT s.grp, s.n AS total, r.rep, CASE WHEN s.grp = 'A' THEN 0 ELSE {BOOT_B} * {draws or "na"} END
+        + r.rep * {m} + dd.draw AS id FROM sizes s, range({BOOT_B}) r(rep),
+        range({draws or "(SELECT max(n) FROM sizes)"}) dd(draw), (SELECT max(n) FILTER (WHERE grp = 'A') AS na FROM sizes)
+      WHERE dd.draw < {m})"""
+    return f"""WITH {_boot_rows(value)},
+ ix AS (SELECT grp, x, row_number() OVER (PARTITION BY grp ORDER BY h, k) - 1 AS idx FROM rws),
  sizes AS (SELECT grp, count(*) AS n FROM rws GROUP BY grp),
- dr AS ({draw_rows}),
- pk AS (SELECT grp, rep, {_h(f"'{SEED}:' || grp || ':' || CAST(rep AS VARCHAR) || ':' || CAST(draw AS VARCHAR)")} % n AS idx FROM dr),
- st AS (SELECT pk.rep, pk.grp, count(*) AS n, avg(ix.x) AS mean, var_samp(ix.x) AS var
+ pk AS (SELECT grp, rep, ((({high}) << {DRAW_BITS}) + ({low})) % total AS idx FROM {rows}),
+ st AS (SELECT pk.rep, pk.grp, CAST(count(*) AS DOUBLE) AS n, avg(ix.x) AS mean, var_samp(ix.x) AS var
         FROM pk JOIN ix ON pk.grp = ix.grp AND pk.idx = ix.idx GROUP BY pk.rep, pk.grp)
-SELECT rep,
-  CAST(max(n) FILTER (WHERE grp = 'A') AS DOUBLE) AS n1, max(mean) FILTER (WHERE grp = 'A') AS mean1,
-  max(var) FILTER (WHERE grp = 'A') AS var1,
-  CAST(max(n) FILTER (WHERE grp = 'B') AS DOUBLE) AS n2, max(mean) FILTER (WHERE grp = 'B') AS mean2,
-  max(var) FILTER (WHERE grp = 'B') AS var2
-FROM st GROUP BY rep"""
+{_WIDE}"""
+
+
+def boot_poisson_sql(value: str) -> str:
+    row, draw = mix_keys(SEED, "row"), mix_keys(SEED, "poisson")
+    u = f"""(SELECT grp, x, rep, {mix_sql(f"m + (rep << {DRAW_BITS})", draw)} AS u
+      FROM (SELECT grp, x, {mix_sql("h", row)} AS m FROM rws), range({BOOT_B}) r(rep))"""
+    weight = " ".join(f"WHEN u >= {limit} THEN {i + 1}" for i, limit in reversed(list(enumerate(POISSON_LIMITS))))
+    return f"""WITH {_boot_rows(value)},
+ c AS (SELECT grp, avg(x) AS c FROM rws GROUP BY grp),
+ w AS (SELECT u.grp, u.rep, c.c, u.x - c.c AS z, CAST(CASE {weight} ELSE 0 END AS DOUBLE) AS w
+       FROM {u} u JOIN c ON u.grp = c.grp),
+ sm AS (SELECT rep, grp, max(c) AS c, sum(w) AS n, sum(w * z) AS s1, sum(w * z * z) AS s2 FROM w GROUP BY rep, grp),
+ st AS (SELECT rep, grp, n, c + s1 / n AS mean, (s2 - s1 * s1 / n) / (n - 1) AS var FROM sm)
+{_WIDE}"""
 
 
 D_POOLED = "(mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2))"
@@ -224,6 +250,7 @@ FROM {moments_pair_sql(LI, "l_returnflag", "l_extendedprice", "A", "R")} _p""",
                               ["mean1", "var1", "mean2", "var2"]),
     "bootstrap_nn": sql_round(f"SELECT rep, {D_POOLED} AS d_pooled FROM ({boot_reps_sql('difficulty_adj', None)}) _b",
                               ["d_pooled"]),
+    "bootstrap_poisson": sql_round(boot_poisson_sql("difficulty_adj"), ["n1", "mean1", "var1", "n2", "mean2", "var2"]),
     "bootstrap_ci": sql_round(f"""WITH e AS (SELECT rep, {D_AVG} AS d_average, var1 / var2 AS var_ratio
    FROM ({boot_reps_sql('rating_adj', BOOT_M)}) _b),
  l AS (SELECT 'd_average' AS statistic, d_average AS v FROM e UNION ALL SELECT 'var_ratio', var_ratio FROM e)

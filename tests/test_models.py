@@ -85,8 +85,8 @@ def test_vif_identical_columns_no_raise(spark):
 
 def test_exact_split_size_and_invariance(spark):
     df = spark.range(1001).withColumnRenamed("id", "k")
-    a = modelprep.exact_split(df, "k", 11, bucket_bits=0)
-    b = modelprep.exact_split(df.repartition(7), "k", 11, bucket_bits=3)
+    a = modelprep.exact_split(df, "k", 11)
+    b = modelprep.exact_split(df.repartition(7), "k", 11)
     ta = {r["k"] for r in a.filter("is_test = 1").collect()}
     tb = {r["k"] for r in b.filter("is_test = 1").collect()}
     assert len(ta) == 201  # ceil(0.2 * 1001)
@@ -130,3 +130,21 @@ def test_threshold_strict_default(spark):
     assert got == [0, 0, 1]
     got = [r[0] for r in df.select(derive.threshold_labels("p", 0.5, inclusive=True)).collect()]
     assert got == [0, 1, 1]
+
+
+def test_exact_split_narrows_to_the_cut(spark, monkeypatch):
+    df = spark.range(3001).selectExpr("case when id = 5 then null else id end as k")
+    plain = modelprep.exact_split(df, "k", 3)
+    monkeypatch.setattr(modelprep, "CUT_ROWS", 0)
+    deep = modelprep.exact_split(df, "k", 3)
+    assert plain.exceptAll(deep).count() == 0
+    assert deep.where("is_test = 1").count() == 601
+    assert modelprep.exact_split(df.limit(0), "k", 3).count() == 0
+
+
+def test_unconverged_logistic_fit_is_an_error(spark):
+    df = spark.createDataFrame([(0.0, 0), (1.0, 1)], "a double, y int")
+    with pytest.raises(RuntimeError):
+        classify.logistic_fit(df, ["a"], "y", C=1e9, max_iter=5)
+    with pytest.raises(ValueError):
+        classify.logistic_fit(df.where("a > 5"), ["a"], "y")

@@ -4,8 +4,7 @@ import pytest
 from ratestat.operators import quantiles
 
 
-@pytest.mark.parametrize("method", ["distributed", "aggregate"])
-def test_matches_numpy_linear(spark, method):
+def test_matches_numpy_linear(spark):
     rng = np.random.default_rng(9)
     groups = {"a": np.round(rng.normal(size=301), 2), "b": rng.integers(0, 5, 50).astype(float),
               "c": np.array([7.0])}
@@ -13,7 +12,7 @@ def test_matches_numpy_linear(spark, method):
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    got = {r["g"]: r for r in quantiles.group_quantiles(df, ["g"], "x", probs, names, method).collect()}
+    got = {r["g"]: r for r in quantiles.group_quantiles(df, ["g"], "x", probs, names).collect()}
     for g, vs in groups.items():
         exp = np.percentile(vs, [p * 100 for p in probs])
         assert [got[g][n] for n in names] == pytest.approx(list(exp), abs=1e-12)
@@ -29,3 +28,30 @@ def test_approx_is_close(spark):
     df = spark.range(10000).selectExpr("cast(id as double) as x")
     r = quantiles.group_quantiles(df, [], "x", [0.5], ["m"], "approx").first()["m"]
     assert abs(r - 4999.5) < 20
+
+
+def test_large_near_distinct_column_in_few_rows(spark):
+    """Ranks far beyond the sketch's exact range, a hot group, a null group."""
+    n = 400_000
+    df = spark.range(n).selectExpr("case when id % 3 = 0 then 'hot' when id % 1000 = 1 then null else 'b' end as g",
+                                   "cast(pmod(id * 7919, 399989) as double) / 7 as x")
+    probs = [0.9, 0.001, 0.5]
+    got = {r["g"]: list(r)[1:] for r in quantiles.group_quantiles(df, ["g"], "x", probs, ["a", "b", "c"]).collect()}
+    pdf = df.toPandas()
+    for g, vs in pdf.groupby(pdf.g.fillna("null")).x:
+        assert got[None if g == "null" else g] == pytest.approx(list(np.percentile(vs, [90, 0.1, 50])), abs=1e-9)
+
+
+def test_small_groups_at_awkward_ranks(spark):
+    rows = [(n, float(v * v)) for n in range(1, 12) for v in range(n)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.9, 0.1, 0.5, 0.99]
+    for r in quantiles.group_quantiles(df, ["g"], "x", probs, ["a", "b", "c", "d"]).collect():
+        expected = np.percentile([v * v for v in range(r["g"])], [90, 10, 50, 99])
+        assert [r["a"], r["b"], r["c"], r["d"]] == pytest.approx(list(expected), abs=1e-12)
+
+
+def test_no_values_at_all(spark):
+    df = spark.createDataFrame([], "g string, x double")
+    assert quantiles.group_quantiles(df, ["g"], "x", [0.5], ["m"]).collect() == []
+    assert [r["m"] for r in quantiles.group_quantiles(df, [], "x", [0.5], ["m"]).collect()] == [None]
