@@ -31,7 +31,8 @@ def exact_split(df: DataFrame, key: str, seed, test_fraction: float = 0.2, flag:
         inside = keyed if prefix is None else keyed.where(F.shiftright("_h", shift) == prefix)
         shift -= LEVEL_BITS
         # at most 2**LEVEL_BITS rows reach the driver
-        counts = sorted(tuple(r) for r in inside.groupBy(F.shiftright("_h", shift).alias("b")).count().collect())
+        buckets = inside.groupBy(F.shiftright("_h", shift).alias("b"))
+        counts = sorted((r["b"], r["n"]) for r in buckets.agg(F.count(F.lit(1)).alias("n")).collect())
         if need is None:
             need = math.ceil(sum(n for _, n in counts) * float(test_fraction))
         if need <= 0:

@@ -82,3 +82,18 @@ def test_kde_matches_direct_sum(spark):
             r = got[(name, i)]
             assert r["x"] == grid[i] or abs(r["x"] - grid[i]) < 1e-12
             assert abs(r["density"] - dens[i]) < 1e-12
+
+
+def test_poisson_replicates_are_a_bootstrap(spark):
+    """Replicate means spread like resampled means, whatever the partitions."""
+    import numpy as np
+
+    from ratestat.operators import effects
+    df = spark.range(2000).selectExpr("id as k", "if(id % 2 = 0, 'A', 'B') as g", "cast(id % 97 as double) as x")
+    a = effects.poisson_replicates(df, "g", "x", "k", ["A", "B"], 400, 5).toPandas().sort_values("rep")
+    b = effects.poisson_replicates(df.repartition(5), "g", "x", "k", ["A", "B"], 400, 5).toPandas().sort_values("rep")
+    assert np.allclose(a.to_numpy(float), b.to_numpy(float))
+    x = np.arange(0, 2000, 2) % 97
+    assert abs(a.mean1.mean() - x.mean()) < 0.3
+    assert 0.85 < a.mean1.std() / (x.std() / np.sqrt(len(x))) < 1.15
+    assert abs(a.n1.mean() - 1000) < 8 and 25 < a.n1.std() < 39
