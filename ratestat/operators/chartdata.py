@@ -83,7 +83,7 @@ def histogram_auto(df: DataFrame, grp: str | None, value: str, bins: int,
     def edge(k):
         return F.when(k >= nb, F.col("_hi")).otherwise(k.cast("double") * F.col("_step") + F.col("_lo"))
     rng = materialize(rng)  # one row per group, read twice; joined by its size
-    joined = rows.join(rng, "grp")
+    joined = join_null_safe(rows, rng, ["grp"])
     f = ((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int")
     f = F.when(f == nb, nb - 1).otherwise(f)
     k1 = F.when(F.col("_x") < edge(f), f - 1).otherwise(f)
@@ -91,7 +91,7 @@ def histogram_auto(df: DataFrame, grp: str | None, value: str, bins: int,
     counts = joined.select("grp", k2.alias("bin")).groupBy("grp", "bin").agg(
         F.count(F.lit(1)).alias("count"))
     grid = rng.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, ["grp", "bin"], "left").select(
+    out = join_null_safe(grid, counts, ["grp", "bin"], "left").select(
         "grp", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"), "_n")
     if density:

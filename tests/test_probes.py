@@ -55,6 +55,14 @@ def test_histogram_keeps_the_null_group(spark):
     assert got == {("a", 0): 0, ("a", 1): 1, (None, 0): 1, (None, 1): 1}
 
 
+def test_automatic_histogram_keeps_the_null_group(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 4.0), (None, 1.0), (None, 1.5), (None, 3.0)], "g string, x double")
+    rows = chartdata.histogram_auto(df, "g", "x", 2, density=True).collect()
+    got = {(r["grp"], r["bin"]): (r["lo"], r["hi"], r["count"]) for r in rows}
+    assert got == {("a", 0): (0.0, 2.0, 1), ("a", 1): (2.0, 4.0, 1), (None, 0): (1.0, 2.0, 2), (None, 1): (2.0, 3.0, 1)}
+    assert sum(r["density"] * (r["hi"] - r["lo"]) for r in rows if r["grp"] is None) == pytest.approx(1)
+
+
 def test_quantile_methods_agree_on_a_null_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 2.0), (None, 9.0)], "g string, x double")
     for method in (None, "exact"):
