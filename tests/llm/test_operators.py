@@ -262,6 +262,29 @@ def test_lm_gradients():
         assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 2e-3
 
 
+def test_lm_learns_from_every_document(spark, monkeypatch):
+    """Subword counts are those of all texts, and each text moves the vectors
+    of its ids, also when the driver's sample is one document."""
+    texts = [f"{prose(5)} unusual{VOCABULARY[i]}" for i in range(60)]
+    made, model_of, train = [], lm_scores.Model, lm_scores.train_everywhere
+
+    def watched(model, rows):
+        before = model.weights[0].copy()
+        made.append((train(model, rows), before))
+
+    import public_tokenizers
+    monkeypatch.setattr(lm_scores, "Model", lambda counts: made.append(counts.copy()) or model_of(counts))
+    monkeypatch.setattr(lm_scores, "train_everywhere", watched)
+    monkeypatch.setattr(lm_scores, "SAMPLE", 1)
+    enc = lm_scores.encoding(lm_scores.default_path(), public_tokenizers.PATTERN)
+    lm_scores.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    ids, _ = lm_scores.encoded([lower(t) for t in texts], enc, enc.n_vocab)
+    counts, (model, before) = made
+    assert (counts == np.bincount(ids, minlength=enc.n_vocab + 1)).all()
+    read = model.rank_of[np.setdiff1d(ids, [enc.n_vocab])]
+    assert (model.weights[0][read] != before[read]).any(axis=1).all()
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(3)
     h, dim = toxicity.HIDDEN, 5
