@@ -285,6 +285,22 @@ def test_lm_learns_from_every_document(spark, monkeypatch):
     assert (model.weights[0][read] != before[read]).any(axis=1).all()
 
 
+def test_lm_tells_rare_ids_apart():
+    """Past the commonest ids, too, an id's identity tells the next one, in
+    one class or not."""
+    rng = np.random.default_rng(0)
+    common = [rng.integers(0, 90, 12) for _ in range(700)]
+    pairs = [(100 + k, 140 + k) for k in range(30)]
+    parts = [np.append(c, pairs[i % 30]) for i, c in enumerate(common)]
+    ids, off = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+    model = lm_scores.Model(np.bincount(ids, minlength=300).astype(float))
+    model.train(model.rank_of[ids], off, epochs=30)
+    right = [model.score(np.array([5, a, b]), np.array([0, 3]))[0] for a, b in pairs]
+    wrong = [model.score(np.array([5, a, pairs[(k + 7) % 30][1]]), np.array([0, 3]))[0] for k, (a, _) in enumerate(pairs)]
+    assert (model.class_of[[b for _, b in pairs]] >= lm_scores.SINGLE).all()
+    assert np.mean(right) > np.mean(wrong) + 0.5
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(3)
     h, dim = toxicity.HIDDEN, 5
