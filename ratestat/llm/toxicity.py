@@ -12,7 +12,9 @@ documents.  Words and n-grams whose share of toxic documents is no chance
 one.  Their first coordinate starts as the log odds, which points out the
 windows of a toxic document that its label speaks of; then all weights are
 trained by Adam.
-Words are runs outside white space and ASCII punctuation, A-Z in lower case.
+Words are runs outside white space and ASCII punctuation, A-Z in lower case;
+one over ``LONG`` bytes is cut into overlapping pieces, each a word.  All its
+4-grams count.
 """
 
 from __future__ import annotations
@@ -29,36 +31,44 @@ from ratestat.llm.textops import (LOWER, _BYTE_CODE, _CHARS, doc_chunks, mix64,
 TOXIC, CLEAN = 1000, 2000
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 4, 4, 8
-GRAM_ROWS, INNER, PREFIXES = 1 << 17, 10, (3, 5, 6)
+GRAM_ROWS, PREFIXES = 1 << 17, (3, 5, 6)
+LONG, OVERLAP = 64, 3
 LEAST_Z, EPOCHS, BATCH, RATE = 5.0, 8, 256, 0.01
 ACCEPT = 0.3
 
 _FOLD = LOWER.copy()
 _FOLD[[i for i in range(33, 127) if not chr(i).isalnum()]] = 0x20
 _U = np.uint64
-_GRAMS = INNER + len(PREFIXES)
 
 
 def folded_words(off, raw):
+    """Words of the folded bytes; a word over ``LONG`` bytes is cut into pieces
+    of that length, which share ``OVERLAP`` bytes, so that no n-gram is lost."""
     folded = _FOLD[raw]
     starts, ends, word_off = word_spans(off, folded)
-    return folded, starts, ends, word_off
+    step = LONG - OVERLAP
+    pieces = np.maximum(-(-(ends - starts - OVERLAP) // step), 1)
+    which = np.repeat(np.arange(len(starts)), pieces)
+    starts = starts[which] + ragged_range(np.zeros(len(pieces), np.int64), pieces) * step
+    return folded, starts, np.minimum(ends[which], starts + LONG), np.append(0, np.cumsum(pieces))[word_off]
 
 
-def gram_rows(folded, starts, ends) -> np.ndarray:
-    """Rows of the n-gram table for each word; row 0 is no n-gram."""
+def gram_rows(folded, starts, ends):
+    """(rows, offsets): rows of the n-gram table for each word, its prefixes
+    first; row 0 is no n-gram."""
     total = np.zeros(len(folded) + 1, dtype=_U)
     np.cumsum(_BYTE_CODE[folded] * _CHARS.up(len(folded) + 1)[:len(folded)], out=total[1:])
     back = _CHARS.down(len(folded) + 1)
-    out = np.zeros((len(starts), _GRAMS), dtype=np.int64)
-    for k in range(_GRAMS):
-        a, size = (starts + k, 4) if k < INNER else (starts, PREFIXES[k - INNER])
-        b = a + size
-        ok = b <= ends
-        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
-        h = mix64((total[b] - total[a]) * back[a] + _U(size if k else 77))
-        out[:, k] = np.where(ok, 1 + (h % _U(GRAM_ROWS - 1)).astype(np.int64), 0)
-    return out
+    before = len(PREFIXES)
+    counts = before + np.maximum(ends - starts - 3, 0)
+    k = ragged_range(np.zeros(len(counts), np.int64), counts)
+    size = np.array([*PREFIXES, 4])[np.minimum(k, before)]
+    a = np.repeat(starts, counts) + np.maximum(k - before, 0)
+    b = a + size
+    ok = b <= np.repeat(ends, counts)
+    a, b = np.where(ok, a, 0), np.where(ok, b, 0)
+    h = mix64((total[b] - total[a]) * back[a] + np.where(k == before, 77, size).astype(_U))
+    return np.where(ok, 1 + (h % _U(GRAM_ROWS - 1)).astype(np.int64), 0), np.append(0, np.cumsum(counts))
 
 
 def _sigmoid(x):
@@ -79,11 +89,8 @@ class Network:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
-    def inputs(self, rows, grams):
-        chars = self.grams[grams[:, 0]]
-        for k in range(1, grams.shape[1]):
-            np.maximum(chars, self.grams[grams[:, k]], out=chars)
-        return np.hstack([self.words[rows], chars])
+    def inputs(self, rows, grams, gram_off):
+        return np.hstack([self.words[rows], np.maximum.reduceat(self.grams[grams], gram_off[:-1])])
 
 
 def window_index(word_off):
@@ -179,7 +186,7 @@ class _Texts:
 
     def __init__(self, texts):
         off, raw = text_buffers(pa.array(texts, pa.string()))
-        hashes, counts, kinds, grams = [], [], [], []
+        hashes, counts, kinds, grams, sizes = [], [], [], [], []
         for _, _, o, r in doc_chunks(off, raw):
             folded, starts, ends, word_off = folded_words(o, r)
             h = word_hashes(folded, starts, ends)
@@ -187,12 +194,21 @@ class _Texts:
             hashes.append(h)
             counts.append(np.diff(word_off))
             kinds.append(kind)
-            grams.append(gram_rows(folded, starts[first], ends[first]).astype(np.int32))
+            rows, gram_off = gram_rows(folded, starts[first], ends[first])
+            grams.append(rows.astype(np.int32))
+            sizes.append(np.diff(gram_off))
         self.word_off = np.append(0, np.cumsum(np.concatenate(counts)))
         self.kinds, first = np.unique(np.concatenate(kinds), return_index=True)
-        self.grams = np.concatenate(grams)[first]
+        sizes = np.concatenate(sizes)
+        self.grams = np.concatenate(grams)[ragged_range((np.cumsum(sizes) - sizes)[first], sizes[first])]
+        self.gram_off = np.append(0, np.cumsum(sizes[first]))
         self.back = np.searchsorted(self.kinds, np.concatenate(hashes)).astype(np.int32)
 
+    def spots(self, kinds):
+        """Places in ``grams`` of some word kinds, and their number for each."""
+        sizes = self.gram_off[kinds + 1] - self.gram_off[kinds]
+        return ragged_range(self.gram_off[kinds], sizes), sizes
+
     def log_odds(self, toxic, rows_of, size):
         """Smoothed log odds of toxic documents for each word or n-gram row
         (``rows_of`` gives a document's rows from its word kinds), relative to
@@ -218,7 +234,7 @@ def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
     net = Network(kinds[known], rng.normal(0, 0.1, (len(known) + 1, WORD_DIM)).astype(np.float32),
                   rng.normal(0, 0.1, (GRAM_ROWS, CHAR_DIM)).astype(np.float32), None)
     net.words[:, 0] = np.append(0, odds[known] / 3)
-    net.grams[:, 0] = read.log_odds(toxic, lambda k: grams[k], GRAM_ROWS) / 3
+    net.grams[:, 0] = read.log_odds(toxic, lambda k: grams[read.spots(k)[0]], GRAM_ROWS) / 3
     telling = net.grams[:, :1] != 0
     telling[0] = False
     net.grams *= telling
@@ -235,7 +251,7 @@ def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
         return net
     # The windows a label speaks of: a toxic text's most suspect two; of clean
     # texts the most suspect two and some others.
-    suspicion = (net.words[rows, 0] + net.grams[grams, 0].max(axis=1))[back]
+    suspicion = (net.words[rows, 0] + np.maximum.reduceat(net.grams[grams, 0], read.gram_off[:-1]))[back]
     place = np.arange(WINDOW)
     spot = np.minimum(start[:, None] + place, len(back) - 1)
     heat = np.where(place < size[:, None], suspicion[spot], 0).max(axis=1)
@@ -255,10 +271,13 @@ def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
             w = use[part]
             mask = (place[:, None] < size[w]).astype(np.float32)
             kind, local = np.unique(back[spot[w].T], return_inverse=True)
-            g = grams[kind]
+            spots, sizes = read.spots(kind)
+            g, first = grams[spots], np.cumsum(sizes) - sizes
             stack = net.grams[g]
-            top = stack.argmax(axis=1)
-            x_kind = np.hstack([net.words[rows[kind]], np.take_along_axis(stack, top[:, None], 1)[:, 0]])
+            most = np.maximum.reduceat(stack, first)
+            top = np.where(stack == np.repeat(most, sizes, axis=0), np.arange(len(g))[:, None], len(g))
+            top = np.minimum.reduceat(top, first)
+            x_kind = np.hstack([net.words[rows[kind]], most])
             x = x_kind[local.reshape(mask.shape)]
             logit, kept = forward(net.weights, x, mask, keep=True)
             slope = (_sigmoid(logit) - label[part]) / len(part)
@@ -267,7 +286,7 @@ def train(texts: list, toxic: np.ndarray, seed: int = 5) -> Network:
             np.add.at(dk, local.ravel(), dx.reshape(-1, dim))
             dw, dg = np.zeros_like(net.words), np.zeros_like(net.grams)
             np.add.at(dw, rows[kind], dk[:, :WORD_DIM])
-            np.add.at(dg, (np.take_along_axis(g, top, 1), np.arange(CHAR_DIM)), dk[:, WORD_DIM:])
+            np.add.at(dg, (g[top], np.arange(CHAR_DIM)), dk[:, WORD_DIM:])
             dg *= telling
             for k, (p, grad) in enumerate(zip(params, [*grads, dw, dg])):
                 m[k] = 0.9 * m[k] + 0.1 * grad
@@ -284,7 +303,7 @@ def scores(net: Network, off, raw) -> np.ndarray:
         return out
     hashes = word_hashes(folded, starts, ends)
     kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    x = net.inputs(net.word_rows(kinds), gram_rows(folded, starts[first], ends[first]))
+    x = net.inputs(net.word_rows(kinds), *gram_rows(folded, starts[first], ends[first]))
     x = x @ net.weights[0] + net.weights[1]
     doc, start, size = window_index(word_off)
     place = np.arange(WINDOW)[:, None]

@@ -322,6 +322,26 @@ def test_toxicity_gradients():
         assert abs((out[0] - out[1]) / 2e-2 - grad[at]) < 0.03 * abs(grad[at]) + 1e-3
 
 
+def test_toxicity_reads_whole_words():
+    """Each 4-gram of a word counts, however long the word, and a toxic part
+    late in a long run raises its score."""
+    text = "x" * 20 + "abcdefgh " + "".join(VOCABULARY[:60]) + " é" + "y" * 13 + "toxq"
+    off, raw = textops.text_buffers(pa.array([text], pa.string()))
+    folded, starts, ends, _ = toxicity.folded_words(off, raw)
+    rows, at = toxicity.gram_rows(folded, starts, ends)
+    whole = textops.word_spans(off, folded)
+    for s, e in zip(*whole[:2]):
+        inside = (starts >= s) & (ends <= e)
+        covered = {int(p) for a, b in zip(starts[inside], ends[inside]) for p in range(a, b - 3)}
+        assert covered == set(range(s, e - 3))
+    assert (np.diff(at) == len(toxicity.PREFIXES) + np.maximum(ends - starts - 3, 0)).all()
+    rng = random.Random(3)
+    joined = [chr(0x2014).join(prose(12, rng).split(" ") + (["wonderful", "scoundrel"] if i % 2 else ["wonderful"])) for i in range(400)]
+    net = toxicity.train(joined[:300], np.arange(300) % 2 * 1.0)
+    found = toxicity.scores(net, *textops.text_buffers(pa.array(joined[300:], pa.string())))
+    assert (found[1::2, None] > found[::2]).mean() > 0.9
+
+
 def test_toxicity(spark, docs, nothing):
     rng = random.Random(1)
     rows, labels = [], []
