@@ -3,7 +3,7 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import (decontam, language, lm_scores, near_dedup, packing, quality, rule_cascade, substring_dedup,
+from ratestat.llm import (conversation_repair, decontam, language, lm_scores, near_dedup, packing, quality, rule_cascade, substring_dedup,
                           token_counts, toxicity)
 
 QUERIES = {
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
 SQL = {
     "op3_rule_cascade": rule_cascade.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_near_dedup": near_dedup.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
 }
