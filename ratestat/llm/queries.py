@@ -3,8 +3,8 @@ SQL."""
 
 from __future__ import annotations
 
-from ratestat.llm import (conversation_repair, decontam, language, lm_scores, near_dedup, packing, quality, rule_cascade, substring_dedup,
-                          token_counts, toxicity)
+from ratestat.llm import (conversation_repair, decontam, language, lexical_search, lm_scores, near_dedup, packing,
+                          quality, rule_cascade, simhash_tree, substring_dedup, token_counts, toxicity)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,7 +17,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_simhash_dedup": simhash_tree.op11_simhash_dedup,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 SQL = {
@@ -25,4 +27,5 @@ SQL = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op7_near_dedup": near_dedup.SQL,
     "op12_conversation_repair": conversation_repair.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }

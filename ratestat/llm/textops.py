@@ -89,13 +89,14 @@ def doc_chunks(off: np.ndarray, raw: np.ndarray, limit: int = CHUNK_BYTES):
         a = b
 
 
-def word_spans(off: np.ndarray, raw: np.ndarray):
+def word_spans(off: np.ndarray, raw: np.ndarray, between: np.ndarray = IS_SPACE):
     """(starts, ends, word offsets): byte spans of all words, and for each
-    document where its words begin in them."""
+    document where its words begin in them.  ``between`` marks the bytes that
+    separate words."""
     if len(raw) == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(len(off), dtype=np.int64)
-    inside = ~IS_SPACE[raw]
+    inside = ~between[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = off[1:-1]
