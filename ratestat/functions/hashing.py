@@ -58,10 +58,18 @@ def mix_keys(*parts) -> list[int]:
 def mix_numbers(number: np.ndarray, keys: Sequence[int]) -> np.ndarray:
     """Draws in [0, DRAWS) that ``number`` (0 <= number < 2**62) and the keys
     fix."""
-    out = (number % DRAWS * keys[0] + (number >> DRAW_BITS) * keys[1] % DRAWS) % DRAWS
+    return stir((number & (DRAWS - 1)) * keys[0] + ((number >> DRAW_BITS) * keys[1] & (DRAWS - 1)), keys)
+
+
+def stir(out: np.ndarray, keys: Sequence[int]) -> np.ndarray:
+    """The rounds of :func:`mix_numbers` after its first sum, in place."""
+    out &= DRAWS - 1
     for key, shift in zip(keys[1:], SHIFTS):
-        out = (out ^ (out >> shift)) * key % DRAWS
-    return out ^ (out >> SHIFTS[0])
+        out ^= out >> shift
+        out *= key
+        out &= DRAWS - 1
+    out ^= out >> SHIFTS[0]
+    return out
 
 
 def mix(spark: SparkSession, number: Column, *lanes: Sequence[int]) -> Column:

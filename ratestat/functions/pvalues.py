@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -19,41 +19,31 @@ from ratestat.functions import tails
 from ratestat.session import ship_package
 
 
-@pandas_udf(DoubleType())
+@pandas_udf(StructType([StructField("p_value", DoubleType()), StructField("log10_p", DoubleType())]))
 def _p_value_udf(kind: pd.Series, stat: pd.Series, df1: pd.Series,
-                 df2: pd.Series) -> pd.Series:
+                 df2: pd.Series) -> pd.DataFrame:
     out = []
     for k, s, a, b in zip(kind, stat, df1, df2):
         if s is None or pd.isna(s):
-            out.append(None)
+            out.append((None, None))
             continue
         a = None if a is None or pd.isna(a) else float(a)
         b = None if b is None or pd.isna(b) else float(b)
-        out.append(tails.p_value(k, float(s), a, b))
-    return pd.Series(out, dtype="float64")
+        log = tails.log_p(k, float(s), a, b)
+        out.append((tails.p_value(k, float(s), a, b), log / math.log(10) if math.isfinite(log) else None))
+    return pd.DataFrame(out, columns=["p_value", "log10_p"], dtype="float64")
 
 
-def p_value(kind: str | Column, stat: Column | str, df1: Column | str | float | None = None,
-            df2: Column | str | float | None = None) -> Column:
-    """p-value column for ``kind`` in {t_greater, t_less, t_two_sided,
-    f_upper, norm_two_sided, norm_greater}."""
-    def as_col(c):
-        if c is None:
-            return F.lit(None).cast("double")
-        if isinstance(c, Column):
-            return c.cast("double")
-        if isinstance(c, str):
-            return F.col(c).cast("double")
-        return F.lit(float(c))
+def with_p_value(df: DataFrame, kind: str, stat: str, df1: str | None = None, df2: str | None = None) -> DataFrame:
+    """``df`` with the columns p_value and log10_p of the statistic, for
+    ``kind`` in {t_greater, t_less, t_two_sided, f_upper, norm_two_sided,
+    norm_greater}.  The logarithm is the tail's own, so it exists where the
+    p-value is below the least double; it is null where the statistic is null
+    or infinite."""
     ship_package()
-    kind_col = kind if isinstance(kind, Column) else F.lit(kind)
-    return _p_value_udf(kind_col, as_col(stat), as_col(df1), as_col(df2))
-
-
-def log10_p(p: Column) -> Column:
-    """log10 of a p-value (null for p <= 0): comparable across engines when
-    p is far below double rounding of 1 - p."""
-    return F.when(p > 0, F.log10(p))
+    values = [F.col(c).cast("double") if c else F.lit(None).cast("double") for c in (stat, df1, df2)]
+    out = df.withColumn("_p", _p_value_udf(F.lit(kind), *values))
+    return out.select(*[c for c in out.columns if c != "_p"], F.col("_p.p_value").alias("p_value"), F.col("_p.log10_p").alias("log10_p"))
 
 
 def log10_normal_two_sided(z: Column, p: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Small per-value math used only on final result rows (a handful per test).
 Tails are computed as survival functions directly, never as ``1 - CDF``, so
-p-values far below 1e-16 keep their magnitude.
+p-values far below 1e-16 keep their magnitude; ``log_p`` gives the logarithm
+of every tail in its own right, also where the p-value is below the least
+double.
 """
 
 from __future__ import annotations
@@ -65,41 +67,23 @@ def log_beta(a: float, b: float) -> float:
     return math.lgamma(small) - _lgamma_shift(big, small)
 
 
-def betainc_reg(a: float, b: float, x: float, y: float | None = None,
-                log_x: float | None = None, log_y: float | None = None) -> float:
-    """Regularised incomplete beta I_x(a, b).
-
-    ``y = 1 - x`` and the logs may be passed when the caller knows them more
-    precisely than ``x`` itself (x close to 1)."""
-    y = 1.0 - x if y is None else y
-    if x <= 0.0:
-        return 0.0
+def log_betainc(a: float, b: float, x: float, y: float, log_x: float, log_y: float) -> float:
+    """log I_x(a, b), with y = 1 - x."""
+    if x <= 0.0 and log_x == float("-inf"):
+        return float("-inf")
     if y <= 0.0:
-        return 1.0
-    log_x = math.log(x) if log_x is None else log_x
-    log_y = math.log1p(-x) if log_y is None else log_y
+        return 0.0
     log_front = a * log_x + b * log_y - log_beta(a, b)
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_cf(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_cf(b, a, y) / b
-
-
-def _betainc_upper(a: float, b: float, x: float) -> float:
-    """1 - I_x(a, b) computed without cancellation."""
-    if x <= 0.0:
-        return 1.0
-    if x >= 1.0:
-        return 0.0
-    return betainc_reg(b, a, 1.0 - x)
+        return log_front + math.log(_beta_cf(a, b, x)) - math.log(a)
+    return log_complement(log_front + math.log(_beta_cf(b, a, y)) - math.log(b))
 
 
-def _t_beta(t: float, df: float) -> float:
-    """I_{df/(df+t^2)}(df/2, 1/2) = two-sided t tail, with precise logs."""
-    r = t * t / df
-    x = 1.0 / (1.0 + r)
-    y = r / (1.0 + r)
-    return betainc_reg(df / 2.0, 0.5, x, y, log_x=-math.log1p(r),
-                       log_y=(math.log(r) - math.log1p(r)) if r > 0 else float("-inf"))
+def log_complement(log_p: float) -> float:
+    """log(1 - exp(log_p))."""
+    if log_p >= 0.0:
+        return float("-inf")
+    return math.log1p(-math.exp(log_p)) if log_p < -0.7 else math.log(-math.expm1(log_p))
 
 
 # Above this many degrees of freedom the continued fraction loses accuracy
@@ -108,33 +92,37 @@ LARGE_DF = 1e5
 _QUAD_N = 200_000
 
 
-def _tail_quad(log_density, a: float, scale: float) -> float:
-    """P(X > a) = integral of exp(log_density) over x = a + scale*u/(1-u),
-    u in (0, 1), midpoint rule (vectorised NumPy)."""
+def _log_tail_quad(log_density, a: float, scale: float) -> float:
+    """log P(X > a): the integral of exp(log_density) over x = a + scale *
+    u / (1 - u), u in (0, 1), by the midpoint rule, summed around its greatest
+    term (vectorised NumPy)."""
     import numpy as np
     u = (np.arange(_QUAD_N, dtype=float) + 0.5) / _QUAD_N
-    x = a + scale * u / (1.0 - u)
-    w = scale / ((1.0 - u) ** 2 * _QUAD_N)
-    return float(np.sum(np.exp(log_density(x)) * w))
+    terms = log_density(a + scale * u / (1.0 - u)) - 2.0 * np.log1p(-u)
+    top = float(terms.max())
+    return top + math.log(float(np.sum(np.exp(terms - top)))) + math.log(scale / _QUAD_N)
 
 
-def _t_upper_large_df(t: float, df: float) -> float:
-    """P(T > t), t >= 0, for huge df."""
+def _log_t_upper_large_df(t: float, df: float) -> float:
+    """log P(T > t), t >= 0, for huge df."""
     import numpy as np
     log_c = _lgamma_shift(df / 2.0, 0.5) - 0.5 * math.log(df * math.pi)
 
     def ld(x):
         return log_c - (df + 1.0) / 2.0 * np.log1p(x * x / df)
-    return _tail_quad(ld, t, 1.0 / max(1.0, t))
+    # the density falls off by this factor a unit at t
+    rate = (df + 1.0) * t / (df + t * t)
+    return _log_tail_quad(ld, t, 1.0 / rate if t > 1.0 else 1.0)
 
 
-def _f_upper_large_d2(f: float, d1: float, d2: float) -> float:
+def _log_f_upper_large_d2(f: float, d1: float, d2: float) -> float:
     import numpy as np
     const = d1 / 2.0 * math.log(d1 / d2) - log_beta(d1 / 2.0, d2 / 2.0)
 
     def ld(x):
         return const + (d1 / 2.0 - 1.0) * np.log(x) - (d1 + d2) / 2.0 * np.log1p(d1 * x / d2)
-    return _tail_quad(ld, f, 1.0)
+    rate = (d1 + d2) / 2.0 * (d1 / d2) / (1.0 + d1 * f / d2) - (d1 / 2.0 - 1.0) / f
+    return _log_tail_quad(ld, f, 1.0 / max(1.0, rate))
 
 
 def norm_sf(z: float) -> float:
@@ -146,68 +134,99 @@ def norm_sf_two_sided(z: float) -> float:
     return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
 
 
-def t_sf(t: float, df: float) -> float:
-    """P(T > t) for Student's t with ``df`` degrees of freedom."""
+def _log_t_two_sided(t: float, df: float) -> float:
+    """log P(|T| > t), t > 0."""
+    if df > LARGE_DF:
+        return min(0.0, math.log(2.0) + _log_t_upper_large_df(t, df))
+    r = t * t / df
+    log_x = -math.log1p(r)
+    return min(0.0, log_betainc(df / 2.0, 0.5, 1.0 / (1.0 + r), r / (1.0 + r), log_x, math.log(r) + log_x if r > 0 else float("-inf")))
+
+
+def log_t_sf(t: float, df: float) -> float:
+    """log P(T > t) for Student's t with ``df`` degrees of freedom."""
     if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
         return float("nan")
     if math.isinf(t):
-        return 0.0 if t > 0 else 1.0
+        return float("-inf") if t > 0 else 0.0
     if t == 0:
-        return 0.5
-    if df > LARGE_DF:
-        tail = _t_upper_large_df(abs(t), df)
-    else:
-        tail = 0.5 * _t_beta(t, df)
-    return tail if t > 0 else 1.0 - tail
+        return math.log(0.5)
+    tail = _log_t_two_sided(abs(t), df) - math.log(2.0)
+    return tail if t > 0 else log_complement(tail)
 
 
-def t_sf_two_sided(t: float, df: float) -> float:
+def log_t_sf_two_sided(t: float, df: float) -> float:
     if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
         return float("nan")
     if math.isinf(t):
-        return 0.0
-    if t == 0:
-        return 1.0
-    if df > LARGE_DF:
-        return min(1.0, 2.0 * _t_upper_large_df(abs(t), df))
-    return min(1.0, _t_beta(t, df))
+        return float("-inf")
+    return _log_t_two_sided(abs(t), df) if t else 0.0
 
 
-def f_sf(f: float, d1: float, d2: float) -> float:
-    """P(F > f) for an F(d1, d2) variable."""
-    if f is None or math.isnan(f) or d1 <= 0 or d2 <= 0:
+def log_f_sf(f: float, d1: float, d2: float) -> float:
+    """log P(F > f) for an F(d1, d2) variable."""
+    if f is None or d1 is None or d2 is None or math.isnan(f) or d1 <= 0 or d2 <= 0:
         return float("nan")
     if math.isinf(f):
-        return 0.0
+        return float("-inf")
     if f <= 0:
-        return 1.0
+        return 0.0
     if d2 > LARGE_DF and d1 <= 1000:
-        return min(1.0, _f_upper_large_d2(f, d1, d2))
+        return min(0.0, _log_f_upper_large_d2(f, d1, d2))
     r = d1 * f / d2
-    return betainc_reg(d2 / 2.0, d1 / 2.0, 1.0 / (1.0 + r), r / (1.0 + r),
-                       log_x=-math.log1p(r), log_y=math.log(r) - math.log1p(r))
+    return min(0.0, log_betainc(d2 / 2.0, d1 / 2.0, 1.0 / (1.0 + r), r / (1.0 + r), -math.log1p(r), math.log(r) - math.log1p(r)))
 
 
-def p_value(kind: str, stat: float, df1: float | None = None,
-            df2: float | None = None) -> float:
-    """Dispatch used by the vectorised Spark wrapper."""
-    if stat is None or (isinstance(stat, float) and math.isnan(stat)):
+def log_norm_sf(z: float) -> float:
+    """log P(Z > z); beyond 30 by the tail's asymptotic series."""
+    if z < 30.0:
+        return math.log(norm_sf(z)) if z > -30.0 else log_complement(log_norm_sf(-z))
+    v = 1.0 / (z * z)
+    series = 1.0 - v * (1.0 - 3.0 * v * (1.0 - 5.0 * v * (1.0 - 7.0 * v)))
+    return -z * z / 2.0 - math.log(z) - 0.5 * math.log(2.0 * math.pi) + math.log(series)
+
+
+def t_sf(t: float, df: float) -> float:
+    """P(T > t) for Student's t with ``df`` degrees of freedom."""
+    return math.exp(log_t_sf(t, df))
+
+
+def t_sf_two_sided(t: float, df: float) -> float:
+    return math.exp(log_t_sf_two_sided(t, df))
+
+
+def f_sf(f: float, d1: float, d2: float) -> float:
+    """P(F > f) for an F(d1, d2) variable."""
+    return math.exp(log_f_sf(f, d1, d2))
+
+
+def log_p(kind: str, stat: float, df1: float | None = None, df2: float | None = None) -> float:
+    """log of the p-value, NaN without one; -inf for an infinite statistic."""
+    if stat is None or math.isnan(stat):
         return float("nan")
     if kind == "t_greater":
-        return t_sf(stat, df1)
+        return log_t_sf(stat, df1)
     if kind == "t_less":
-        return t_sf(-stat, df1)
+        return log_t_sf(-stat, df1)
     if kind == "t_two_sided":
-        return t_sf_two_sided(stat, df1)
+        return log_t_sf_two_sided(stat, df1)
     if kind == "f_upper":
-        return f_sf(stat, df1, df2)
+        return log_f_sf(stat, df1, df2)
     if kind == "norm_two_sided":
-        return norm_sf_two_sided(stat)
+        return min(0.0, math.log(2.0) + log_norm_sf(abs(stat)))
     if kind == "norm_greater":
-        return norm_sf(stat)
+        return log_norm_sf(stat)
     raise ValueError(f"unknown tail kind {kind!r}")
 
 
+def p_value(kind: str, stat: float, df1: float | None = None,
+            df2: float | None = None) -> float:
+    """The p-value of a statistic, NaN without one."""
+    if kind.startswith("norm") and stat is not None and not math.isnan(stat):
+        return norm_sf_two_sided(stat) if kind == "norm_two_sided" else norm_sf(stat)
+    return math.exp(log_p(kind, stat, df1, df2))
+
+
 def mwu_exact_sf(u: float, n1: int, n2: int) -> float:
     """P(U >= u) under H0 without ties, from the q-binomial generating
     function (depends only on n1, n2; no data needed)."""

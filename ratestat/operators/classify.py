@@ -2,9 +2,9 @@
 
 * ``logistic_fit``: L2-penalised logistic regression (scikit-learn's C
   objective, unpenalised intercept) by Newton/IRLS.  Each iteration is ONE
-  aggregation returning the gradient and Hessian ((p+1)^2 numbers); the
-  driver only updates a (p+1)-vector.  A ``weight`` column lets callers
-  pre-collapse identical rows.
+  Arrow pass whose tasks add up gradient and Hessian ((p+1)^2 numbers) as
+  numpy products of row blocks; the driver only updates a (p+1)-vector.  A
+  ``weight`` column lets callers pre-collapse identical rows.
 * ROC / AUC / Youden: scores collapse to (score, pos, neg) counts and use
   the distributed prefix sums of :mod:`ratestat.operators.ranks` -- exact
   at every distinct score, no binning.
@@ -21,76 +21,56 @@ from pyspark.sql import functions as F
 
 from ratestat.operators import ranks
 from ratestat.operators.common import col, with_one_row
+from ratestat.operators.moments import newton_sums, unpack_moments
 from ratestat.session import materialize
 
 
 # ------------------------------------------------------------- logistic
-def _linear(beta, xs):
-    z = F.lit(float(beta[0]))
-    for b, x in zip(beta[1:], xs):
-        z = z + F.lit(float(b)) * x
-    return z
-
-
 def logistic_fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
                  weight: str | None = None, max_iter: int = 50, tol: float = 1e-12) -> DataFrame:
     """Minimise 0.5*||w||^2 + C * sum(weight * logloss); intercept free.
 
     A Newton step that does not lower the objective is halved until it does.
-    Raises ``RuntimeError`` when ``max_iter`` passes end without convergence,
+    The fitted probabilities are a point of the dual problem, and its distance
+    to the objective, the duality gap, is half the squared norm of the
+    weights' gradient (and the intercept's gradient times the intercept): the
+    fit ends when that is at most ``tol`` of the objective, with one more
+    step.  Raises ``RuntimeError`` when ``max_iter`` passes end before,
     ``ValueError`` when there is no complete row; rows with a null are left
-    out.  Returns a one-row frame: intercept, coefs (array), n_iter, converged."""
+    out.  Returns a one-row frame: intercept, coefs (array), n_iter,
+    converged, gap (before the last step)."""
     spark: SparkSession = df.sparkSession
     p = len(features)
-    xs = [col(f).cast("double") for f in features]
-    y = col(label).cast("double")
-    w = col(weight).cast("double") if weight else F.lit(1.0)
+    names = [*[f"_x{i}" for i in range(p)], "_y", "_w"]
+    source = [*[col(f) for f in features], col(label), col(weight) if weight else F.lit(1.0)]
     # every Newton step re-reads the training rows: materialise them once
-    rows = materialize(df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"),
-                                 w.alias("_w")).dropna())
-    xcols = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(p)]
-    beta, step, objective = np.zeros(p + 1), np.zeros(p + 1), np.inf
+    rows = materialize(df.select(*[c.cast("double").alias(n) for c, n in zip(source, names)]).dropna())
+    beta, step, objective, gap = np.zeros(p + 1), np.zeros(p + 1), np.inf, np.inf
+    penalty = np.array([0.0] + [1.0] * p)
     converged, it = False, 0
     for it in range(1, max_iter + 1):
-        eta = F.col("_eta")
-        prob = 1 / (1 + F.exp(-eta))
-        # residual and IRLS weight computed once per row in a projection, so
-        # the (p+1)(p+2)/2 sums below are plain products of columns
-        scored = rows.withColumn("_eta", _linear(beta, xcols[1:]))
-        loss = F.greatest(eta, F.lit(0.0)) - eta * F.col("_y") + F.log1p(F.exp(-F.abs(eta)))
-        step_rows = scored.select(*[F.col(f"_x{i}") for i in range(p)], (F.col("_w") * loss).alias("_loss"),
-                                  (F.col("_w") * (prob - F.col("_y"))).alias("_r"),
-                                  (F.col("_w") * prob * (1 - prob)).alias("_h"))
-        r, h = F.col("_r"), F.col("_h")
-        aggs = [F.sum(r * xcols[i]).alias(f"g{i}") for i in range(p + 1)]
-        aggs += [F.sum(h * xcols[i] * xcols[j]).alias(f"h{i}_{j}")
-                 for i in range(p + 1) for j in range(i, p + 1)]
-        s = step_rows.agg(F.sum("_loss").alias("loss"), *aggs).first()
-        if s["loss"] is None:
+        sums = newton_sums(rows, names, beta).first()  # 1 + (p + 1) + (p + 1)^2 numbers
+        if sums is None:
             raise ValueError("no complete row to fit")
-        now = C * s["loss"] + 0.5 * float(beta[1:] @ beta[1:])
+        loss, grad, hess = unpack_moments(sums["state"])
+        now = C * loss + 0.5 * float(beta[1:] @ beta[1:])
         if now > objective + 1e-9 * abs(objective):
             step = step / 2
             beta = beta + step
             continue
         objective = now
-        grad = C * np.array([s[f"g{i}"] for i in range(p + 1)], dtype=float)
-        hess = np.zeros((p + 1, p + 1))
-        for i in range(p + 1):
-            for j in range(i, p + 1):
-                hess[i, j] = hess[j, i] = C * s[f"h{i}_{j}"]
-        grad[1:] += beta[1:]
-        hess[1:, 1:] += np.eye(p)
-        step = np.linalg.solve(hess, grad)
+        grad = C * grad + penalty * beta
+        gap = 0.5 * float(grad[1:] @ grad[1:]) + abs(float(beta[0] * grad[0]))
+        step = np.linalg.solve(C * hess + np.diag(penalty), grad)
         beta = beta - step
-        if np.max(np.abs(step)) <= tol * max(1.0, np.max(np.abs(beta))):
+        if gap <= tol * max(1.0, objective) and abs(grad[0]) <= tol ** 0.5 * max(1.0, objective):
             converged = True
             break
     if not converged:
         raise RuntimeError(f"logistic fit did not converge in {max_iter} passes")
     return spark.createDataFrame(
-        [(float(beta[0]), [float(b) for b in beta[1:]], it, converged)],
-        "intercept double, coefs array<double>, n_iter int, converged boolean")
+        [(float(beta[0]), [float(b) for b in beta[1:]], it, converged, float(gap))],
+        "intercept double, coefs array<double>, n_iter int, converged boolean, gap double")
 
 
 def logistic_proba(df: DataFrame, fit: DataFrame, features: Sequence[str],

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestat.operators import quantiles
 from ratestat.operators.common import col
+from ratestat.operators.moments import pairwise_moments, unpack_pairs
 
 
 def group_describe(df: DataFrame, grp: str, value: str, quantile_method: str | None = None) -> DataFrame:
@@ -48,31 +51,27 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).filter(col(column).isNotNull()).distinct()
 
 
-def pair_corr(a, b):
-    """Pearson r over the rows where both are non-null; null (not an ANSI
-    divide-by-zero error) when either side is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    sa = F.stddev_pop(F.when(both, a))
-    sb = F.stddev_pop(F.when(both, b))
-    constant = (F.min(F.when(both, a)) == F.max(F.when(both, a))) | (F.min(F.when(both, b)) == F.max(F.when(both, b)))
-    return F.when(~constant, F.try_divide(F.covar_pop(a, b), sa * sb))
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlations, pairwise complete, long form ``(row, col, r)``:
-    each pair over the rows where both values exist, all pairs in one
-    aggregation.  A column constant over a pair's rows gives null."""
+    each pair over the rows where both values exist, all pairs from one pass
+    of block accumulators.  A column constant over a pair's rows, or a pair
+    without rows, gives null."""
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = df.agg(*[pair_corr(col(cols[i]), col(cols[j])).alias(f"_r{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, j in pairs:
-        cells.append(F.struct(F.lit(cols[i]).alias("row"), F.lit(cols[j]).alias("col"),
-                              F.col(f"_r{i}_{j}").alias("r")))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("row"), F.lit(cols[i]).alias("col"),
-                                  F.col(f"_r{i}_{j}").alias("r")))
-    return wide.select(F.explode(F.array(*cells)).alias("_c")).select("_c.row", "_c.col", "_c.r")
+
+    def run(batches):
+        for batch in batches:
+            for state in batch.column("state"):
+                m = unpack_pairs(state.values)
+                live = (m["low"] < m["high"]) & (m["low"] < m["high"]).T
+                size = np.sqrt(np.where(live, m["spread"] * m["spread"].T, 1))
+                r = np.where(live & (size > 0), m["cross"] / np.where(size > 0, size, 1), np.nan).ravel()
+                p = len(cols)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(p * p)), pa.array(r, mask=np.isnan(r))], names=["cell", "r"])
+    found = pairwise_moments(df, cols).mapInArrow(run, "cell long, r double")
+    cells = df.sparkSession.createDataFrame([(i * len(cols) + j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+                                            "cell long, row string, col string")
+    return cells.join(found, "cell", "left").select("row", "col", "r")
 
 
 def min_max(df: DataFrame, value: str) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Linear models from one pass of Gram sums.
-
-Per split (train / validation) a single aggregation yields n, sums, and all
-cross products of the centred design -- (p + 2)^2 numbers, independent of
-the row count.  Everything downstream (ridge solves for a whole alpha grid,
-RMSE, R^2, VIF, coefficient tables) is p x p algebra, run inside Spark tasks
-by ``mapInPandas`` over the small alpha / feature tables, so the pipeline
-stays lazy and no raw row reaches the driver.
+"""Linear models from one pass of moments.
+
+Per split (train / validation) one Arrow pass of block accumulators
+(:mod:`ratestat.operators.moments`) yields n, means and centred cross
+products -- (p + 1)^2 numbers, independent of the row count, with no earlier
+scan for the means.  Everything downstream (ridge solves for a whole alpha
+grid, RMSE, R^2, VIF, coefficient tables) is p x p algebra, run inside Spark
+tasks by ``mapInPandas`` over the small alpha / feature tables; no raw row
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,91 +21,36 @@ from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, Stru
                                StructType)
 
 from ratestat.operators.common import col, with_one_row
+from ratestat.operators.moments import complete_moments, unpack_moments
 from ratestat.session import ship_package
 
 
-def _sum_exprs(xs, y):
-    p = len(xs)
-    out = [F.count(F.lit(1)).cast("double").alias("n")]
-    out += [F.sum(xs[i]).alias(f"sx{i}") for i in range(p)]
-    out += [F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    out += [F.sum(xs[i] * xs[j]).alias(f"sxx{i}_{j}") for i in range(p) for j in range(i, p)]
-    out += [F.sum(xs[i] * y).alias(f"sxy{i}") for i in range(p)]
-    return out
+def gram_table(df: DataFrame, features: Sequence[str], target: str, split_col: str | None = None) -> DataFrame:
+    """(split, state): one row of moments of [features, target] per split
+    value (0 = train), over the rows that have all of them.
+    :func:`ratestat.operators.moments.unpack_moments` takes a state apart."""
+    return complete_moments(df, [*features, target], split_col).withColumnRenamed("key", "split")
 
 
-def complete_rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows without a null (or NaN) in ``names``: sums, counts and means of a
-    fit must all speak of the same rows."""
-    return df.dropna(subset=list(names))
-
-
-def gram_table(df: DataFrame, features: Sequence[str], target: str, split_col: str | None = None,
-               center: bool = True) -> DataFrame:
-    """One row of packed sums per split value (``split``; 0 = train).
-
-    With ``center`` the features and target are shifted by the *train*
-    means first (a one-row broadcast), which keeps the sums free of
-    cancellation without changing any fitted quantity."""
-    feats = list(features)
-    df = complete_rows(df, [*feats, target])
-    train = df.filter(col(split_col) == 0) if split_col else df
-    if center:
-        means = train.agg(*[F.avg(col(c)).alias(f"_c{i}") for i, c in enumerate(feats)],
-                          F.avg(col(target)).alias("_cy"))
-        src = with_one_row(df, means)
-        xs = [col(c) - F.col(f"_c{i}") for i, c in enumerate(feats)]
-        y = col(target) - F.col("_cy")
-    else:
-        src = df
-        xs = [col(c) for c in feats]
-        y = col(target)
-    keys = [col(split_col).cast("int").alias("split")] if split_col else [F.lit(0).alias("split")]
-    grouped = src.select(*keys, *[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"))
-    xcols = [F.col(f"_x{i}") for i in range(len(feats))]
-    sums = grouped.groupBy("split").agg(*_sum_exprs(xcols, F.col("_y")))
-    names = [c for c in sums.columns if c != "split"]
-    return sums.select("split", F.array(*[F.col(c) for c in names]).alias("sums"))
-
-
-def _unpack(v, p):
-    v = np.asarray(v, dtype=float)
-    n, sx = v[0], v[1:1 + p]
-    sy, syy = v[1 + p], v[2 + p]
-    k = 3 + p
-    sxx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            sxx[i, j] = sxx[j, i] = v[k]
-            k += 1
-    sxy = v[k:k + p]
-    return n, sx, sy, syy, sxx, sxy
-
-
-def ridge_solve(train_sums, alpha: float, p: int):
-    """Ridge with an unpenalised intercept from train sums: (b0, beta)."""
-    n, sx, sy, _, sxx, sxy = _unpack(train_sums, p)
-    czz = sxx - np.outer(sx, sx) / n
-    czy = sxy - sx * sy / n
-    a = czz + alpha * np.eye(p)
+def ridge_solve(train_state, alpha: float):
+    """Ridge with an unpenalised intercept from train moments: (b0, beta)."""
+    _, mean, cross = unpack_moments(train_state)
+    xx, xy = cross[:-1, :-1], cross[:-1, -1]
+    a = xx + alpha * np.eye(len(xy))
     try:
-        beta = np.linalg.solve(a, czy)
+        beta = np.linalg.solve(a, xy)
     except np.linalg.LinAlgError:
-        beta = np.linalg.lstsq(a, czy, rcond=None)[0]
-    b0 = (sy - sx @ beta) / n
-    return b0, beta
+        beta = np.linalg.lstsq(a, xy, rcond=None)[0]
+    return float(mean[-1] - mean[:-1] @ beta), beta
 
 
-def fit_metrics(sums, b0: float, beta, p: int):
+def fit_metrics(state, b0: float, beta):
     """RMSE and R^2 (against the set's own mean) of b0 + x.beta on a set."""
-    n, sx, sy, syy, sxx, sxy = _unpack(sums, p)
-    sse = (syy - 2 * b0 * sy - 2 * beta @ sxy + n * b0 * b0 + 2 * b0 * (beta @ sx)
-           + beta @ sxx @ beta)
-    sse = max(sse, 0.0)
-    sst = syy - sy * sy / n
-    rmse = float(np.sqrt(sse / n))
-    r2 = float(1 - sse / sst) if sst > 0 else float("nan")
-    return rmse, r2
+    n, mean, cross = unpack_moments(state)
+    xx, xy, yy = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
+    bias = mean[-1] - b0 - mean[:-1] @ beta
+    sse = max(yy - 2 * beta @ xy + beta @ xx @ beta + n * bias * bias, 0.0)
+    return float(np.sqrt(sse / n)), float(1 - sse / yy) if yy > 0 else float("nan")
 
 
 SWEEP_SCHEMA = StructType([
@@ -115,19 +61,15 @@ SWEEP_SCHEMA = StructType([
 ])
 
 
-def _sweep_fn(p: int):
+def _sweep_fn(train, val):
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                b0, beta = ridge_solve(r.train_sums, float(r.alpha), p)
-                tr = fit_metrics(r.train_sums, b0, beta, p)
-                va = (fit_metrics(r.val_sums, b0, beta, p) if r.val_sums is not None
-                      else (float("nan"), float("nan")))
-                # back to the original scale: y = y_shift + b0 + beta.(x - x_shift)
-                icpt = float(r.y_shift + b0 - np.dot(beta, np.asarray(r.x_shift, dtype=float)))
-                rows.append((int(r.alpha_idx), float(r.alpha), tr[0], va[0], tr[1], va[1],
-                             icpt, [float(b) for b in beta]))
+                b0, beta = ridge_solve(train, float(r.alpha))
+                tr = fit_metrics(train, b0, beta)
+                va = fit_metrics(val, b0, beta) if val is not None else (float("nan"), float("nan"))
+                rows.append((int(r.alpha_idx), float(r.alpha), tr[0], va[0], tr[1], va[1], b0, [float(b) for b in beta]))
             yield pd.DataFrame(rows, columns=[f.name for f in SWEEP_SCHEMA.fields])
     return run
 
@@ -152,21 +94,16 @@ def alpha_grid(spark: SparkSession, kind: str, num: int, start: float = 0.0,
 def ridge_sweep(df: DataFrame, features: Sequence[str], target: str, split_col: str,
                 alphas: DataFrame) -> DataFrame:
     """Ridge fit for every alpha of ``alphas`` (``alpha_idx``, ``alpha``)
-    from ONE pass of train/validation Gram sums.  Columns: alpha_idx, alpha,
-    train/val RMSE and R^2, intercept, coefs (feature order)."""
-    p = len(features)
-    df = complete_rows(df, [*features, target])
-    g = gram_table(df, features, target, split_col, center=True)
-    packed = g.agg(F.max(F.when(F.col("split") == 0, F.col("sums"))).alias("train_sums"),
-                   F.max(F.when(F.col("split") == 1, F.col("sums"))).alias("val_sums"))
-    train = df.filter(col(split_col) == 0)
-    shift = train.agg(F.avg(col(target)).alias("y_shift"),
-                      F.array(*[F.avg(col(c)) for c in features]).alias("x_shift"))
-    # intercepts are reported on the original target scale
-    packed = with_one_row(packed, shift)
-    grid = with_one_row(alphas, packed)  # the Gram sums ride along as one scalar
+    from ONE pass of train/validation moments.  Columns: alpha_idx, alpha,
+    train/val RMSE and R^2, intercept, coefs (feature order).  Rows with a
+    null in any column are left out; without a train row there is no fit and
+    ``ValueError`` is raised; without a validation row its metrics are NaN."""
+    # two states of (p + 1)^2 numbers reach the driver and ride in the closure
+    states = {r["split"]: r["state"] for r in gram_table(df, features, target, split_col).where("split in (0, 1)").collect()}
+    if 0 not in states:
+        raise ValueError("no complete train row to fit")
     ship_package(df.sparkSession)
-    return grid.mapInPandas(_sweep_fn(p), SWEEP_SCHEMA)
+    return alphas.select("alpha_idx", "alpha").mapInPandas(_sweep_fn(states[0], states.get(1)), SWEEP_SCHEMA)
 
 
 def best_alpha(sweep: DataFrame) -> DataFrame:
@@ -251,35 +188,17 @@ def inflation(cmat, mu, n):
 def vif(df: DataFrame, features: Sequence[str], intercept_name: str = "Intercept") -> DataFrame:
     """Variance inflation factors of [Intercept, features] (least-squares
     definition): features from the inverse correlation matrix, the intercept
-    as 1 + n * mu' C^-1 mu (uncentred R^2).  Singular designs give inf."""
+    as 1 + n * mu' C^-1 mu (uncentred R^2).  Singular designs give inf; a
+    table without a complete row gives no row."""
     feats = list(features)
-    p = len(feats)
-    rows = df.select(*[col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(feats)]).dropna()
-    means = rows.agg(*[F.avg(f"_f{i}").alias(f"_m{i}") for i in range(p)])
-    cen = with_one_row(rows, means)
-    xs = [F.col(f"_f{i}") - F.col(f"_m{i}") for i in range(p)]
-    sums = cen.agg(F.count(F.lit(1)).cast("double").alias("n"),
-                   *[F.sum(xs[i] * xs[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)])
-    packed = with_one_row(sums, means).select(
-        F.array(*[F.col(c) for c in sums.columns]).alias("c"),
-        F.array(*[F.col(f"_m{i}") for i in range(p)]).alias("mu"))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                v = np.asarray(r.c, dtype=float)
-                n = v[0]
-                cmat = np.zeros((p, p))
-                k = 1
-                for i in range(p):
-                    for j in range(i, p):
-                        cmat[i, j] = cmat[j, i] = v[k]
-                        k += 1
-                mu = np.asarray(r.mu, dtype=float)
+            for state in pdf["state"]:
+                n, mu, cmat = unpack_moments(state)
                 vi, v0 = inflation(cmat, mu, n)
-                out.append((intercept_name, v0))
-                out += [(f, vi[i]) for i, f in enumerate(feats)]
+                out += [(intercept_name, v0), *zip(feats, vi)]
             yield pd.DataFrame(out, columns=["feature", "vif"])
     ship_package(df.sparkSession)
-    return packed.mapInPandas(run, VIF_SCHEMA)
+    return complete_moments(df, feats).mapInPandas(run, VIF_SCHEMA)

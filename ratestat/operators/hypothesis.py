@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratestat.functions.pvalues import log10_normal_two_sided, log10_p, mwu_p_value, p_value
+from ratestat.functions.pvalues import log10_normal_two_sided, mwu_p_value, with_p_value
 from ratestat.operators import quantiles, ranks
 from ratestat.operators.common import col
 from ratestat.operators.common import with_one_row
@@ -69,12 +69,12 @@ def ttest(df: DataFrame, grp: str, value: str, first, second, equal_var: bool =
     pm = pair_moments(group_moments(df, grp, value), first, second)
     t, dfree = (_student if equal_var else _welch)(*_cols())
     out = pm.select("*", t.alias("t"), dfree.cast("double").alias("df"))
-    out = out.withColumn("p_value", p_value(_T_KIND[alternative], F.col("t"), F.col("df")))
+    out = with_p_value(out, _T_KIND[alternative], "t", "df")
     return out.select(
         F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
         F.col("m1").alias("mean1"), F.col("m2").alias("mean2"),
         F.col("v1").alias("var1"), F.col("v2").alias("var2"),
-        "t", "df", "p_value", log10_p(F.col("p_value")).alias("log10_p"))
+        "t", "df", "p_value", "log10_p")
 
 
 # ------------------------------------------------------------------ ANOVA
@@ -101,9 +101,7 @@ def anova_from_moments(moments: DataFrame) -> DataFrame:
 
 
 def _with_f_p(stats: DataFrame) -> DataFrame:
-    out = stats.withColumn("p_value", p_value("f_upper", F.col("f_stat"), F.col("df_between"),
-                                              F.col("df_within")))
-    return out.withColumn("log10_p", log10_p(F.col("p_value")))
+    return with_p_value(stats, "f_upper", "f_stat", "df_between", "df_within")
 
 
 def anova(df: DataFrame, grp: str, value: str) -> DataFrame:
@@ -148,8 +146,7 @@ def ttest_gated(df: DataFrame, grp: str, value: str, first, second, alpha: float
         F.when(pooled, F.lit("student")).otherwise(F.lit("welch")).alias("method"),
         F.when(pooled, ts).otherwise(tw).alias("t"),
         F.when(pooled, dfs).otherwise(dfw).cast("double").alias("df"))
-    out = out.withColumn("p_value", p_value(_T_KIND[alternative], F.col("t"), F.col("df")))
-    return out.withColumn("log10_p", log10_p(F.col("p_value")))
+    return with_p_value(out, _T_KIND[alternative], "t", "df")
 
 
 # ------------------------------------------------------------ Mann-Whitney

@@ -102,3 +102,14 @@ FROM (SELECT {key_sel}CAST({stat} AS DOUBLE) AS a, CAST({d1} AS DOUBLE) AS d1,
              CAST({d2} AS DOUBLE) AS d2 FROM {src}) s,
      (SELECT (i + 0.5) / {QUAD_POINTS} AS u FROM range({QUAD_POINTS}) r(i)) g
 GROUP BY {key_sel}s.a"""
+
+
+def log_tail_sql(src: str, kind: str, stat: str, d1: str = "NULL", d2: str = "NULL") -> str:
+    """:func:`tail_sql` in logarithms, summed around the greatest term: one
+    row (a, log_tail) with ln P(X > a), also where P is below the least
+    double."""
+    dens = _log_density(kind, "(s.a + g.u / (1 - g.u))", "s.d1", "s.d2")
+    return f"""SELECT max(a) AS a, max(top) + ln(sum(exp(v - top))) - ln({QUAD_POINTS}) AS log_tail
+FROM (SELECT s.a, {dens} - 2 * ln(1 - g.u) AS v, max({dens} - 2 * ln(1 - g.u)) OVER () AS top
+  FROM (SELECT CAST({stat} AS DOUBLE) AS a, CAST({d1} AS DOUBLE) AS d1, CAST({d2} AS DOUBLE) AS d2 FROM {src}) s,
+       (SELECT (i + 0.5) / {QUAD_POINTS} AS u FROM range({QUAD_POINTS}) r(i)) g) _v"""

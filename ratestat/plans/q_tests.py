@@ -10,10 +10,11 @@ from ratestat.functions.constants import ALPHA, SEED
 from ratestat.functions.hashing import DRAW_BITS, mix_keys, mix_sql
 from ratestat.operators import derive, effects, hypothesis
 from ratestat.plans import profiles as P
-from ratestat.plans.common import qi, sql_round, tail_sql
+from ratestat.plans.common import log_tail_sql, qi, sql_round, tail_sql
 from ratestat.plans.q_clean import (NORM, NORM_TAGS, STUDENT_DF, STUDENT_T, WELCH_DF, WELCH_T,
                                     _t_p, grouped_profile, grouped_sql, levene_sql,
-                                    moments_pair_sql, qi_spark)
+                                    moments_pair_sql, profile_inputs, qi_spark)
+from ratestat.session import shared_table
 from ratestat.sources.tables import read_table
 from ratestat.operators.common import with_one_row
 from ratestat.operators.effects import POISSON_LIMITS
@@ -41,6 +42,26 @@ def q_ttest_welch(spark, d):
                             "l_extendedprice", "A", "R", equal_var=False, alternative="two-sided")
 
 
+def _halves(spark, d):
+    """Line items by a group that the value itself decides: statistics whose
+    p-values are below the least double."""
+    return read_table(spark, d, "lineitem", "l_quantity").select(
+        "l_quantity", F.when(F.col("l_quantity") > 25, "high").otherwise("low").alias("half"),
+        F.floor(F.col("l_quantity") / 10).alias("tenth"))
+
+
+def q_ttest_underflow(spark, d):
+    return hypothesis.ttest(_halves(spark, d), "half", "l_quantity", "high", "low", equal_var=True)
+
+
+def q_welch_underflow(spark, d):
+    return hypothesis.ttest(_halves(spark, d), "half", "l_quantity", "high", "low", equal_var=False, alternative="greater")
+
+
+def q_anova_underflow(spark, d):
+    return hypothesis.anova(_halves(spark, d), "tenth", "l_quantity")
+
+
 def q_mwu_single(spark, d):
     return hypothesis.mannwhitney(_lineitem(spark, d, "l_quantity"), "l_returnflag",
                                   "l_quantity", "A", "R")
@@ -84,8 +105,9 @@ def q_variance_ratio(spark, d):
 
 
 def _reps_mn(spark, d):
-    return effects.bootstrap_replicates(grouped_profile(spark, d), "grp", "rating_adj", P.KEY,
-                                        ["A", "B"], BOOT_B, BOOT_M, SEED)
+    """The m-out-of-n replicates, drawn once: the interval reads them too."""
+    return shared_table(spark, ("bootstrap_mn", d), lambda: effects.bootstrap_replicates(
+        grouped_profile(spark, d), "grp", "rating_adj", P.KEY, ["A", "B"], BOOT_B, BOOT_M, SEED), profile_inputs(d))
 
 
 def q_bootstrap_mn(spark, d):
@@ -113,6 +135,9 @@ QUERIES = {
     "levene": q_levene,
     "ttest_pooled": q_ttest_pooled,
     "ttest_welch": q_ttest_welch,
+    "ttest_underflow": q_ttest_underflow,
+    "welch_underflow": q_welch_underflow,
+    "anova_underflow": q_anova_underflow,
     "mwu_single": q_mwu_single,
     "mwu_tags": q_mwu_tags,
     "top_bottom_k": q_top_bottom_k,
@@ -140,6 +165,31 @@ SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, m1 AS mean1, m2 AS me
 FROM t, tl"""
 
 
+HALVES = """(SELECT l_quantity, CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS half,
+   floor(l_quantity / 10) AS tenth FROM lineitem)"""
+
+
+def ttest_log_sql(equal_var, sides) -> str:
+    """The t-test of the halves with its p-value from the log tail."""
+    t, dfr = (STUDENT_T, STUDENT_DF) if equal_var else (WELCH_T, WELCH_DF)
+    return f"""WITH pm AS (SELECT * FROM {moments_pair_sql(HALVES, "half", "l_quantity", "high", "low")} _p),
+ t AS (SELECT n1, n2, m1, m2, v1, v2, {t} AS t, CAST({dfr} AS DOUBLE) AS df FROM pm),
+ tl AS ({log_tail_sql("t", "t", "abs(t)", "df")})
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, m1 AS mean1, m2 AS mean2, v1 AS var1,
+  v2 AS var2, t.t, t.df, {sides} * exp(log_tail) AS p_value, (log_tail + ln({sides})) / ln(10) AS log10_p
+FROM t, tl"""
+
+
+ANOVA_LOG_SQL = f"""WITH g AS (SELECT tenth, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS ss
+   FROM {HALVES} _h GROUP BY tenth),
+ s AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n_total, sum(n * m) / sum(n) AS grand, sum(ss) AS ssw FROM g),
+ f AS (SELECT k, n_total, (SELECT sum(n * (m - grand) * (m - grand)) FROM g) AS ssb, ssw FROM s),
+ w AS (SELECT *, (ssb / (k - 1)) / (ssw / (n_total - k)) AS f_stat, CAST(k - 1 AS DOUBLE) AS df_between,
+         CAST(n_total - k AS DOUBLE) AS df_within FROM f),
+ tl AS ({log_tail_sql("w", "f", "f_stat", "df_between", "df_within")})
+SELECT k, n_total, ssb, ssw, f_stat, df_between, df_within, exp(log_tail) AS p_value, log_tail / ln(10) AS log10_p FROM w, tl"""
+
+
 def mwu_sql(src: str, grp: str, value: str, first: str, second: str, by: str | None) -> str:
     """Rank-sum oracle with a plain ordered window (fine for a small oracle)."""
     bsel = f"{by}, " if by else ""
@@ -232,6 +282,9 @@ SQL = {
         ["ssb", "ssw", "w_stat", "df_between", "df_within", "p_value", "log10_p"]),
     "ttest_pooled": sql_round(ttest_sql("A", "R", True, "greater"), _TT),
     "ttest_welch": sql_round(ttest_sql("A", "R", False, "two-sided"), _TT),
+    "ttest_underflow": sql_round(ttest_log_sql(True, 2), _TT),
+    "welch_underflow": sql_round(ttest_log_sql(False, 1), _TT),
+    "anova_underflow": sql_round(ANOVA_LOG_SQL, ["ssb", "ssw", "f_stat", "df_between", "df_within", "p_value", "log10_p"]),
     "mwu_single": sql_round(mwu_sql(LI, "l_returnflag", "l_quantity", "A", "R", None), _MWU),
     "mwu_tags": sql_round(mwu_tags_sql(), ["u1", "z", "p_value", "log10_p"]),
     "top_bottom_k": sql_round(f"""SELECT CASE WHEN p_rank <= 3 THEN 'most' ELSE 'least' END AS side,
