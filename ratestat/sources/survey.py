@@ -17,33 +17,46 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from ratestat.functions import constants as K
-from ratestat.operators.common import col
-from ratestat.sources.positional import positional_bind
+from ratestat.operators.common import col, q
+from ratestat.sources.csvranges import read_records
+from ratestat.sources.positional import positional_bind, with_row_numbers
 
 
 def _clean_token(c: Column, na_tokens: Sequence[str]) -> Column:
     return F.when(c.isNull() | c.isin(list(na_tokens)), F.lit(None).cast("string")).otherwise(c)
 
 
-def read_csv_columns(spark: SparkSession, path: str, names: Sequence[str],
+def read_csv_columns(spark: SparkSession, path: str | Sequence[str], names: Sequence[str],
                      numeric: Sequence[str] = (), header: bool = False,
-                     na_tokens: Sequence[str] = K.NA_TOKENS) -> DataFrame:
+                     na_tokens: Sequence[str] = K.NA_TOKENS, idx: str | None = None) -> DataFrame:
     """Read a CSV whose columns are ``names`` (by position when headerless);
     ``numeric`` columns become doubles (NaN never appears: missing is null).
-    Quotes inside a quoted field are doubled, and it may hold line ends."""
-    schema = StructType([StructField(n, StringType(), True) for n in names])
-    raw = (spark.read.schema(schema).option("header", header).option("encoding", "UTF-8")
-           .option("enforceSchema", True).option("mode", "PERMISSIVE")
-           .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
+    Quotes inside a quoted field are doubled, and it may hold line ends.
+
+    ``path`` may be a file, a folder or a list of them; files of any size are
+    read in byte ranges (:mod:`ratestat.sources.csvranges`), many tasks a
+    file.  ``idx`` names a column for the record's number from 0 over all
+    files in order; without it :func:`positional_bind` still knows the number,
+    as long as the frame is passed on as it is."""
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    parsed = read_records(spark, path, header).select(
+        F.col("record").alias("_record"), F.from_csv("line", _ddl(names), options).alias("_f"))
     numeric = set(numeric)
     out = []
     for n in names:
-        c = _clean_token(col(n), na_tokens)
+        c = _clean_token(F.col("_f").getField(n), na_tokens)
         out.append((c.try_cast("double") if n in numeric else c).alias(n))
-    return raw.select(*out)
+    numbered = parsed.select(F.col("_record").alias(idx or "row_idx"), *out)
+    if idx:
+        return numbered
+    return with_row_numbers(numbered.select(*[col(n) for n in names]), numbered)
+
+
+def _ddl(names: Sequence[str]) -> str:
+    return ", ".join(f"{q(n)} string" for n in names)
 
 
 def read_survey(spark: SparkSession, num_path: str, qual_path: str, tags_path: str,
@@ -51,7 +64,8 @@ def read_survey(spark: SparkSession, num_path: str, qual_path: str, tags_path: s
                 qual_names: Sequence[str] = K.QUALITATIVE_COLUMNS,
                 tag_names: Sequence[str] = K.TAG_COLUMNS) -> DataFrame:
     """Numeric + qualitative + tag files bound by row position (31 columns
-    plus ``row_idx``).  Each input must be a single file."""
+    plus ``row_idx``).  An input may be one file of any size, a folder of part
+    files or a list of files in order."""
     num = read_csv_columns(spark, num_path, num_names, numeric=num_names)
     qual = read_csv_columns(spark, qual_path, qual_names)
     tags = read_csv_columns(spark, tags_path, tag_names, numeric=tag_names)
@@ -75,15 +89,18 @@ def read_json_map(spark: SparkSession, path: str, key: str = "key", value: str =
 
 
 def read_geojson(spark: SparkSession, path: str, id_as: str = "State") -> DataFrame:
-    """Feature collection -> (id_as, name, geometry_json), one row per feature."""
-    doc = spark.read.option("multiLine", True).json(path)
+    """Feature collection -> (id_as, name, geometry_json), one row per feature.
+
+    The geometry is handed through as the file's own JSON text, whatever its
+    type: an inferred schema would have to give polygons and multipolygons one
+    type.  A property that is no text comes as its JSON text; a missing id,
+    name or geometry is null."""
+    feature = StructType([StructField("id", StringType()), StructField("geometry", StringType()),
+                          StructField("properties", MapType(StringType(), StringType()))])
+    doc = spark.read.schema(StructType([StructField("features", ArrayType(feature))])).option("multiLine", True).json(path)
     feats = doc.select(F.explode("features").alias("f"))
-    has_name = "name" in [f.name for f in feats.schema["f"].dataType["properties"].dataType.fields] \
-        if "properties" in feats.schema["f"].dataType.fieldNames() else False
-    return feats.select(
-        F.col("f.id").cast("string").alias(id_as),
-        (F.col("f.properties.name") if has_name else F.lit(None).cast("string")).alias("name"),
-        F.to_json(F.col("f.geometry")).alias("geometry_json"))
+    return feats.select(F.col("f.id").alias(id_as), F.try_element_at("f.properties", F.lit("name")).alias("name"),
+                        F.col("f.geometry").alias("geometry_json"))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite",
