@@ -16,7 +16,8 @@ the price is at most a few half-empty bins a shard.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +74,14 @@ def pack(sizes: np.ndarray, lengths=LENGTHS) -> tuple[np.ndarray, np.ndarray, np
 def _packed(lengths):
     longest = max(lengths)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-        whole, offset, size = pack(pdf["n_tokens"].to_numpy(np.int64), lengths)
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "start": pdf["piece"] * longest,
-            "n_tokens": pdf["n_tokens"], "bin_id": pdf["shard"] * (1 << 24) + whole, "bin_offset": offset,
-            "bin_length": size[whole] if len(whole) else whole})
+    def run(table: pa.Table) -> pa.Table:
+        # ids stay in Arrow: through pandas a null would turn them into doubles
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("piece", "ascending")]))
+        piece, tokens = table.column("piece").to_numpy(), table.column("n_tokens").to_numpy()
+        whole, offset, size = pack(tokens, lengths)
+        bin_id = table.column("shard").to_numpy() * (1 << 24) + whole
+        return pa.table({"doc_id": table.column("doc_id"), "piece": piece, "start": piece * longest, "n_tokens": tokens,
+                         "bin_id": bin_id, "bin_offset": offset, "bin_length": size[whole]})
     return run
 
 
@@ -101,7 +103,7 @@ def best_fit_packing(docs: DataFrame, size_col: str, lengths=LENGTHS, id_col: st
     spread = F.xxhash64(F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()), F.col("piece"))
     cut = (sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / longest))).alias("piece"))
            .select("doc_id", "piece", F.least(F.lit(longest), F.col("size") - F.col("piece") * longest).cast("long").alias("n_tokens")))
-    return cut.withColumn("shard", F.pmod(spread, F.lit(shards))).groupBy("shard").applyInPandas(
+    return cut.withColumn("shard", F.pmod(spread, F.lit(shards))).groupBy("shard").applyInArrow(
         _packed(tuple(lengths)),
         "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_length long")
 

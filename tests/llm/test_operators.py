@@ -187,6 +187,28 @@ def test_rule_cascade(spark, docs, nothing):
     assert rule_cascade.rule_cascade(nothing).count() == 0
 
 
+def test_form_feeds_and_the_letter_f(spark):
+    texts = ["f\nf\nf\n word one", "g\ng\ng\n word one", "\f\n\f\nx", "\x0b\n \x0c\r\n\t\nx\nx\x0c\nx"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(rule_cascade.rule_cascade(frame, ordered=True).collect())
+    assert [got[i]["n_dup_lines"] for i in range(4)] == [brute_base(t)[3] for t in texts] == [2, 2, 0, 1]
+
+
+def test_greedy_order_judges_what_is_left():
+    rules = [rule_cascade.Rule(n, "") for n in ("dear", "same", "other", "never")]
+    patterns = [((True, True, False, False), 60), ((False, False, True, False), 30), ((False,) * 4, 910)]
+    seconds = {"dear": 1.0, "same": .5, "other": .5, "never": .1}
+    assert [r.name for r in rule_cascade.greedy_order(rules, seconds, patterns)] == ["same", "other", "never", "dear"]
+    assert rule_cascade.greedy_order([], {}, []) == []
+
+
+def test_rule_order_on_a_sample(spark, docs, nothing):
+    base = docs.select("doc_id", rule_cascade.F.coalesce("text", rule_cascade.F.lit("")).alias("text"))
+    found = rule_cascade.order_rules(base)
+    assert sorted(r.name for r in found) == sorted(r.name for r in rule_cascade.RULES)
+    assert len(rule_cascade.order_rules(nothing.select("doc_id", "text"))) == len(rule_cascade.RULES)
+
+
 def test_rule_cascade_is_native(docs):
     plan = rule_cascade.rule_cascade(docs, ordered=True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -476,6 +498,46 @@ def test_packing(spark, docs, nothing):
     assert packing.best_fit_packing(packing.with_sizes(nothing), "size").count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    ids = [9007199254740993, 9007199254740995, None, (1 << 63) - 1, None]
+    frame = spark.createDataFrame([(i, 40 + k) for k, i in enumerate(ids)], "doc_id long, size long").coalesce(1)
+    got = packing.best_fit_packing(frame, "size").collect()
+    assert sorted((r["n_tokens"], r["doc_id"]) for r in got) == [(40 + k, i) for k, i in enumerate(ids)]
+
+
+def slow_pack(sizes, lengths):
+    """Best fit by looking at every open bin and every length."""
+    bins, where = [], [None] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for k, i in enumerate(order):
+        size = sizes[i]
+        fitting = [b for b in range(len(bins)) if bins[b][0] >= size]
+        if fitting:
+            least = min(bins[b][0] for b in fitting)
+            chosen = [b for b in fitting if bins[b][0] == least]
+        else:
+            def price(c):
+                beside = sum(sizes[j] for j in order[k + 1:] if sizes[j] <= c - size)
+                return packing.cost(c) / (size + min(c - size, beside)), c
+            c = min((c for c in lengths if c >= size), key=price)
+            bins.append([c, c])
+            chosen = [len(bins) - 1]
+        where[i] = chosen[-1]
+        bins[chosen[-1]][0] -= size
+    used = [c - room for room, c in bins]
+    return sorted((min(c for c in lengths if c >= u), u) for u in used)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_matches_a_slow_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = (16, 32, 64, 128)
+    sizes = rng.integers(1, 129, 80) if seed % 2 else np.minimum(rng.geometric(.05, 120), 128)
+    bin_of, offset, length = packing.pack(sizes.astype(np.int64), lengths)
+    used = np.bincount(bin_of, weights=sizes, minlength=len(length)).astype(int)
+    assert sorted(zip(length.tolist(), used.tolist())) == slow_pack(sizes.tolist(), lengths)
+
+
 def test_best_fit_prefers_the_tightest_bin():
     bin_of, offset, length = packing.pack(np.array([600, 400, 110, 100]), (512, 1024))
     assert length[bin_of[0]] == 1024 and bin_of[1] == bin_of[0]
