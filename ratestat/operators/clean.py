@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestat.operators.common import broadcast_if_small, col
+from ratestat.session import materialize
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -16,17 +17,45 @@ def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     return df.na.drop(how="any", subset=list(subset))
 
 
+def _digests(keys: Sequence[str]) -> list:
+    """Two 64-bit hashes of a row's ``keys``; nulls have their own mark, as a
+    hash alone passes over them."""
+    marks = [col(c).isNull() for c in keys]
+    return [F.xxhash64(F.lit(lane), *marks, *[col(c) for c in keys]).alias(f"_d{lane}") for lane in (1, 2)]
+
+
+def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows with ``_met``, the number of rows of their digest.
+
+    The digests are counted first, 16 bytes a row and combined map-side; what
+    repeats is written, so that the planner broadcasts it by its size.
+    ``_met`` is null for a row whose digest is its own: that row repeats
+    nothing and needs no comparison."""
+    digests = df.select(*_digests(keys)).groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_met"))
+    repeated = materialize(digests.where("_met > 1"))
+    return df.select("*", *_digests(keys)).join(repeated, ["_d1", "_d2"], "left")
+
+
 def drop_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Full-row (or subset) dedupe; null equals null like pandas.  Runs as a
-    partial + final hash aggregate, so a hot duplicate collapses map-side."""
-    return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()
+    """Full-row (or subset) dedupe; null equals null like pandas.
+
+    Rows are told apart by 128-bit digests; only rows whose digest repeats are
+    shuffled whole and compared column by column (as a partial + final hash
+    aggregate, so a hot duplicate collapses map-side).  The others are passed
+    on from where they were read."""
+    keys = list(subset or df.columns)
+    rows = _suspects(df, keys)
+    back = [col(c) for c in df.columns]
+    return rows.where("_met is null").select(*back).unionByName(rows.where("_met is not null").select(*back).dropDuplicates(keys))
 
 
 def count_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row ``n_duplicates``: rows that repeat an earlier identical row
-    (pandas ``duplicated().sum()``)."""
-    keys = [col(c) for c in (subset or df.columns)]
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    (pandas ``duplicated().sum()``).  Only rows whose digest repeats are
+    compared."""
+    keys = list(subset or df.columns)
+    rows = _suspects(df.select(*[col(c) for c in keys]), keys)
+    grouped = rows.where("_met is not null").groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias("_c"))
     return grouped.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long")
                        .alias("n_duplicates"))
 

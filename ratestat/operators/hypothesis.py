@@ -113,8 +113,11 @@ def levene(df: DataFrame, grp: str, value: str, center: str = "median",
            quantile_method: str | None = None) -> DataFrame:
     """Levene / Brown-Forsythe test: ANOVA on |x - center_g|.
 
-    Pass 1: per-group centre (median by default) -> a k-row frame joined
-    back; pass 2: moments of the absolute deviations."""
+    Around the exact median (the default) the moments of the distances come
+    out of the two scans that find it; around the mean, or a sketched median
+    (``quantile_method="approx"``), the centres are joined to the rows."""
+    if center == "median" and quantile_method in (None, "exact"):
+        return _levene_from(quantiles.median_moments(df, grp, value))
     v = col(value)
     rows = df.filter(v.isNotNull() & col(grp).isNotNull()).select(
         col(grp).alias("_g"), v.alias("_x"))
@@ -130,13 +133,20 @@ def levene(df: DataFrame, grp: str, value: str, center: str = "median",
     return _with_f_p(stats).withColumnRenamed("f_stat", "w_stat")
 
 
+def _levene_from(moments: DataFrame) -> DataFrame:
+    z = moments.select("grp", "n", F.col("z_mean").alias("mean"), F.col("z_var").alias("var"))
+    return _with_f_p(anova_from_moments(z)).withColumnRenamed("f_stat", "w_stat")
+
+
 def ttest_gated(df: DataFrame, grp: str, value: str, first, second, alpha: float = 0.005,
                 alternative: str = "greater") -> DataFrame:
     """Levene first; pooled t if its p > alpha, else Welch.  One row with
-    the Levene result, the chosen method and the t-test result."""
-    lev = levene(df, grp, value).select(F.col("w_stat").alias("levene_w"),
-                                        F.col("p_value").alias("levene_p"))
-    pm = pair_moments(group_moments(df, grp, value), first, second)
+    the Levene result, the chosen method and the t-test result.  Both tests
+    use the moments of the same two scans."""
+    moments = materialize(quantiles.median_moments(df, grp, value))  # one row a group
+    lev = _levene_from(moments).select(F.col("w_stat").alias("levene_w"),
+                                       F.col("p_value").alias("levene_p"))
+    pm = pair_moments(moments, first, second)
     ts, dfs = _student(*_cols())
     tw, dfw = _welch(*_cols())
     both = with_one_row(pm, lev)

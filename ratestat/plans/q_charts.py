@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratestat.operators import chartdata, describe, quantiles
+from ratestat.operators import chartdata, derive, describe, quantiles
 from ratestat.plans import profiles as P
 from ratestat.plans.common import sql_round
-from ratestat.plans.q_clean import grouped_profile, grouped_sql
+from ratestat.plans.q_clean import NORM, grouped_profile, grouped_sql
+from ratestat.plans.q_tests import mwu_tags_sql, q_top_bottom_k
 from ratestat.sources.positional import positional_bind
 from ratestat.sources.tables import read_table
 
@@ -22,6 +23,14 @@ def q_hist_fixed(spark, d):
     return chartdata.histogram_fixed(g, "grp", HIST_TAG, TAG_EDGES)
 
 
+def q_hist_six_tags(spark, d):
+    """The tags with the three least and the three greatest p-values."""
+    tags = q_top_bottom_k(spark, d).select("tag").toArrow().column("tag").to_pylist()  # six rows
+    g = grouped_profile(spark, d).filter(F.col(P.N) >= 3)
+    found = chartdata.histogram_columns(g, "grp", [t + NORM for t in tags], TAG_EDGES, "tag")
+    return found.withColumn("tag", derive.strip_suffix(F.col("tag"), NORM))
+
+
 UNEQUAL_EDGES = [0.0, 1.0, 5.0, 20.0, 48.5, 50.0]
 
 
@@ -77,6 +86,7 @@ QUERIES = {
     "quantile_null_group": q_quantile_null_group,
     "corr_constant": q_corr_constant,
     "hist_fixed": q_hist_fixed,
+    "hist_six_tags": q_hist_six_tags,
     "hist_auto": q_hist_auto,
     "box_stats": q_box_stats,
     "box_outliers": q_box_outliers,
@@ -98,6 +108,16 @@ SELECT g.grp, b.bin, b.lo, b.hi,
      AND (v.x < b.hi OR (b.bin = {len(TAG_EDGES) - 2} AND v.x <= b.hi))) AS count
 FROM g, b"""
 
+_TAG_ROWS = " UNION ALL ".join(f"""SELECT grp, '{t}' AS tag, "{t}{NORM}" AS x FROM {grouped_sql()} _g WHERE n_ratings >= 3""" for t in P.TAGS)
+HIST_SIX_SQL = f"""WITH b(bin, lo, hi) AS (VALUES {_edges_values(TAG_EDGES)}),
+ r AS (SELECT tag, p_rank, count(*) OVER () AS n FROM ({mwu_tags_sql()}) _m),
+ v AS (SELECT u.* FROM ({_TAG_ROWS}) u JOIN r ON u.tag = r.tag WHERE p_rank <= 3 OR p_rank > n - 3),
+ g AS (SELECT DISTINCT tag, grp FROM v)
+SELECT g.tag, g.grp, b.bin, b.lo, b.hi, count(v.x) AS count
+FROM g CROSS JOIN b LEFT JOIN v ON v.tag = g.tag AND v.grp = g.grp AND v.x >= b.lo
+  AND (v.x < b.hi OR (b.bin = {len(TAG_EDGES) - 2} AND v.x <= b.hi))
+GROUP BY g.tag, g.grp, b.bin, b.lo, b.hi"""
+
 HIST_AUTO_SQL = f"""WITH r AS (SELECT l_returnflag AS grp, l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL),
  s AS (SELECT grp, count(*) AS n,
           CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
@@ -175,6 +195,7 @@ SQL = {
     "quantile_null_group": sql_round(QUANTILE_NULL_SQL, ["q1", "median", "q3"]),
     "corr_constant": sql_round(CORR_CONSTANT_SQL, ["r"]),
     "hist_fixed": sql_round(HIST_FIXED_SQL, ["lo", "hi"]),
+    "hist_six_tags": sql_round(HIST_SIX_SQL, ["lo", "hi"]),
     "hist_auto": sql_round(HIST_AUTO_SQL, ["lo", "hi", "density"]),
     "box_outliers": sql_round("""WITH q AS (SELECT event_type AS g,
     quantile_cont(value, CAST(0.25 AS DOUBLE)) AS q1, quantile_cont(value, CAST(0.75 AS DOUBLE)) AS q3

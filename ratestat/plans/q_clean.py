@@ -90,6 +90,23 @@ def q_duplicate_count(spark, d):
     return clean.count_duplicate_rows(li)
 
 
+def _with_repeats(spark, d):
+    """All columns of the line items, every third order planted a second time
+    and every twelfth a third; some columns null."""
+    li = read_table(spark, d, "lineitem")
+    li = li.withColumn("l_returnflag", F.expr("nullif(l_returnflag, 'N')"))
+    li = li.withColumn("l_shipdate", F.col("l_shipdate").cast("date").cast("string"))
+    return li.unionByName(li.where("l_orderkey % 3 = 0")).unionByName(li.where("l_orderkey % 12 = 0"))
+
+
+def q_dedupe_rows(spark, d):
+    return clean.drop_duplicate_rows(_with_repeats(spark, d))
+
+
+def q_duplicate_rows(spark, d):
+    return clean.count_duplicate_rows(_with_repeats(spark, d))
+
+
 def q_clean_tag_bound(spark, d):
     return cleaned_profile(spark, d)
 
@@ -219,6 +236,8 @@ QUERIES = {
     "clean_dropna": q_clean_dropna,
     "clean_dedupe": q_clean_dedupe,
     "duplicate_count": q_duplicate_count,
+    "dedupe_rows": q_dedupe_rows,
+    "duplicate_rows": q_duplicate_rows,
     "clean_tag_bound": q_clean_tag_bound,
     "null_counts": q_null_counts,
     "flag_overlap": q_flag_overlap,
@@ -372,12 +391,20 @@ def _profile_select(src: str, where: str = "") -> str:
     return f"SELECT * FROM {src} _x {where}"
 
 
+REPEATS_SQL = """(SELECT * REPLACE (nullif(l_returnflag, 'N') AS l_returnflag,
+   CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate) FROM
+   (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 3 = 0
+    UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 12 = 0) _u)"""
+
 SQL = {
     "clean_dropna": sql_round(_profile_select(PROFILE_SQL, "WHERE rating IS NOT NULL"),
                               PROFILE_DOUBLES),
     "clean_dedupe": "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem",
     "duplicate_count": """SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates
 FROM (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) _g""",
+    "dedupe_rows": sql_round(f"SELECT DISTINCT * FROM {REPEATS_SQL}", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+    "duplicate_rows": f"""SELECT CAST((SELECT count(*) FROM {REPEATS_SQL} _a)
+  - (SELECT count(*) FROM (SELECT DISTINCT * FROM {REPEATS_SQL} _b) _c) AS BIGINT) AS n_duplicates""",
     "clean_tag_bound": sql_round(_profile_select(CLEAN_SQL), PROFILE_DOUBLES),
     "null_counts": "\nUNION ALL\n".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM {PROFILE_SQL} _p"

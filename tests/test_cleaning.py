@@ -95,3 +95,34 @@ def test_verdict_boundaries(spark):
     df = spark.createDataFrame([(0.005,)], "p double")
     assert df.select(derive.verdict("p", 0.005, "le")).first()[0] == "significant"
     assert df.select(derive.verdict("p", 0.005, "lt")).first()[0] == "not significant"
+
+
+ODD_ROWS = [(1, None, 0.0, "a"), (1, None, -0.0, "a"), (None, 1, 0.0, "a"), (1, 1, float("nan"), None), (1, 1, float("nan"), None),
+            (2, 2, 2.0, ""), (2, 2, 2.0, None), (2, 2, 2.0, None), (3, 3, 3.0, "x"), (None, None, None, None), (None, None, None, None)]
+
+
+def test_digest_dedupe_equals_a_whole_row_comparison(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ratestat.operators import clean
+    df = spark.createDataFrame(ODD_ROWS, "a int, b int, c double, _met string").repartition(4)
+    for collide in (False, True):
+        if collide:  # every row has one digest: the comparison alone decides
+            monkeypatch.setattr(clean, "_digests", lambda keys: [F.lit(7).cast("long").alias(f"_d{i}") for i in (1, 2)])
+        renamed = df.withColumnRenamed("_met", "s")
+        got = clean.drop_duplicate_rows(renamed)
+        assert got.columns == ["a", "b", "c", "s"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, renamed.dropDuplicates().collect()))
+        assert clean.count_duplicate_rows(renamed).first()[0] == 4
+        assert clean.drop_duplicate_rows(renamed, ["a", "b"]).count() == renamed.select("a", "b").distinct().count()
+        assert clean.count_duplicate_rows(renamed, ["a"]).first()[0] == 7
+    assert clean.drop_duplicate_rows(renamed.limit(0)).count() == 0
+    assert clean.count_duplicate_rows(renamed.limit(0)).first()[0] == 0
+
+
+def test_rows_that_repeat_nothing_are_not_shuffled_whole(spark):
+    from ratestat.operators import clean
+    df = spark.range(2000).selectExpr("id", "repeat(cast(id as string), 50) as wide")
+    plan = clean.drop_duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert clean.drop_duplicate_rows(df.unionByName(df.where("id < 10"))).count() == 2000

@@ -97,3 +97,33 @@ def test_poisson_replicates_are_a_bootstrap(spark):
     assert abs(a.mean1.mean() - x.mean()) < 0.3
     assert 0.85 < a.mean1.std() / (x.std() / np.sqrt(len(x))) < 1.15
     assert abs(a.n1.mean() - 1000) < 8 and 25 < a.n1.std() < 39
+
+
+def test_kde_bound_holds_and_cells_are_few(spark):
+    """Heavy tails and ties; the error stays within the docstring's bound."""
+    import math
+
+    import numpy as np
+    rng = np.random.default_rng(8)
+    groups = {"a": np.round(rng.standard_t(2, 3000), 3), "b": rng.exponential(1, 500), "c": np.r_[np.zeros(50), 1.0]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, x double").repartition(3)
+    stats, cells = chartdata.kde_cells(df, "g", "x", 200, 3.0)
+    for r in cells.groupBy("grp").count().collect():
+        v = groups[r["grp"]]
+        assert r["count"] <= (v.max() - v.min()) / (v.std(ddof=1) * len(v) ** -0.2) + 1
+    total = sum(map(len, groups.values()))
+    got = {(r["grp"], r["i"]): r for r in chartdata.kde_grid(df, "g", "x").collect()}
+    assert len(got) == 600
+    for name, v in groups.items():
+        bw = v.std(ddof=1) * len(v) ** -0.2
+        grid = np.linspace(v.min() - 3 * bw, v.max() + 3 * bw, 200)
+        direct = np.exp(-0.5 * ((grid[:, None] - v[None, :]) / bw) ** 2).sum(1) / (total * bw * math.sqrt(2 * math.pi))
+        worst = max(abs(got[name, i]["density"] - direct[i]) for i in range(200))
+        assert worst <= len(v) / total * (8e-16 / (bw * math.sqrt(2 * math.pi))) + 1e-14 * direct.max()
+
+
+def test_histogram_of_columns(spark):
+    df = spark.createDataFrame([("a", 0.1, 5.0), ("a", 0.9, None), (None, 0.5, 0.5)], "g string, `x (N)` double, y double")
+    got = {(r["tag"], r["grp"], r["bin"]): r["count"] for r in chartdata.histogram_columns(df, "g", ["x (N)", "y"], [0, 0.5, 1], "tag").collect()}
+    assert got == {("x (N)", "a", 0): 1, ("x (N)", "a", 1): 1, ("y", "a", 0): 0, ("y", "a", 1): 0,
+                   ("x (N)", None, 0): 0, ("x (N)", None, 1): 1, ("y", None, 0): 0, ("y", None, 1): 1}

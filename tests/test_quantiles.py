@@ -55,3 +55,69 @@ def test_no_values_at_all(spark):
     df = spark.createDataFrame([], "g string, x double")
     assert quantiles.group_quantiles(df, ["g"], "x", [0.5], ["m"]).collect() == []
     assert [r["m"] for r in quantiles.group_quantiles(df, [], "x", [0.5], ["m"]).collect()] == [None]
+
+
+@pytest.mark.parametrize("gap_rows", [1, 40, 10_000])
+@pytest.mark.parametrize("where", ["below", "above", "apart"])
+def test_wrong_brackets_are_refined(spark, where, gap_rows):
+    """Brackets that miss every rank cost scans, never the exact value."""
+    from pyspark.sql import functions as F
+
+    from ratestat.operators.common import col
+
+    def wrong(rows, gnames, probs):
+        lo, hi = {"below": (-1e9, -1e8), "above": (1e8, 1e9), "apart": (3.25, 3.25)}[where]
+        out = rows.groupBy(*[col(g) for g in gnames]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+        return out.select(*[col(g) for g in gnames], "_n", F.array(*[F.lit(lo)] * len(probs)).alias("_lo"),
+                          F.array(*[F.lit(hi)] * len(probs)).alias("_hi"))
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=700), "b": np.round(rng.normal(3, 2, 900), 1), None: rng.lognormal(0, 6, 500), "c": np.full(80, 2.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "rank string, c double")
+    probs = [0.5, 0.01, 0.9, 0.5]
+    got = {r["rank"]: list(r)[1:] for r in quantiles.group_quantiles(
+        df, ["rank"], "c", probs, ["m", "lo", "hi", "again"], brackets=wrong, gap_rows=gap_rows).collect()}
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(list(np.percentile(vs, [50, 1, 90, 50])), rel=1e-12, abs=1e-12)
+    one = quantiles.group_quantiles(df.where("rank = 'b'"), [], "c", [0.3, 0.7], ["p", "q"], brackets=wrong, gap_rows=gap_rows).first()
+    assert list(one) == pytest.approx(list(np.percentile(groups["b"], [30, 70])), rel=1e-12)
+    if gap_rows == 40:
+        check_median_moments({g: v for g, v in groups.items() if g}, quantiles.median_moments(df, "rank", "c", brackets=wrong))
+
+
+def check_median_moments(groups, frame):
+    got = {r["grp"]: r for r in frame.collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        z = np.abs(x - np.median(x))
+        r = got[g]
+        assert r["n"] == len(x) and r["mean"] == pytest.approx(x.mean(), rel=1e-12) and r["z_mean"] == pytest.approx(z.mean(), rel=1e-11)
+        if len(x) > 1:
+            assert r["var"] == pytest.approx(x.var(ddof=1), rel=1e-10) and r["z_var"] == pytest.approx(z.var(ddof=1), rel=1e-9)
+
+
+def test_median_moments_match_numpy(spark):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(1e6, 1, 20_001), "b": np.round(rng.normal(5, 3, 3000), 1), "c": np.array([1.0, 4.0]), "d": np.array([7.0]),
+              "e": np.array([0.0, 0.0, 9.0, 9.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(None, 1.0), ("a", None)], "g string, x double")
+    check_median_moments(groups, quantiles.median_moments(df.repartition(4), "g", "x"))
+
+
+def test_levene_reads_the_rows_twice(spark, monkeypatch):
+    from ratestat.operators import hypothesis
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'A', 'B') as g", "cast(id * id % 997 as double) as x")
+    plain = hypothesis.levene(df, "g", "x").first()
+    rows = {r["g"]: [] for r in df.select("g").distinct().collect()}
+    for r in df.collect():
+        rows[r["g"]].append(r["x"])
+    z = [np.abs(np.array(v) - np.median(v)) for _, v in sorted(rows.items())]
+    n = sum(map(len, z))
+    grand = np.concatenate(z).mean()
+    ssb = sum(len(v) * (v.mean() - grand) ** 2 for v in z)
+    ssw = sum(((v - v.mean()) ** 2).sum() for v in z)
+    assert plain["w_stat"] == pytest.approx(ssb / (ssw / (n - 2)), rel=1e-9)
+    scans = []
+    before = quantiles._placed
+    monkeypatch.setattr(quantiles, "_placed", lambda *a: scans.append(1) or before(*a))
+    hypothesis.ttest_gated(df, "g", "x", "A", "B").collect()
+    assert len(scans) == 1
