@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ratestat.functions import constants as K
 from ratestat.operators import (chartdata, classify, clean, derive, describe, effects, gram,
                                 hypothesis, modelprep)
-from ratestat.operators.common import col
+from ratestat.operators.common import broadcast_if_small, col
 from ratestat.session import materialize
 from ratestat.operators.common import with_one_row
 
@@ -207,7 +207,7 @@ def extra_states(adj: DataFrame, geo: DataFrame, region_map: DataFrame,
     means = describe.group_mean(adj, K.STATE, ADJ_RATING, ADJ_RATING).withColumnRenamed(
         K.STATE, "State")
     kept = materialize(clean.whitelist_filter(means, "State", list(whitelist)))
-    merged = geo.join(F.broadcast(kept), "State", "left")  # <= 50 rows, whitelist-bounded
+    merged = geo.join(broadcast_if_small(kept), "State", "left")
     bounds = merged.agg(F.min(col(ADJ_RATING)).alias("vmin"), F.max(col(ADJ_RATING)).alias("vmax"))
     choro = with_one_row(merged, bounds).select(
         "State", "name", col(ADJ_RATING),

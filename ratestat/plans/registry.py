@@ -11,7 +11,7 @@ from ratestat.plans.common import finalize
 from ratestat.session import tune_session
 
 _MODULES = ["ratestat.plans.q_clean", "ratestat.plans.q_tests", "ratestat.plans.q_models",
-            "ratestat.plans.q_charts", "ratestat.plans.q_wide"]
+            "ratestat.plans.q_charts", "ratestat.plans.q_wide", "ratestat.plans.q_io"]
 
 
 def _load():

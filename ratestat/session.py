@@ -79,26 +79,48 @@ def ship_package(spark: SparkSession | None = None) -> None:
     _SHIPPED.add(app)
 
 
+_PRIVATE: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Read ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) create a private folder and register it.
+    (local tests) create a private folder, once per application.  No setting
+    of the session is changed.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
         return conf
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="ratestat-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.mkdtemp(prefix="ratestat-ckpt-")
+    return _PRIVATE[app]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder inside :func:`checkpoint_dir`; everything the
+    library writes between jobs lies below it."""
+    return f"{checkpoint_dir(spark)}/ratestat/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below :func:`run_dir`."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that the library has materialised in this
+    application.  Results that still read them become unreadable: call it when
+    they have been written, at the end of a run or between two runs."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _SHARED if k[0] == app]:
+        del _SHARED[key]
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -106,9 +128,10 @@ def materialize(df: DataFrame) -> DataFrame:
     (it survives executor loss), read back with column pruning, filter
     pushdown and statistics.  Use it for an intermediate that a plan reads
     several times, so the expensive upstream (e.g. the line-item
-    aggregation) runs once instead of once per reuse."""
+    aggregation) runs once instead of once per reuse.  :func:`release` deletes
+    what has been materialised."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/ratestat/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -122,8 +145,10 @@ def table_version(spark: SparkSession, *paths: str) -> tuple:
     out = []
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hadoop)]
+        found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+        while found.hasNext():  # files of every level: a partitioned table has them in subfolders
+            s = found.next()
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
     return tuple(sorted(out))
 
 

@@ -104,11 +104,11 @@ def read_geojson(spark: SparkSession, path: str, id_as: str = "State") -> DataFr
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite",
-              single_file: bool = False) -> None:
-    """CSV without an index column.  ``single_file`` coalesces to one part
-    file (only for small outputs)."""
+              single_file: bool = False, null: str = "") -> None:
+    """CSV without an index column; missing values are written as ``null``.
+    ``single_file`` coalesces to one part file (only for small outputs)."""
     out = df.coalesce(1) if single_file else df
-    (out.write.mode(mode).option("header", header).option("quote", '"').option("escape", '"')
+    (out.write.mode(mode).option("header", header).option("nullValue", null).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
