@@ -4,12 +4,11 @@ hold-out remainders, bounded training samples."""
 from __future__ import annotations
 
 import contextlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratestat.session import checkpoint_dir, ship_package
+from ratestat.session import scratch_path, ship_package
 from ratestat.sources.tables import read_table
 
 
@@ -36,9 +35,9 @@ def small_batches(spark: SparkSession):
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the folder that ``spark.checkpoint.dir``
     names and return the table read back: computed once, pruned when read,
-    and not lost with an executor."""
+    and not lost with an executor.  ``ratestat.session.release`` deletes it."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/ratestat-llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
