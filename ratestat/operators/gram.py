@@ -99,7 +99,8 @@ def ridge_sweep(df: DataFrame, features: Sequence[str], target: str, split_col:
     null in any column are left out; without a train row there is no fit and
     ``ValueError`` is raised; without a validation row its metrics are NaN."""
     # two states of (p + 1)^2 numbers reach the driver and ride in the closure
-    states = {r["split"]: r["state"] for r in gram_table(df, features, target, split_col).where("split in (0, 1)").collect()}
+    found = gram_table(df, features, target, split_col).where("split in (0, 1)").toArrow()
+    states = dict(zip(found.column("split").to_pylist(), found.column("state").to_pylist()))
     if 0 not in states:
         raise ValueError("no complete train row to fit")
     ship_package(df.sparkSession)

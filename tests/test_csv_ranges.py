@@ -56,7 +56,7 @@ def small_ranges(spark):
     names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
     before = [spark.conf.get(n) for n in names]
     spark.conf.set(names[0], "1500")
-    spark.conf.set(names[1], "0")
+    spark.conf.set(names[1], "64")
     yield
     for n, v in zip(names, before):
         spark.conf.set(n, v)
