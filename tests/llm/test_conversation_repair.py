@@ -111,7 +111,7 @@ def results(frame):
     return {r["conv_id"]: tuple(r)[1:] for r in frame.collect()}
 
 
-@pytest.mark.parametrize("segment,parts", [(1024, 3), (2, 5), (1, 2)])
+@pytest.mark.parametrize("segment,parts", [(1024, 3), (2, 5)])
 def test_repair_matches_brute_force(spark, segment, parts):
     rows = conversations()
     frame = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA).repartition(parts)
