@@ -10,7 +10,12 @@
    where in the document the item would begin.
 3. Smith-Waterman alignment of the item's words with the passage around it
    (match 1, mismatch and gap -0.5) gives the score: its best local score over
-   the item's length, 1 for a verbatim copy.
+   the item's length, 1 for a verbatim copy.  A pair is reported if the score
+   reaches the threshold, or if the local score itself, of whatever share of a
+   long item, reaches ``RUN`` words.
+
+Items of fewer than ``SEED`` words have no seed; they are searched exactly, by
+their whole word sequence.
 
 Words are runs outside white space and ASCII punctuation, A-Z in lower case.
 Test items are handled in blocks of at most ``BLOCK`` items, and only one
@@ -29,7 +34,7 @@ from ratestat.llm.textops import (LOWER, doc_chunks, ragged_range, rolling_hashe
                                   word_hashes, word_spans)
 
 SEED, CHANCE, FEW = 3, 1e-6, 4
-THRESHOLD = 0.5
+THRESHOLD, RUN = 0.5, 30
 BLOCK = 20_000
 BATCH = 1024
 PENALTY = np.float32(0.5)
@@ -71,6 +76,14 @@ class Items:
         return grams[order], item[order], (at - self.off[item])[order]
 
 
+    def short(self, width: int):
+        """(sorted hashes, item) of the items of ``width`` words."""
+        item = np.flatnonzero(np.diff(self.off) == width)
+        grams = rolling_hashes(self.words, width)[self.off[item]] if len(item) else self.words[:0]
+        order = np.argsort(grams, kind="stable")
+        return grams[order], item[order]
+
+
 def _word_counts(vocabulary):
     def emit(batches):
         counts, total = np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
@@ -113,21 +126,37 @@ def align(items: np.ndarray, passages: np.ndarray):
     return best, end
 
 
-def _passages(items: Items, seeds, threshold):
+def _matches(grams, found):
+    """(positions in ``found``, positions in the sorted ``grams``) of all
+    equal pairs."""
+    lo = np.searchsorted(grams, found)
+    counts = np.searchsorted(grams, found, side="right") - lo
+    return np.repeat(np.arange(len(found)), counts), ragged_range(lo, counts)
+
+
+def _passages(items: Items, seeds, threshold, run):
     grams, seed_item, seed_place = seeds
     lengths = np.diff(items.off)
+    whole = [(width, *items.short(width)) for width in range(1, SEED)]
+
+    def exact(words, word_off):
+        """(document, item, end) of the first copy of each short item."""
+        for width, sequences, item in whole:
+            at = run_starts(word_off, width) if len(item) else words[:0]
+            if not len(at):
+                continue
+            hit, which = _matches(sequences, rolling_hashes(words, width)[at])
+            doc = np.searchsorted(word_off, at[hit], side="right") - 1
+            _, first = np.unique(np.stack([doc, item[which]]), axis=1, return_index=True)
+            yield from zip(doc[first], item[which][first], at[hit][first] + width - word_off[doc[first]])
 
     def hits(words, word_off):
         """Distinct (document, item, passage number) with a seed hit; a
         passage starts at a multiple of the item's length."""
         at = run_starts(word_off, SEED)
         found = rolling_hashes(words, SEED)[at] if len(at) else words[:0]
-        lo = np.searchsorted(grams, found)
-        hit = np.flatnonzero(grams[np.minimum(lo, len(grams) - 1)] == found)
-        lo, at = lo[hit], at[hit]
-        counts = np.searchsorted(grams, found[hit], side="right") - lo
-        which = ragged_range(lo, counts)
-        at = np.repeat(at, counts)
+        hit, which = _matches(grams, found)
+        at = at[hit]
         doc = np.searchsorted(word_off, at, side="right") - 1
         item = seed_item[which]
         begin = at - word_off[doc] - seed_place[which]
@@ -141,7 +170,7 @@ def _passages(items: Items, seeds, threshold):
                 words, word_off = _folded_words(o, r)
                 doc, item, number = hits(words, word_off)
                 order = np.argsort(lengths[item], kind="stable")
-                found = {}
+                found = {(d, i): (1.0, -int(end)) for d, i, end in exact(words, word_off)}
                 for k in range(0, len(order), BATCH):
                     part = order[k:k + BATCH]
                     d, i, num = doc[part], item[part], number[part]
@@ -157,7 +186,7 @@ def _passages(items: Items, seeds, threshold):
                     p = np.where(inside, words[np.clip(spot, 0, len(words) - 1)], 1)
                     best, end = align(q, p)
                     score = best / size
-                    for j in np.flatnonzero(score >= threshold):
+                    for j in np.flatnonzero((score >= threshold) | (best >= run)):
                         key, value = (d[j], i[j]), (float(score[j]), -int(first[j] + end[j] + 1 - word_off[d[j]]))
                         found[key] = max(found.get(key, value), value)
                 rows = sorted(found.items())
@@ -170,13 +199,15 @@ def _passages(items: Items, seeds, threshold):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", run: float = RUN) -> DataFrame:
     """(doc_id, item_id, score, end_word) for each document and test item
-    whose alignment scores ``threshold`` or more; ``end_word`` is the number
-    of words up to the end of the best passage (the first of equals).
+    whose alignment scores ``threshold`` or more, or ``run`` words or more in
+    itself; ``end_word`` is the number of words up to the end of the best
+    passage (the first of equals).
 
     Documents with null or empty text, or a null id, match nothing, and so do
-    items with a null id or under ``SEED`` words.  Items that repeat an id
+    items with a null id or no word.  Items of fewer than ``SEED`` words match
+    where their words stand in a row.  Items that repeat an id
     are matched each and reported once at their best score; so are rows that
     repeat a document id.
     """
@@ -192,13 +223,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted(mine.collect(), key=lambda r: (r["item_id"], r["text"]))
         part = Items(rows)
-        if not (np.diff(part.off) >= SEED).any():
+        if not len(part.words):
             continue
         counted = base.mapInArrow(_word_counts(part.vocabulary), "word long, n long, total long").groupBy("word").agg(
             F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
         total = sum(r["total"] for r in counted)
         seeds = part.seeds({r["word"]: r["n"] for r in counted if r["word"] is not None}, total)
-        found = base.mapInArrow(_passages(part, seeds, threshold), schema)
+        found = base.mapInArrow(_passages(part, seeds, threshold, run), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)

@@ -472,7 +472,46 @@ def test_decontamination(spark, docs, nothing):
     assert got[100, 3] == 1 and 0.5 <= got[101, 4] < 1
     assert decontam.decontaminate(nothing, bench).count() == 0
     assert decontam.decontaminate(frame, bench.limit(0)).count() == 0
-    assert len(decontam.decontaminate(docs, bench).collect()) == 0
+    # the fixture's "Two  Words" is item 99 as a whole, nothing else is in it
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(docs, bench).collect()] == [(24, 99)]
+
+
+def test_long_runs_and_short_items(spark):
+    """A verbatim part of a long item and whole items of one and two words."""
+    rng = random.Random(12)
+    long_item = prose(250, rng)
+    items = [(1, long_item), (2, "Two, words"), (3, "zebra"), (4, "...")]
+    part = " ".join(long_item.split(" ")[90:190])
+    rows = [(10, prose(60, rng) + " " + part + " " + prose(40, rng)), (11, prose(30, rng) + " two words " + prose(9, rng)),
+            (12, "words two"), (13, "A Zebra; zebra two words"), (14, prose(80, rng)), (15, " ".join(long_item.split(" ")[90:110]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.decontaminate(frame, bench).collect()}
+    assert set(got) == {(10, 1), (11, 2), (13, 2), (13, 3)}
+    assert got[10, 1]["score"] == pytest.approx(.4, abs=.01) and got[13, 3]["end_word"] == 2 and got[13, 2]["score"] == 1
+    only_short = decontam.decontaminate(frame, bench.where("item_id in (2, 3)")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in only_short} == {(11, 2), (13, 2), (13, 3)}
+
+
+def test_found_pairs_match_aligning_every_pair(spark):
+    """Every document against every item by the slow alignment."""
+    rng = random.Random(21)
+    items = [(i, prose(rng.randint(8, 30), rng)) for i in range(8)]
+    rows = [(i, prose(50, rng)) for i in range(10)]
+    for k, (i, text) in enumerate(items):
+        words = text.split(" ")
+        for j in range(0, len(words), 5 + k):
+            words[j] = f"new{j}"
+        rows.append((20 + i, prose(20, rng) + " " + " ".join(words[:len(words) - k]) + " " + prose(10, rng)))
+    bench, frame = (spark.createDataFrame(r, f"{c} long, text string") for r, c in ((items, "item_id"), (rows, "doc_id")))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.decontaminate(frame, bench).collect()}
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            score = slow_alignment(item.split(" "), text.split(" ")) / len(item.split(" "))
+            if score >= decontam.THRESHOLD:
+                want[d, i] = score
+    assert got == pytest.approx(want) and len(want) >= 6
 
 
 def test_packing(spark, docs, nothing):
