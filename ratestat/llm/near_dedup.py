@@ -38,6 +38,7 @@ REGISTERS, MANTISSA = 256, 10
 BANDS, ROWS = 42, 6
 SLACK = 6.0
 PROBES = 256
+HOT = 500  # documents of a shingle that one task of the prefix join is meant to hold
 _U = np.uint64
 _REST = 56  # hash bits below the bucket number
 _PROBE = (mix64(np.arange(PROBES * REGISTERS, dtype=_U) + _U(0x1B873593)) % _U(REGISTERS)).astype(np.int64).reshape(
@@ -212,7 +213,7 @@ def _cross_pairs(rivals: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both, and from the places of their first common one it follows how many
     they can share at most.  Shingles that one document alone holds take up
     places but never meet.  A shingle's largest component is not compared with
-    itself.
+    itself, and one that many documents hold is dealt over several tasks.
     """
     held = staged(sets.join(rivals.select("rep"), "rep").mapInArrow(_exploded, "shingle long, rep long"), "rival-shingles")
     common = staged(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common-shingles")
@@ -221,13 +222,19 @@ def _cross_pairs(rivals: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = staged(ranked.withColumn("place", place).where("df > 1").join(rivals, "rep")
                     .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
                     .select("shingle", "rep", "n", "component", "place"), "prefixes")
-    kinds = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = (kinds.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-               .where("kinds > 1").select("shingle", F.col("top.component").alias("largest")))
-    rare = staged(prefix.join(largest, "shingle").where("component <> largest").drop("largest"), "rare-prefixes")
-    x, y = rare.alias("x"), prefix.alias("y")
+    kinds = staged(prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")), "prefix-kinds")
+    shared = staged(kinds.groupBy("shingle").agg(
+        F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"),
+        F.ceil(F.sum("k") / HOT).alias("parts")).where("kinds > 1")
+        .select("shingle", F.col("top.component").alias("largest"), "parts"), "shared-shingles")
+    # A shingle of many documents is dealt over several tasks: each of its
+    # documents lies in one part, the rarer side visits them all.
+    known = staged(prefix.join(shared, "shingle").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))), "dealt-prefixes")
+    rare = known.where("component <> largest").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    x, y = rare.alias("x"), known.alias("y")
     most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part"))
+                   & (F.col("x.component") != F.col("y.component"))
                    & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
@@ -256,7 +263,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
             .groupBy(F.col("doc_id").alias("rep"), *own, "n").agg(F.min("sig").alias("sig")).select("rep", "n", "sig"))
     # A set of size n only links with sets of at least percent/100 * n: below
     # percent / (100 - percent) elements the sets would be equal.
-    reps = reps.where(F.col("n") * 100 >= percent * (F.col("n") + 1) - 100)
+    reps = reps.where(F.col("n") * 100 >= percent * (F.col("n") + 1))
     step = 2 * ROWS
     banded = reps.select("rep", "n", F.explode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), j -> xxhash64(j, substring(sig, j * {step} + 1, {step})))")).alias("band"))

@@ -144,6 +144,26 @@ def test_near_dedup_many_edits(spark):
     assert {tuple(r) for r in got} == brute_components(rows)
 
 
+def test_hot_shingles_are_dealt_without_losing_pairs(spark, monkeypatch):
+    """Many documents of many components share shingles; one part or many,
+    the pairs are the same."""
+    rng = random.Random(31)
+    common = prose(25, rng)
+    rows = []
+    for k in range(12):
+        base = (common + " " + prose(45, rng)).split(" ")
+        for _ in range(8):
+            copy = list(base)
+            for j in rng.sample(range(70), rng.randint(1, 5)):
+                copy[j] = f"c{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for hot in (500, 3):
+        monkeypatch.setattr(near_dedup, "HOT", hot)
+        assert {tuple(r) for r in near_dedup.near_dedup(frame).collect()} == want
+
+
 def test_estimate_follows_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
