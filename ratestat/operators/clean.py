@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ratestat.operators.common import broadcast_if_small, col
 from ratestat.session import materialize
 
+MANY = 0.1  # share of repeating rows above which all rows are compared whole
+BROADCAST_DIGESTS = 1 << 20
+
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """Drop rows null in any of ``subset`` (pandas ``dropna(subset=...)``)."""
@@ -24,16 +27,30 @@ def _digests(keys: Sequence[str]) -> list:
     return [F.xxhash64(F.lit(lane), *marks, *[col(c) for c in keys]).alias(f"_d{lane}") for lane in (1, 2)]
 
 
-def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows with ``_met``, the number of rows of their digest.
+def _narrow(df: DataFrame, keys: Sequence[str]) -> bool:
+    """True if a row of ``keys`` is no wider than its digest."""
+    fixed = {"byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp"}
+    return len(keys) <= 2 and all(df.select(col(c)).schema[0].dataType.typeName() in fixed for c in keys)
+
+
+def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The rows with ``_met``, the number of rows of their digest; None where
+    many rows repeat, so that comparing all of them whole shuffles less.
 
-    The digests are counted first, 16 bytes a row and combined map-side; what
-    repeats is written, so that the planner broadcasts it by its size.
-    ``_met`` is null for a row whose digest is its own: that row repeats
-    nothing and needs no comparison."""
-    digests = df.select(*_digests(keys)).groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_met"))
-    repeated = materialize(digests.where("_met > 1"))
-    return df.select("*", *_digests(keys)).join(repeated, ["_d1", "_d2"], "left")
+    One scan without a shuffle estimates the share of rows that repeat.  Unless
+    it is over ``MANY``, the digests are counted, 16 bytes a row and combined
+    map-side; what repeats is written, and broadcast if it is at most
+    ``BROADCAST_DIGESTS`` rows.  More of it would be joined by sorting all rows
+    whole, which costs more than comparing them.  ``_met`` is null for a row
+    whose digest is its own: that row repeats nothing and needs no comparison."""
+    digests = df.select(*_digests(keys))
+    n, kinds = digests.agg(F.count(F.lit(1)), F.approx_count_distinct("_d1", 0.02)).first()
+    if n - kinds > MANY * n:
+        return None
+    repeated = materialize(digests.groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_met")).where("_met > 1"))
+    if repeated.count() > BROADCAST_DIGESTS:
+        return None
+    return df.select("*", *_digests(keys)).join(F.broadcast(repeated), ["_d1", "_d2"], "left")
 
 
 def drop_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -42,20 +59,25 @@ def drop_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> D
     Rows are told apart by 128-bit digests; only rows whose digest repeats are
     shuffled whole and compared column by column (as a partial + final hash
     aggregate, so a hot duplicate collapses map-side).  The others are passed
-    on from where they were read."""
+    on from where they were read.  Where many rows repeat, and for rows no
+    wider than a digest, all rows are compared in one shuffle."""
     keys = list(subset or df.columns)
-    rows = _suspects(df, keys)
+    rows = None if keys == df.columns and _narrow(df, keys) else _suspects(df, keys)
+    if rows is None:
+        return df.dropDuplicates(keys)
     back = [col(c) for c in df.columns]
     return rows.where("_met is null").select(*back).unionByName(rows.where("_met is not null").select(*back).dropDuplicates(keys))
 
 
 def count_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row ``n_duplicates``: rows that repeat an earlier identical row
-    (pandas ``duplicated().sum()``).  Only rows whose digest repeats are
-    compared."""
+    (pandas ``duplicated().sum()``).  Rows are compared as in
+    :func:`drop_duplicate_rows`."""
     keys = list(subset or df.columns)
-    rows = _suspects(df.select(*[col(c) for c in keys]), keys)
-    grouped = rows.where("_met is not null").groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias("_c"))
+    df = df.select(*[col(c) for c in keys])
+    rows = None if _narrow(df, keys) else _suspects(df, keys)
+    rows = df if rows is None else rows.where("_met is not null")
+    grouped = rows.groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias("_c"))
     return grouped.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long")
                        .alias("n_duplicates"))
 

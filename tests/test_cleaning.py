@@ -126,3 +126,32 @@ def test_rows_that_repeat_nothing_are_not_shuffled_whole(spark):
     plan = clean.drop_duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert clean.drop_duplicate_rows(df.unionByName(df.where("id < 10"))).count() == 2000
+
+
+def test_many_repeats_are_compared_in_one_shuffle(spark, monkeypatch):
+    """Where much repeats, no digests are joined to the whole rows, whose
+    sorts made the query slow; every way gives the same rows."""
+    from pyspark.sql import functions as F
+
+    from ratestat.operators import clean
+    df = spark.range(1000).selectExpr("id", "if(id % 5 = 0, null, repeat(cast(id as string), 20)) as wide", "cast(id as double) as x")
+    for extra in (df.where("id % 3 = 0"), df.where("id % 40 = 0")):
+        both = df.unionByName(extra)
+        for many, rows in ((0.1, 1 << 20), (1.0, 1 << 20), (1.0, 0)):
+            monkeypatch.setattr(clean, "MANY", many)
+            monkeypatch.setattr(clean, "BROADCAST_DIGESTS", rows)
+            got = clean.drop_duplicate_rows(both)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("Join" in plan) == (rows > 0 and (many == 1.0 or extra.count() < 100))
+            assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+            assert clean.count_duplicate_rows(both).first()[0] == extra.count()
+            assert clean.drop_duplicate_rows(both, ["x"]).count() == 1000
+    odd = spark.createDataFrame(ODD_ROWS, "a int, b int, c double, s string")
+    monkeypatch.setattr(clean, "MANY", 1.0)
+    monkeypatch.setattr(clean, "BROADCAST_DIGESTS", 1 << 20)
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(clean, "_digests", lambda keys: [F.lit(7).cast("long").alias(f"_d{i}") for i in (1, 2)])
+        assert sorted(map(str, clean.drop_duplicate_rows(odd).collect())) == sorted(map(str, odd.dropDuplicates().collect()))
+        assert clean.count_duplicate_rows(odd).first()[0] == 4
+        assert clean.count_duplicate_rows(odd, ["a", "b"]).first()[0] == len(ODD_ROWS) - odd.select("a", "b").distinct().count()
