@@ -362,6 +362,84 @@ def test_lm_tells_rare_ids_apart():
     assert np.mean(right) > np.mean(wrong) + 0.5
 
 
+def _lm_text():
+    """A model of 300 ids with three levels of choices, and some texts."""
+    rng = np.random.default_rng(5)
+    model = lm_scores.Model(1000.0 / np.arange(1, 301))
+    model.weights = [w + rng.normal(0, 0.3, w.shape).astype(np.float32) for w in model.weights]
+    lengths = [1, 7, 24, 25, 33, 90]
+    return model, rng.integers(0, 300, sum(lengths)), np.append(0, np.cumsum(lengths))
+
+
+def test_lm_scores_place_by_place():
+    """Scores equal attention over each id's own keys, with each matrix by
+    itself, and the group's, class's and id's share of their softmaxes."""
+    model, ids, off = _lm_text()
+    e, p, wq, wk, wv, wo, top, out, inner = (w.astype(float) for w in model.weights)
+
+    def share(rows, y, k):
+        z = rows[:, :-1] @ y + rows[:, -1]
+        return z[k] - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    want = []
+    for a, b in zip(off[:-1], off[1:]):
+        ranks, log = model.rank_of[ids[a:b]], 0.0
+        for i, rank in enumerate(ranks):
+            before = i // lm_scores.STRIDE * lm_scores.STRIDE - (lm_scores.WINDOW - lm_scores.STRIDE)
+            x = np.array([e[ranks[j - 1] if j else model.start] + p[j - before] for j in range(max(before, 0), i + 1)])
+            heat = np.exp(x @ wk @ (x[-1] @ wq) / lm_scores.DIM ** 0.5)
+            y = x[-1] + heat / heat.sum() @ x @ wv @ wo
+            kind = model.class_at[rank]
+            group = model.group_at[kind]
+            lo, hi = model.first_class[group:group + 2]
+            log += share(top, y, group) + share(out[lo:hi], y, kind - lo)
+            lo, hi = model.first[kind:kind + 2]
+            log += share(inner[lo:hi], y, rank - lo)
+        want.append(log / math.log(10))
+    assert np.allclose(model.score(ids, off), want, rtol=1e-4)
+
+
+def test_lm_scores_with_large_logits():
+    """Logits far outside of a float's exponential give finite scores that
+    still tell ids apart."""
+    model, ids, off = _lm_text()
+    for w in model.weights[6:]:
+        w *= 400
+    found = model.score(ids, off)
+    assert np.isfinite(found).all() and (found < -1).any()
+    inputs, target, real, _ = model.windows(model.rank_of[ids], off)
+    assert all(np.isfinite(g).all() for g in model._gradients(inputs, target, real, model.rank_of[ids]))
+
+
+def test_lm_gradients_of_all_levels():
+    model, ids, off = _lm_text()
+    inputs, target, real, _ = model.windows(model.rank_of[ids], off)
+    grads = model._gradients(inputs, target, real, model.rank_of[ids])
+    for w, g in zip(model.weights, grads):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, loss = w[at], []
+        for step in (1e-2, -1e-2):
+            w[at] = old + step
+            loss.append(-model.score(ids, off).sum() * math.log(10) / len(ids))
+        w[at] = old
+        assert abs((loss[0] - loss[1]) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-4
+
+
+def test_lm_pays_for_few_logits(monkeypatch):
+    """An id costs the logits of its group, its class and itself, not one for
+    each class, trained on or scored."""
+    counts = 1e7 / np.arange(1, 50001) ** 1.1
+    rng = np.random.default_rng(1)
+    ids = rng.choice(50000, 20000, p=counts / counts.sum())
+    off, model = np.arange(0, 20001, 2000), lm_scores.Model(counts)
+    exp, paid = np.exp, []
+    monkeypatch.setattr(lm_scores.np, "exp", lambda x, *a, **k: paid.append(np.size(x)) or exp(x, *a, **k))
+    model.score(ids, off)
+    scored = sum(paid)
+    model.train(model.rank_of[ids], off, epochs=1)
+    assert max(scored, sum(paid) - scored) / len(ids) < 250  # 317 and 419 with the classes in one softmax
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(3)
     h, dim = toxicity.HIDDEN, 5
